@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, line_dedup, sentencepieces, simhash
+from . import decontaminate, exact_topk, language_id, licenses, line_dedup, sentencepieces, simhash, suffix_dedup
 from .common import table
 
 #: A file of the machine, the same on every executor.
@@ -25,6 +25,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.annotate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.annotate(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.annotate(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_decontaminate, op5_simhash, op6_license_scan, op7_language_id, op8_line_dedup)
+    f.__name__: f for f in (op1_sentencepiece, op3_decontaminate, op4_suffix_dedup, op5_simhash, op6_license_scan, op7_language_id, op8_line_dedup, op9_exact_topk)
 }
 
 ORACLES: dict[str, str] = {}

@@ -125,7 +125,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     dealt = spread.repartition("block", "value", "x", "y").sortWithinPartitions("block", "value", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches, ["block", "value", "x", "y"]):
+        for rows in whole_groups(batches, ["block", "value", "x", "y"]):
             fp, second = rows["fp"].to_numpy().view(np.uint64), rows["second"].to_numpy(zero_copy_only=False)
             if len(fp) > 1:
                 same = rows["x"][0] == rows["y"][0]
@@ -138,7 +138,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return dealt.mapInArrow(compare, "u long, v long").distinct()
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """The groups of rows that batches in the order of their keys hold, one at a time.
 
     A group's rows are those of two tiles at most, so what is carried over is bounded.
