@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, language_id, licenses, line_dedup, sentencepieces, simhash, suffix_dedup
+from . import decontaminate, exact_topk, language_id, licenses, line_dedup, pii, sentencepieces, simhash, suffix_dedup
 from .common import table
 
 #: A file of the machine, the same on every executor.
@@ -20,6 +20,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(docs, PIECES).drop("text")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.annotate(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.annotate(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -56,7 +60,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_decontaminate, op4_suffix_dedup, op5_simhash, op6_license_scan, op7_language_id, op8_line_dedup, op9_exact_topk)
+    f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_decontaminate, op4_suffix_dedup, op5_simhash, op6_license_scan, op7_language_id, op8_line_dedup, op9_exact_topk)
 }
 
 ORACLES: dict[str, str] = {}
