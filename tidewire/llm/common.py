@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -73,3 +74,12 @@ def append(df: DataFrame, text_col: str, fields: str, start: Callable[[], Callab
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *new.names])
 
     return df.mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs as (doc, id, text) with doc unique: the id itself, or a number given once and written where ids repeat."""
+    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = few.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR id IS NULL").isEmpty()
+    if plain:
+        return few.select(F.col("id").cast("bigint").alias("doc"), "id", "text")
+    return materialise(few.withColumn("doc", F.monotonically_increasing_id()), "identified")

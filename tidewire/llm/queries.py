@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, language_id, licenses, line_dedup, pii, sentencepieces, simhash, suffix_dedup
+from . import decontaminate, exact_topk, language_id, licenses, line_dedup, lm_scoring, pii, sentencepieces, simhash, suffix_dedup
 from .common import table
 
 #: A file of the machine, the same on every executor.
@@ -59,8 +59,24 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.annotate(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_decontaminate, op4_suffix_dedup, op5_simhash, op6_license_scan, op7_language_id, op8_line_dedup, op9_exact_topk)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_pii,
+        op3_decontaminate,
+        op4_suffix_dedup,
+        op5_simhash,
+        op6_license_scan,
+        op7_language_id,
+        op8_line_dedup,
+        op9_exact_topk,
+        op10_lm_scoring,
+    )
 }
 
 ORACLES: dict[str, str] = {}

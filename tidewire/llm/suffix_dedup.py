@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import identified, materialise
 from .simhash import whole_groups
 
 LENGTH = 200
@@ -247,21 +247,12 @@ def _merged(rows: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "doc long, spans array<bigint>")
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs as (doc, id, text) with doc unique: the id itself, or a number given once and written where ids repeat."""
-    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    plain = few.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR id IS NULL").isEmpty()
-    if plain:
-        return few.select(F.col("id").cast("bigint").alias("doc"), "id", "text")
-    return materialise(few.withColumn("doc", F.monotonically_increasing_id()), "identified")
-
-
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every document.
 
     kept_sha256 is over the remaining bytes; spans holds begins and ends of the removed runs.
     """
-    rows = _identified(docs, id_col, text_col)
+    rows = identified(docs, id_col, text_col)
     spans = materialise(_merged(repeated_starts(rows, group_rows)), "removed-spans")
     n = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     joined = _with_text(rows, spans, n, "left")
