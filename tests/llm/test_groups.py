@@ -57,6 +57,13 @@ def test_simhash_against_all_pairs(spark):
     kept = simhash.keep_first(frame(spark, texts))
     assert kept.columns == ["doc_id", "text", "source"] and {r[0] for r in kept.collect()} == set(want.values())
     assert simhash.annotate(frame(spark, []).limit(0)).count() == 0
+    # ids on several rows and null ids
+    mixed = [(None if i % 11 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    kept = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(mixed, "doc_id long, text string")).collect()]
+    groups = {}
+    for (i, _), g in zip(mixed, (want[k] for k in range(len(texts)))):
+        groups.setdefault(g, []).append(10**9 if i is None else i)
+    assert sorted(10**9 if i is None else i for i, _ in kept) == sorted(min(v) for v in groups.values())
 
 
 def test_simhash_tiles_lose_no_link(spark):

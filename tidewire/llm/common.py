@@ -76,10 +76,14 @@ def append(df: DataFrame, text_col: str, fields: str, start: Callable[[], Callab
     return df.mapInArrow(run, schema)
 
 
+def unique_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether no id is null or on several rows."""
+    return docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__tw_n")).where((F.col("__tw_n") > 1) | F.col(id_col).isNull()).isEmpty()
+
+
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs as (doc, id, text) with doc unique: the id itself, or a number given once and written where ids repeat."""
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    plain = few.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR id IS NULL").isEmpty()
-    if plain:
+    if unique_ids(few, "id"):
         return few.select(F.col("id").cast("bigint").alias("doc"), "id", "text")
     return materialise(few.withColumn("doc", F.monotonically_increasing_id()), "identified")

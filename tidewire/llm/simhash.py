@@ -31,13 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append, materialise
+from .common import append, materialise, unique_ids
 from .components import components
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
 TILE = 4096
+BROADCAST_IDS = 2_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: bytes.split() also splits at 0x1C-0x1F, which are not among the separators.
 SPACES = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -175,10 +176,18 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest id.
 
-    A document with a null id is kept only if its component has no other; of repeated rows
-    with the smallest id one is kept.
+    Ids that are null come after all others; of rows that tie one is kept. The ids that go
+    are broadcast if they are at most BROADCAST_IDS, else the texts are shuffled once.
     """
-    names = docs.columns
-    marked = annotate(docs, id_col, text_col)
-    keep = marked.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__tw_keep")).distinct()
-    return docs.join(keep, F.col(id_col) == F.col("__tw_keep"), "left_semi").dropDuplicates([id_col]).select(*names)
+    if unique_ids(docs, id_col):
+        gone = annotate(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col)
+        rows, row = docs, id_col
+    else:
+        row = "__tw_row"
+        rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        marked = annotate(rows, row, text_col).join(rows.select(row, F.col(id_col).alias("__tw_id")), row)
+        first = marked.groupBy("component_id").agg(F.min(F.struct(F.col("__tw_id").isNull().alias("a"), F.col("__tw_id").alias("b"), F.col(row).alias("c"))).alias("first"))
+        gone = marked.join(first, "component_id").where(F.col(row) != F.col("first.c")).select(row)
+    gone = materialise(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
