@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 EDGE = "\x01"
 #: Entities of the fast path; anything else goes through html.unescape in Arrow batches.
@@ -22,7 +23,7 @@ def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(filled(c), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else html.unescape(t))
 
