@@ -8,11 +8,22 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import buckets, clusters, matching, profiles, reports, scoring, seen
+from ..sources.staging import staged
+
+#: What the tables after scoring need of a pair.
+SCORED = [
+    *("article_id", "watch_ord", "ticker", "source_group", "source_key", "source_name", "title", "summary", "link", "published"),
+    *("event_type", "event_weight", "__context", "canonical_link", "title_key", "relevance_score"),
+    *("matched_identity", "matched_specific", "matched_generic", "rejection_reasons", "accepted"),
+]
 
 
 @dataclass
 class Snapshot:
-    """All tables of one run, each a lazy DataFrame.
+    """All tables of one run.
+
+    Pairs and their scores are narrow once the watchlist is broadcast; the scored pairs and
+    the stories, which several tables need, are written once and read from there.
 
     seen_links: (seen_day, link); with it, links of that day are dropped and a link goes only
     to the first entry that it matches. Without it (the default) every entry sees every article.
@@ -34,9 +45,13 @@ class Snapshot:
         return found if self.seen_links is None else seen.first_claim(found)
 
     @cached_property
-    def scored(self) -> DataFrame:
+    def scored_pairs(self) -> DataFrame:
         return scoring.scored(self.pairs)
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        return staged(self.scored_pairs.select(*SCORED))
+
     @cached_property
     def routed(self) -> DataFrame:
         return buckets.routed(self.scored)
@@ -48,7 +63,7 @@ class Snapshot:
 
     @cached_property
     def stories(self) -> DataFrame:
-        return clusters.stories(self.primary)
+        return staged(clusters.stories(self.primary))
 
     @cached_property
     def ranked(self) -> DataFrame:

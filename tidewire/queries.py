@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +11,8 @@ from .functions import rules, text
 from .operators import buckets, clusters, matching, profiles, reports, scoring, seen, select, sentiment
 from .plans.snapshot import Snapshot
 from .sources import adapters, readers, writers
-from .sources.dimension import RSS, STRUCTURED, select_sources, with_source
+from .sources.dimension import RSS, STRUCTURED, select_sources
+from .sources.staging import shared_folder
 from .streaming import poll
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,12 +36,6 @@ def _joined(c: Column | str) -> Column:
     return F.array_join(c, "|")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: below the cluster's checkpoint folder, a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewire-landed-")
-    return f"{root}/landed-{uuid.uuid4().hex}"
-
-
 # Text functions -------------------------------------------------------------------------
 
 
@@ -205,7 +198,7 @@ def keyword_prefilter(spark, sf_dir):
 
 @query
 def matched_terms(spark, sf_dir):
-    out = _job(spark, sf_dir).scored
+    out = _job(spark, sf_dir).scored_pairs
     return out.select("article_id", "watch_ord", *(_joined(f"matched_{k}").alias(k) for k in rules.POINTS))
 
 
@@ -227,12 +220,12 @@ def context_titles(spark, sf_dir):
 
 @query
 def relevance_scores(spark, sf_dir):
-    return _job(spark, sf_dir).scored.select("article_id", "watch_ord", "relevance_score")
+    return _job(spark, sf_dir).scored_pairs.select("article_id", "watch_ord", "relevance_score")
 
 
 @query
 def rejection_reasons(spark, sf_dir):
-    return _job(spark, sf_dir).scored.select("article_id", "watch_ord", "accepted", _joined("rejection_reasons").alias("reasons"))
+    return _job(spark, sf_dir).scored_pairs.select("article_id", "watch_ord", "accepted", _joined("rejection_reasons").alias("reasons"))
 
 
 # Buckets, clusters, reports ----------------------------------------------------------------
@@ -339,7 +332,7 @@ def overall_sentiment(spark, sf_dir):
 
 
 def _landed_feeds(spark: SparkSession, sf_dir: str) -> str:
-    at = _folder(spark)
+    at = shared_folder(spark)
     rows = adapters.articles(spark, sf_dir).where(F.col("source_group") == RSS)
     items = rows.select("source_key", F.concat(F.lit("<b>"), "title", F.lit("</b> &amp; more")).alias("title"), "link", F.col("summary").alias("description"), F.col("published").alias("pubDate"), F.col("article_id").alias("position"))
     items.write.format("xml").option("rowTag", "item").option("rootTag", "rss").partitionBy("source_key").save(at)
@@ -358,21 +351,21 @@ def read_feed_headlines(spark, sf_dir):
 
 @query
 def read_news_json(spark, sf_dir):
-    at = _folder(spark)
+    at = shared_folder(spark)
     rows = adapters.articles(spark, sf_dir).where(F.col("source_group") == STRUCTURED)
     item = F.struct(F.col("source_name").alias("source"), F.col("title").alias("headline"), F.col("link").alias("storyurl"), F.col("published").alias("datetime"), F.col("summary").alias("qmsummary"))
     groups = rows.groupBy(F.floor(F.col("article_id") / 100).alias("g")).agg(F.array_sort(F.collect_list(item)).alias("newsitem"))
     groups.select(F.struct(F.array(F.struct("newsitem")).alias("news")).alias("results")).write.option("lineSep", "\n").json(at)
     # one document a line is also valid as one document a file; lines are read as they are
     raw = spark.read.schema(readers.GROUPED).json(at)
-    many = _folder(spark)
+    many = shared_folder(spark)
     raw.repartition(max(1, raw.count() // 50)).groupBy(F.spark_partition_id()).agg(F.flatten(F.collect_list("results.news")).alias("news")).select(F.struct("news").alias("results")).repartition(8).write.option("maxRecordsPerFile", 1).json(many)
     return readers.read_news_json(spark, many, "accessnewswire", "newswire").select("source_key", "title", "summary", "link", "published")
 
 
 @query
 def read_paged_json(spark, sf_dir):
-    at = _folder(spark)
+    at = shared_folder(spark)
     rows = adapters.articles(spark, sf_dir).where(F.col("source_key") == "accessnewswire")
     item = F.struct("title", F.col("link").alias("releaseurl"), F.col("published").alias("adate"), F.col("summary").alias("body"))
     pages = rows.groupBy(F.floor(F.col("article_id") / 1000).cast("int").alias("pageIndex")).agg(F.struct(F.array_sort(F.collect_list(item)).alias("articles")).alias("data"))
@@ -391,7 +384,7 @@ def html_headlines(spark, sf_dir):
 
 @query
 def source_failures(spark, sf_dir):
-    at = _folder(spark)
+    at = shared_folder(spark)
     rows = adapters.articles(spark, sf_dir)
     good = F.to_json(F.struct("article_id", "title"))
     lines = rows.select("source_key", F.when(F.col("article_id") % 9 == 0, F.concat(F.lit("{broken "), good)).otherwise(good).alias("value"))
@@ -400,7 +393,7 @@ def source_failures(spark, sf_dir):
 
 
 def _landed_snapshot(spark: SparkSession, sf_dir: str) -> str:
-    at = _folder(spark)
+    at = shared_folder(spark)
     row = F.struct("source_key", "source_name", "title", "link", F.lit("").alias("summary"), F.array().cast("array<string>").alias("coverage_sources"))
     job = _job(spark, sf_dir)
     listed = lambda b: F.array_sort(F.collect_list(F.when(F.col("bucket") == b, row)))
@@ -427,7 +420,7 @@ def usage_from_snapshot(spark, sf_dir):
 
 @query
 def write_snapshot(spark, sf_dir):
-    at = _folder(spark)
+    at = shared_folder(spark)
     for _ in range(2):
         writers.write_latest(_job(spark, sf_dir).stats, at)
     return spark.read.parquet(at)
@@ -435,7 +428,7 @@ def write_snapshot(spark, sf_dir):
 
 @query
 def write_history(spark, sf_dir):
-    at = _folder(spark)
+    at = shared_folder(spark)
     stats = _job(spark, sf_dir).stats
     for t in ("2024-01-01T00-00-00Z", "2024-01-01T00-02-00Z", "2024-01-01T00-02-00Z"):
         writers.write_history(stats, at, t)
@@ -453,10 +446,12 @@ def history_retention(spark, sf_dir):
 
 @query
 def stream_first_seen(spark, sf_dir):
-    """First link of each day of a stream of event files, run to its end."""
-    at, out = _folder(spark), _folder(spark)
+    """First link of each day of a stream of event files, which land week by week, run to its end."""
+    at, out = shared_folder(spark), shared_folder(spark)
     events = _table(spark, sf_dir, "events")
-    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(at)
+    week = F.date_trunc("week", "ts")
+    for (start,) in events.select(week.alias("w")).distinct().orderBy("w").collect():
+        events.where(week == F.lit(start)).coalesce(1).write.mode("append").parquet(at)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at)
     links = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("link"))
     run = poll.first_seen(links, "2 days").select("seen_day", "link").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
@@ -467,7 +462,7 @@ def stream_first_seen(spark, sf_dir):
 @query
 def stream_snapshot(spark, sf_dir):
     """Stories of the last batch of a stream of article files, with links claimed by earlier batches left out."""
-    at, out = _folder(spark), _folder(spark)
+    at, out = shared_folder(spark), shared_folder(spark)
     rows = adapters.articles(spark, sf_dir)
     for i, part in enumerate((F.col("article_id") % 2 == 0, F.col("article_id") % 2 == 1)):
         rows.where(part).coalesce(1).write.mode("append").parquet(f"{at}/part={i}")
