@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-RATIO = 0.02
+RATIO = 0.05
 MIN_PAGES = 5
 BROADCAST_LINES = 200_000
 

@@ -79,4 +79,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORDS = f"regexp_extract_all({LOWER.format('text')}, '{WORD}')"
+
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": f"""WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+b AS (SELECT DISTINCT item_id, len(w) AS n, least(13, len(w)) AS k, w FROM (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) x WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT item_id, k, w, unnest(range(1, n - k + 2)) AS i FROM b) y),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b) ks WHERE len(w) >= k) z),
+hit AS (SELECT doc_id, i, dw.k AS k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.gram = bw.gram),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hit) u GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) v GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op8_line_dedup": f"""WITH d AS (SELECT doc_id, coalesce(source, '-') AS host, text, string_split(text, chr(10)) AS parts FROM documents),
+total AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+bad AS (SELECT c.host, c.line FROM (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT doc_id, host, line FROM (SELECT doc_id, host, unnest(parts) AS line FROM d) a WHERE trim(line) <> '') b GROUP BY host, line) c
+  JOIN total t ON c.host = t.host WHERE c.n >= {line_dedup.MIN_PAGES} AND t.n >= {line_dedup.MIN_PAGES} AND c.n > {line_dedup.RATIO}::DOUBLE * t.n),
+flat AS (SELECT doc_id, host, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i FROM d),
+kept AS (SELECT f.doc_id, count(*) AS n_kept, string_agg(f.line, chr(10) ORDER BY f.i) AS t FROM flat f LEFT JOIN bad b ON f.host = b.host AND f.line = b.line WHERE b.line IS NULL GROUP BY f.doc_id)
+SELECT d.doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, (coalesce(len(parts), 0) - coalesce(n_kept, 0))::BIGINT AS n_dropped, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op9_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) t WHERE rank <= 10""",
+    "op10_lm_scoring": f"""WITH d AS (SELECT doc_id, list_concat(['<'], coalesce({WORDS}, []), ['>']) AS w FROM documents),
+t AS (SELECT doc_id, w[i] AS c, w[i + 1] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d) a),
+p AS (SELECT doc_id, c, x, count(*) AS n FROM t GROUP BY doc_id, c, x),
+both_ AS (SELECT c, x, sum(n) AS n FROM p GROUP BY c, x),
+ctx AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+mine AS (SELECT doc_id, c, count(*) AS n FROM t GROUP BY doc_id, c),
+uni AS (SELECT x, count(*) AS n FROM t GROUP BY x),
+s AS (SELECT p.doc_id, p.n, b.n <= p.n AS off, CASE WHEN b.n > p.n THEN log10((b.n - p.n)::DOUBLE / (ctx.n - mine.n)::DOUBLE) ELSE log10({lm_scoring.ALPHA}::DOUBLE * uni.n / (SELECT count(*) FROM t)) END AS bits
+  FROM p JOIN both_ b ON p.c = b.c AND p.x = b.x JOIN ctx ON p.c = ctx.c JOIN mine ON p.doc_id = mine.doc_id AND p.c = mine.c JOIN uni ON p.x = uni.x)
+SELECT doc_id, sum(n)::BIGINT AS n_tokens, sum(CASE WHEN off THEN n ELSE 0 END)::BIGINT AS n_backoff, round(sum(n * bits) / sum(n), 6) AS score FROM s GROUP BY doc_id""",
+}
