@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.snapshot import Snapshot
 from ..sources.dimension import STRUCTURED
+from ..sources.staging import staged
 from ..sources.writers import exists, prune_history, write_history, write_latest
 
 
@@ -38,9 +39,9 @@ def refresh(watchlist: DataFrame, out: str, keep: int = 30, include_seen: bool =
         if not include_seen:
             claimed = job.pairs.where(F.col("source_group") == STRUCTURED).select("seen_day", "link").distinct()
             claimed.write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
-        write_history(job.ranked, f"{out}/history", f"{number:08d}")
-        done = spark.read.parquet(f"{out}/history/generated_at={number:08d}")
-        write_latest(done, f"{out}/latest")
+        ranked = staged(job.ranked)  # a batch without stories leaves an empty latest table and no history
+        write_history(ranked, f"{out}/history", f"{number:08d}")
+        write_latest(ranked, f"{out}/latest")
         prune_history(spark, f"{out}/history", keep)
 
     return run
