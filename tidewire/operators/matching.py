@@ -9,7 +9,7 @@ from ..functions.text import compact, edged, filled
 from ..sources.dimension import RSS
 
 #: Watchlist entries up to which every article meets the whole watchlist in memory.
-BROADCAST_ENTRIES = 2_000
+BROADCAST_ENTRIES = 200
 #: Characters of a keyword that the join of a large watchlist goes by.
 GRAM = 4
 
@@ -47,8 +47,10 @@ def candidate_pairs(articles: DataFrame, needles: DataFrame, entries: int = BROA
         hit = F.exists("short_keywords", lambda k: F.contains(F.col("__hay"), k))
         return hay.join(F.broadcast(needles), allowed & hit).drop("__hay")
     keyed = needles.select("watch_ord", "ticker", F.explode("short_keywords").alias("__k")).withColumn("__gram", F.substring("__k", 1, GRAM))
-    sizes = F.sequence(F.lit(1), F.lit(GRAM))
-    grams = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("__hay"), F.lit(1))), lambda i: F.substring(F.col("__hay"), i, n)))))
+    sizes = [r[0] for r in keyed.select(F.length("__gram")).distinct().collect()]  # GRAM numbers at most
+    # a look-ahead matches at every place, so overlapping grams come out in one pass
+    grams = [F.regexp_extract_all("__hay", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    grams = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
     spread = hay.select("article_id", "feed_ticker", "__hay", F.explode(grams).alias("__gram"))
     found = spread.join(keyed, "__gram").where(allowed & F.contains("__hay", F.col("__k"))).select("article_id", "watch_ord").distinct()
     return articles.join(found, "article_id").join(needles, "watch_ord")
