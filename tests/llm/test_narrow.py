@@ -18,7 +18,8 @@ ODD = [None, "", " ", "\n", "\x00", "a", "▁", "é ½", "the " * 3000, "x" * 50
 
 def frame(spark, texts, extra=False):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return df.withColumns({"score": F.lit("mine"), "n_words": F.lit(7)}) if extra else df
+    # names that operators use for their own results
+    return df.withColumns({"score": F.lit("mine"), "n_words": F.lit(7), "N_tokens": F.lit(True), "lang_pred": F.lit(None)}) if extra else df
 
 
 @pytest.fixture(scope="module")
@@ -86,10 +87,10 @@ def test_decontaminate_against_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = [contaminated_by_hand(t, items) for t in docs]
     for limit in (decontaminate.BROADCAST_WORDS, 0):
-        rows = decontaminate.annotate(frame(spark, docs), bench, limit=limit).orderBy("doc_id").collect()
-        assert [tuple(r)[2:] for r in rows] == want, limit
+        rows = decontaminate.annotate(frame(spark, docs, True), bench, limit=limit).orderBy("doc_id").collect()
+        assert [tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in rows] == want, limit
     kept = decontaminate.remove_documents(frame(spark, docs, True), bench)
-    assert kept.columns == ["doc_id", "text", "score", "n_words"]
+    assert kept.columns == frame(spark, docs, True).columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, w in enumerate(want) if not w[4]}
     spans = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(frame(spark, docs), bench).collect()}
     assert spans[0] is None and spans[len(docs) - 1] == "" and all(len(WORD.findall(spans[i] or "")) == w[0] - w[1] for i, w in enumerate(want))
@@ -105,7 +106,7 @@ def test_license_scan(spark):
         "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0",
         "SPDX-License-Identifier: AND (",
     ]
-    rows = {r["doc_id"]: r for r in licenses.annotate(frame(spark, texts)).collect()}
+    rows = {r["doc_id"]: r for r in licenses.annotate(frame(spark, texts, True)).collect()}
     phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
     for i, t in enumerate(texts):
         words = WORD.findall(lowered(t))
@@ -130,7 +131,7 @@ def test_language_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     trees = language_id.fit(docs.where(~language_id.held_out()))
     assert trees.labels == ["aa", "bb", "cc"]
-    got = {r["doc_id"]: r for r in language_id.predict(docs.withColumn("x", F.lit(1)), trees).collect()}
+    got = {r["doc_id"]: r for r in language_id.predict(docs.withColumn("score", F.lit("mine")), trees).collect()}
     assert len(got) == len(rows)
     held = [r for r in rows if r[0] < 1000 and __import__("zlib").crc32(str(r[0]).encode()) % 4 == 2]
     assert held and sum(got[i]["lang_pred"] == k for i, _, k in held) >= 0.97 * len(held)

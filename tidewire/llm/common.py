@@ -44,6 +44,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Drop what materialise() has written; call it once the results are stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tidewire")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(batch: pa.RecordBatch, text_col: str, size: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most about `size` bytes of text, or with one longer text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -55,13 +61,21 @@ def slices(batch: pa.RecordBatch, text_col: str, size: int = CHUNK_CHARS) -> Ite
         start = stop
 
 
+def others(df: DataFrame, new: list[str], *kept: str) -> list[str]:
+    """Columns of df whose names aren't among the new ones, whatever the case; `kept` stay."""
+    taken = {n.lower() for n in new}
+    return [c for c in df.columns if c.lower() not in taken or c in kept]
+
+
 def append(df: DataFrame, text_col: str, fields: str, start: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
     """df with columns made from its texts, in Arrow batches; a null text is ''.
 
     start() is called once a task and gives the function from texts to one Arrow array (or
-    list) for each of `fields` (a DDL string). Columns of df pass through unread.
+    list) for each of `fields` (a DDL string). Columns of df pass through unread; one that has
+    the name of a new column is replaced by it.
     """
     new = StructType.fromDDL(fields)
+    df = df.select(*others(df, new.names, text_col))
     schema = StructType([*df.schema.fields, *new.fields])
     types = [to_arrow_type(f.dataType) for f in new.fields]
 
@@ -84,6 +98,6 @@ def unique_ids(docs: DataFrame, id_col: str) -> bool:
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs as (doc, id, text) with doc unique: the id itself, or a number given once and written where ids repeat."""
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if unique_ids(few, "id"):
+    if dict(few.dtypes)["id"] in ("bigint", "int") and unique_ids(few, "id"):
         return few.select(F.col("id").cast("bigint").alias("doc"), "id", "text")
     return materialise(few.withColumn("doc", F.monotonically_increasing_id()), "identified")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, materialise
+from .common import append, materialise, others
 
 WINDOW = 13
 #: Most benchmark words that are broadcast (about 150 bytes each in a worker).
@@ -220,4 +220,5 @@ def _annotate_joined(docs: DataFrame, items: DataFrame, prefix: str, fields: str
     hit = F.size(F.array_distinct(at)).cast("bigint")
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     made = [F.col("__tw_words"), hit, F.size("items").cast("bigint"), F.sha2(listed, 256), (hit > 0) & (20 * hit >= F.col("__tw_words"))]
-    return out.select(*docs.columns, *(c.alias(f.split()[0]) for c, f in zip(made, fields.split(", "))))
+    names = [f.split()[0] for f in fields.split(", ")]
+    return out.select(*others(docs, names, "text"), *(c.alias(f.split()[0]) for c, f in zip(made, fields.split(", "))))

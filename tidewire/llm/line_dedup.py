@@ -11,7 +11,8 @@ joined to the lines of the pages otherwise.
 
 Defined results: a null text stays null and has no lines; lines are what lies between
 newlines, as they stand; blank lines are never dropped; a line is counted once a page; a
-null host is a host of its own; repeated rows count as pages each; a host with fewer than
+null host is a host of its own; repeated rows count as pages each; a column with the name of
+a result is replaced by it; a host with fewer than
 min_pages pages, or a line on fewer than min_pages of them, keeps everything.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, others
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -72,7 +73,8 @@ def annotate(docs: DataFrame, host_col: str = "source", text_col: str = "text",
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.col("__tw_n")).cast("bigint"),
         "n_dropped": F.when(F.col(text_col).isNull(), 0).otherwise(F.col("__tw_n") - F.size("__tw_kept")).cast("bigint"),
     }
-    return out.select(*docs.columns, *(c.alias(prefix + k) for k, c in made.items()))
+    made = {prefix + k: c for k, c in made.items()}
+    return out.select(*others(docs, list(made), host_col, text_col), *(c.alias(k) for k, c in made.items()))
 
 
 def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
