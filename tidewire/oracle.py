@@ -322,3 +322,30 @@ ORACLES["overall_sentiment"] = _sql(
 SELECT watch_ord, ticker, count(*) AS n_scored, avg(CASE WHEN label = 'positive' THEN score ELSE -score END) AS m FROM (SELECT watch_ord, ticker, {_sentiment('title')} FROM pair WHERE source_group = '{RSS}') s WHERE label <> 'neutral' GROUP BY watch_ord, ticker) t""",
     "pair",
 )
+
+
+def _headline(c: str) -> str:
+    return f"length({c}) BETWEEN {HEADLINE_MIN} AND {HEADLINE_MAX} AND lower({c}) NOT IN ({', '.join(map(_q, MENU_LABELS))}) AND length({c}) - length(replace({c}, ' ', '')) >= 2"
+
+
+ORACLES["read_feed_headlines"] = _sql(
+    f"SELECT article_id, source_key, title, summary, link, published FROM (SELECT article_id, source_key, source_group, '<b>' || title || '</b> & more' AS title, summary, link, published FROM article) t WHERE source_group = '{RSS}' AND {_headline('title')}",
+    "article",
+)
+ORACLES["read_news_json"] = _sql(
+    f"SELECT 'accessnewswire' AS source_key, title, summary, link, published FROM article WHERE source_group = '{STRUCTURED}' AND contains(lower(source_name), 'newswire') AND {_headline('title')}", "article"
+)
+ORACLES["read_paged_json"] = _sql(f"SELECT source_key, title, summary, link, published FROM article WHERE source_key = 'accessnewswire' AND {_headline('title')}", "article")
+ORACLES["html_headlines"] = f"""SELECT 'mtnewswires' AS source_key, title, {HOST} || '/news/' || page_id::VARCHAR AS link, ('Lead ' || title)[1:400] AS summary FROM (SELECT page_id, url, {_squeezed(_unescaped(TITLE))} AS title FROM pages) t WHERE {_headline('title')}"""
+ORACLES["usage_from_snapshot"] = _sql(
+    """SELECT ticker, CASE bucket WHEN 'raw' THEN 'raw_matches' WHEN 'primary' THEN 'primary_stories' WHEN 'related' THEN 'related_context' WHEN 'review' THEN 'review_candidates' WHEN 'rejected' THEN 'rejections' ELSE 'primary_story_coverage' END AS bucket, source_name, n
+FROM used WHERE bucket <> 'raw' OR ticker <> 'PANW'""",
+    "used",
+)
+ORACLES["stream_snapshot"] = _sql(
+    f"""SELECT ticker, count(DISTINCT part || ':' || cluster_key) AS n_stories, count(*)::BIGINT AS n_rows FROM (
+SELECT ticker, (article_id % 2)::VARCHAR AS part, CASE WHEN title_key <> '' AND count(*) OVER (PARTITION BY article_id % 2, watch_ord, title_key) > 1 THEN 'title:' || title_key ELSE coalesce(nullif(canonical_link, ''), nullif(title_key, ''), nullif(link, ''), title) END AS cluster_key
+FROM (SELECT *, min(CASE WHEN source_group = '{STRUCTURED}' THEN (article_id % 2) * 1000 + watch_ord END) OVER (PARTITION BY published, link) AS first_claim FROM flagged) c
+WHERE accepted AND related IS NULL AND (source_group <> '{STRUCTURED}' OR (article_id % 2) * 1000 + watch_ord = first_claim)) t GROUP BY ticker""",
+    "flagged",
+)

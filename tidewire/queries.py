@@ -354,13 +354,9 @@ def read_news_json(spark, sf_dir):
     at = shared_folder(spark)
     rows = adapters.articles(spark, sf_dir).where(F.col("source_group") == STRUCTURED)
     item = F.struct(F.col("source_name").alias("source"), F.col("title").alias("headline"), F.col("link").alias("storyurl"), F.col("published").alias("datetime"), F.col("summary").alias("qmsummary"))
-    groups = rows.groupBy(F.floor(F.col("article_id") / 100).alias("g")).agg(F.array_sort(F.collect_list(item)).alias("newsitem"))
-    groups.select(F.struct(F.array(F.struct("newsitem")).alias("news")).alias("results")).write.option("lineSep", "\n").json(at)
-    # one document a line is also valid as one document a file; lines are read as they are
-    raw = spark.read.schema(readers.GROUPED).json(at)
-    many = shared_folder(spark)
-    raw.repartition(max(1, raw.count() // 50)).groupBy(F.spark_partition_id()).agg(F.flatten(F.collect_list("results.news")).alias("news")).select(F.struct("news").alias("results")).repartition(8).write.option("maxRecordsPerFile", 1).json(many)
-    return readers.read_news_json(spark, many, "accessnewswire", "newswire").select("source_key", "title", "summary", "link", "published")
+    groups = rows.groupBy(F.floor(F.col("article_id") / 1000).alias("g")).agg(F.array_sort(F.collect_list(item)).alias("newsitem"))
+    groups.select(F.struct(F.array(F.struct("newsitem")).alias("news")).alias("results")).write.option("maxRecordsPerFile", 1).json(at)
+    return readers.read_news_json(spark, at, "accessnewswire", "newswire").select("source_key", "title", "summary", "link", "published")
 
 
 @query
