@@ -208,7 +208,8 @@ def _repeated_one_by_one(rows: DataFrame) -> DataFrame:
 def repeated_starts(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc, at, n): runs of starts of LENGTH-byte strings that also start elsewhere. docs: doc (a unique id) and text."""
     all_runs = materialise(seed_runs(docs), "seed-runs")
-    seeds = all_runs.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
+    # Ranks are written before they are joined: then both sides of a join are plain exchanges, and a hot rank is split.
+    seeds = materialise(all_runs.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v"), "seeds")
     live = materialise(all_runs.join(seeds, "v", "left_semi"), "live-runs")
     ranks = live.groupBy("v", "e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "at", "n", "off")).alias("first"))
     ranks = materialise(ranks, "run-ranks")
@@ -220,6 +221,7 @@ def repeated_starts(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     texts = _with_text(docs.select("doc", "text"), look, look.agg(F.sum(F.size("look"))).first()[0] or 0, "inner")
     border = materialise(_border_rows(texts), "border-runs")
     sizes = border.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("mine").alias("any")).where("c > 1 AND any")
+    sizes = materialise(sizes.select("key", "c"), "sizes")
     hot = sizes.where(F.col("c") > group_rows).select("key")
     cool = border.join(sizes.where(F.col("c") <= group_rows).select("key"), "key", "left_semi")
     out = past.union(_repeated_in_groups(cool))
