@@ -33,6 +33,7 @@ from .common import append
 ORDER = 3
 SAMPLE_DOCS = 300
 MIN_CONTEXT = 4
+MARGIN = 4
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -48,10 +49,15 @@ def letters_of(text: str) -> bytes:
 def sample(docs: DataFrame, label_col: str, id_col: str, per_label: int = SAMPLE_DOCS) -> DataFrame:
     """At most per_label labelled rows of each label, the same ones at any partitioning.
 
-    Each partition keeps its own first rows of a label, so a frequent label costs no more.
+    They are those with the smallest hash of their id. Of a label with more rows only a share
+    that holds about MARGIN times as many is ranked, so a frequent label costs no more.
     """
     ids = docs.where(F.col(label_col).isNotNull() & F.col("text").isNotNull()).select(id_col, label_col)
-    first = Window.partitionBy(label_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
+    share = ids.groupBy(label_col).agg((F.lit(float(MARGIN * per_label)) / F.count(F.lit(1))).alias("__tw_share"))
+    hashed = F.xxhash64(F.col(id_col).cast("string"))
+    place = (hashed.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    ids = ids.join(F.broadcast(share), label_col).where(place <= F.col("__tw_share"))
+    first = Window.partitionBy(label_col).orderBy(hashed, id_col)
     ids = ids.withColumn("__tw_n", F.row_number().over(first)).where(F.col("__tw_n") <= per_label).select(id_col).distinct()
     return docs.join(F.broadcast(ids), id_col, "left_semi").where(F.col(label_col).isNotNull())
 
