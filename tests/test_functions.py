@@ -96,13 +96,13 @@ def test_rounding(spark):
     ],
 )
 def test_events(spark, title, summary, want):
-    df = spark.createDataFrame([(title, summary)], "a string, b string")
-    got = df.select(rules.event(text.filled(F.col("a")), text.filled(F.col("b"))).alias("e")).first()["e"]
-    assert got["event_type"] == want
+    got = rules.with_event(spark.createDataFrame([(title or "", summary or "")], "title string, summary string")).first()
+    assert got["event_type"] == want and got["event_weight"] == dict((e[0], e[1]) for e in [*rules.EVENTS, rules.OTHER_EVENT])[want]
 
 
 def test_roundups_and_context(spark):
     rows = ["Top stories now", "top 10 picks", "3 stocks to buy", "5 out of 7", "laptop stories", "stock 3"]
     assert column(spark, rows, rules.is_roundup) == [True, True, True, True, False, False]
+    assert column(spark, ["évs x", "é vs x", "vs é"], rules.is_context) == [False, True, True]
     rows = ["A vs B", "canvas", "Magnificent Seven", "record highs", "record high"]
     assert column(spark, rows, rules.is_context) == [True, False, True, True, False]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keywords that say little about one company.
@@ -79,7 +79,13 @@ SENTIMENT_BOUND = 0.15
 
 
 def any_of(c: Column, patterns: list[str]) -> Column:
-    return c.rlike("(?iU)" + "|".join(patterns))
+    r"""Whether a pattern occurs. All begin and end at a word's edge, so the edge is tried once a place.
+
+    Text of ASCII only (as many bytes as characters) goes without Unicode classes, which are slow.
+    """
+    inner = "|".join(p.removeprefix(r"\b").removesuffix(r"\b") for p in patterns)
+    one = rf"\b(?:{inner})\b"
+    return F.when(F.octet_length(c) == F.length(c), c.rlike(f"(?i){one}")).otherwise(c.rlike(f"(?iU){one}"))
 
 
 def is_roundup(title: Column) -> Column:
@@ -90,11 +96,24 @@ def is_context(title: Column) -> Column:
     return any_of(title, CONTEXT)
 
 
-def event(title: Column, summary: Column) -> Column:
-    """struct(event_type, weight): the first type with a pattern in the title, else in the summary."""
-    kind = lambda name, weight: F.struct(F.lit(name).alias("event_type"), F.lit(weight).alias("weight"))
-    out = F.when(F.lit(False), kind(*OTHER_EVENT))
+def event_place(title: Column, summary: Column) -> Column:
+    """Place in EVENTS of the first type with a pattern in the title, else in the summary; after the last for none."""
+    out = F.when(F.lit(False), len(EVENTS))
     for text in (title, summary):
-        for name, weight, patterns in EVENTS:
-            out = out.when(any_of(text, patterns), kind(name, weight))
-    return out.otherwise(kind(*OTHER_EVENT))
+        for i, (_, _, patterns) in enumerate(EVENTS):
+            out = out.when(any_of(text, patterns), i)
+    return out.otherwise(len(EVENTS))
+
+
+def event_name(place: Column) -> Column:
+    return F.get(F.array(*(F.lit(e[0]) for e in [*EVENTS, OTHER_EVENT])), place)
+
+
+def event_weight(place: Column) -> Column:
+    return F.get(F.array(*(F.lit(e[1]) for e in [*EVENTS, OTHER_EVENT])), place)
+
+
+def with_event(df: DataFrame) -> DataFrame:
+    """df with event_type and event_weight; the patterns are tried once a row."""
+    placed = df.withColumn("__event", event_place(F.col("title"), F.col("summary")))
+    return placed.withColumns({"event_type": event_name(F.col("__event")), "event_weight": event_weight(F.col("__event"))}).drop("__event")

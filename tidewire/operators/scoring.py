@@ -12,12 +12,9 @@ from .matching import edged_texts, matched
 
 def prepared(articles: DataFrame) -> DataFrame:
     """What is known of an article whatever the entry: event, title flags, link and title key."""
-    title, summary = F.col("title"), F.col("summary")
-    event = rules.event(title, summary)
-    return edged_texts(articles).withColumns(
+    title = F.col("title")
+    return rules.with_event(edged_texts(articles)).withColumns(
         {
-            "event_type": event["event_type"],
-            "event_weight": event["weight"],
             "__roundup": rules.is_roundup(title),
             "__context": rules.is_context(title),
             "canonical_link": canonical_link(F.col("link")),

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import buckets, clusters, matching, profiles, reports, scoring, seen
-from ..sources.staging import staged
+from ..sources.staging import spread, staged
 
 #: What the tables after scoring need of a pair.
 SCORED = [
@@ -40,7 +40,7 @@ class Snapshot:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        fresh = self.articles if self.seen_links is None else seen.unseen(self.articles, self.seen_links, self.day)
+        fresh = spread(self.articles) if self.seen_links is None else seen.unseen(spread(self.articles), self.seen_links, self.day)
         found = matching.candidate_pairs(scoring.prepared(fresh), profiles.needles(self.profiles))
         return found if self.seen_links is None else seen.first_claim(found)
 

@@ -204,8 +204,7 @@ def matched_terms(spark, sf_dir):
 
 @query
 def event_types(spark, sf_dir):
-    e = rules.event(F.col("title"), F.col("summary"))
-    return adapters.articles(spark, sf_dir).select("article_id", e["event_type"].alias("event_type"), e["weight"].alias("weight"))
+    return rules.with_event(adapters.articles(spark, sf_dir)).select("article_id", "event_type", F.col("event_weight").alias("weight"))
 
 
 @query
