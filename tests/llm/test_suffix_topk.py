@@ -85,6 +85,15 @@ def test_topk_against_brute_force(spark):
     assert exact_topk.search(vectors.limit(0), is_query).count() == 0
 
 
+def test_topk_with_one_query_id_on_many_rows(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate((rng.normal(size=(300, 16)) * 0.1).astype(np.float32))]
+    rows += [(20, [float(np.float32(x + j / 64)) for x in [3.0] * 16]) for j in range(3)] + [(20, [3.0] * 16)] * 22
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = exact_topk.search(vectors, F.col("vec_id") % 10 == 0)
+    assert sorted(map(tuple, got.collect())) == by_hand(rows, 10)
+
+
 def test_topk_reads_few_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     data = np.floor(rng.normal(size=(4000, 32)) * 150).astype(np.int64)

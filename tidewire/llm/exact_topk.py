@@ -62,20 +62,20 @@ class Best:
 
     def _read(self, q: int, most: np.ndarray, least: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         found, k = self.found[q], self.k
-        floor = -np.inf
-        if len(least) > k:  # one may be the query itself, so k others have at least the (k + 1)th bound
-            floor = np.partition(least, len(least) - k - 1)[len(least) - k - 1]
+        other = ids != self.ids[q]  # rows of the query's own id are no candidates, however many there are
+        floor, bounds = -np.inf, least[other]
+        if len(bounds) >= k:  # k candidates have at least the kth largest lower bound
+            floor = np.partition(bounds, len(bounds) - k)[len(bounds) - k]
         if len(found) == k:
             floor = max(floor, -found[-1][0])
-        at = np.flatnonzero(most >= floor)
+        at = np.flatnonzero(other & (most >= floor))
         at = at[np.argsort(-most[at], kind="stable")]
         for i in range(0, len(at), READ):
             some = at[i : i + READ]
             if len(found) == k and most[some[0]] < -found[-1][0]:
                 break  # the kth result is certain
             score = vectors[some] @ self.vectors[q]
-            mine = ids[some] != self.ids[q]
-            found = sorted([*found, *zip((-score[mine]).tolist(), ids[some][mine].tolist())])[:k]
+            found = sorted([*found, *zip((-score).tolist(), ids[some].tolist())])[:k]
         self.found[q] = found
 
 
