@@ -22,7 +22,7 @@ of the component, nulls left out (null if it has no other); repeated rows are ea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +44,23 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACES = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of one text."""
+def hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 values of the shingles of one text."""
     words = [w for w in text.encode().translate(SPACES).split(b" ") if w]
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     starts = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
     ends = (starts[shingle:] if len(words) >= shingle else starts[-1:]) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist())], np.uint64)
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist())], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one text."""
+    h = hashes(text, shingle)
+    n = len(h)
     set_ = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
         set_ += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -173,8 +179,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return fp.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", annotate: Callable[..., DataFrame] = annotate) -> DataFrame:
+    """docs with one document of each component that annotate tells: the one with the smallest id.
 
     Ids that are null come after all others; of rows that tie one is kept. The ids that go
     are broadcast if they are at most BROADCAST_IDS, else the texts are shuffled once.
