@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import regex
 from pyspark.sql import functions as F
 
 from tidewire.llm import pii
@@ -51,7 +53,7 @@ def test_base_entities(spark):
         r = got[i]
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == j for _, k, _ in want) for j in range(4)], t
         assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest(), t
-        assert [x for x in r["spans"].split(",") if x and not x.startswith("context")] == listed, t
+        assert [x for x in r["spans"].split(",") if x and not x.startswith(("context", "secret"))] == listed, t
     assert pii.annotate(docs.limit(0)).count() == 0
     # nothing but DataFrame functions
     plan = pii.annotate(docs)._jdf.queryExecution().executedPlan().toString()
@@ -71,3 +73,135 @@ def test_patterns_discover_unseen_identifiers(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs.union(spark.createDataFrame([(99, None)], docs.schema))).collect()}
     assert clean[60] == "words, my card number [CONTEXT] thanks" and clean[0] == "words here, my card number [CARD] thanks"
     assert clean[99] is None and clean[62] == rows[62]
+
+
+# The graph by hand ------------------------------------------------------------------------
+
+SPACE = r"[ \t\n\x0b\f\r]"
+NOT_SPACE = r"[^ \t\n\x0b\f\r]"
+
+
+def ascii_spaces(p):
+    return p.replace(r"[^\s=:]", r"[^ \t\n\x0b\f\r=:]").replace(r"[^\s0-9@]", r"[^ \t\n\x0b\f\r0-9@]").replace(r"\S", NOT_SPACE).replace(r"\s", SPACE)
+
+
+def around(text, pattern):
+    """(start, match, before, behind): the surroundings reach to the matches next to it."""
+    ms = list(regex.finditer(ascii_spaces(pattern), text))
+    for i, m in enumerate(ms):
+        left = ms[i - 1].start() if i else 0
+        right = ms[i + 1].end() if i + 1 < len(ms) else len(text)
+        yield m.start(), m[0], text[left : m.start()][-pii.BEFORE :], text[m.end() : right][: pii.BEHIND]
+
+
+def cut(at, m, before, behind, lead, value):
+    return at + lead, value, (before + m[:lead])[-pii.BEFORE :], (m[lead + len(value) :] + behind)[: pii.BEHIND]
+
+
+def touches(a, b):
+    return a[0] < b[0] + len(b[1]) and b[0] < a[0] + len(a[1])
+
+
+def shape(m):
+    low = m.lower()
+    if re.search("[0-9][a-z]", low) and re.search("[a-z][0-9]", low):
+        if re.search("^[0-9a-f]{16,}$", low):
+            return "hex"
+        if re.search("^[a-z0-9+/_=.-]{16,}$", low):
+            return "mix"
+    return regex.sub(r"\p{N}", "0", regex.sub(r"\p{L}+", "a", low))[-pii.SHAPE_END :]
+
+
+def lexical(m, before, behind):
+    said = lambda x: re.sub(SPACE + "+", " ", regex.sub(r"\p{N}", "0", x.lower()))
+    first = lambda p, x, g: (lambda y: y[g] if y else "")(regex.search(ascii_spaces(p), x))
+    left, key, right = said(first(pii.TWO_WORDS, before, 0)).strip(" "), first(pii.KEY, before, 1).lower(), said(first(pii.NEXT_WORD, behind, 1))
+    some = [left and f"l:{left}", key and f"k:{key}", f"s:{shape(m)}", right and f"r:{shape(m)} {right}"]
+    return [x for x in some if x]
+
+
+def graph_by_hand(texts):
+    found = []  # document, start, instance, kind, patterns
+    for d, t in enumerate(texts):
+        t = t or ""
+        base = []
+        for kind, pattern in pii.BASE.items():
+            p = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}[kind].pattern
+            ok = {(a, e) for a, k, e in by_hand(t) if pii.KINDS[k] == kind}
+            base += [(kind, x) for x in around(t, p) if (x[0], x[0] + len(x[1])) in ok]
+        secret = []
+        for at, m, before, behind in around(t, pii.SECRETS):
+            v = re.search(r"[A-Za-z0-9+/_.-]{32,}={0,2}$", m)[0]
+            x = cut(at, m, before, behind, len(m) - len(v), v)
+            if re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= pii.SECRET_KINDS and not any(touches(x, b) for _, b in base):
+                secret.append(("secret", x))
+        token = []
+        for at, m, before, behind in around(t, pii.CANDIDATE):
+            lead = len(regex.match(ascii_spaces(pii.LEAD), m)[0])
+            v = regex.sub(pii.TRAIL, "", m[lead:])
+            x = cut(at, m, before, behind, lead, v)
+            if (len(re.sub("[^0-9]", "", v)) >= pii.DIGITS or "@" in v) and not any(touches(x, b) for _, b in [*base, *secret]):
+                token.append(("context", x))
+        found += [(d, x[0], x[1].lower(), kind, lexical(x[1], x[2], x[3]), len(x[1])) for kind, x in [*base, *secret, *token]]
+    label, edges = {}, set()
+    for _, _, m, kind, ps, _ in found:
+        for p in ps:
+            edges.add((p, m))
+            new = 1.0 if kind != "context" else 0.0 if re.search(pii.FAILED, m) else None
+            if new is not None:
+                label[p, m] = max(label.get((p, m), 0.0), new)
+    best = {}
+    for left in range(pii.ROUNDS, 0, -1):
+        sums, n = Counter(), Counter()
+        for p, m in edges:
+            two = best.get(m, [])
+            other = next((x for x, q in two if q != p), 0.0)
+            sums[p] += label.get((p, m), other)
+            n[p] += 1
+        score = {p: sums[p] / (n[p] + pii.SMOOTHING) for p in n}
+        best = {}
+        for p, m in edges:
+            if (p, m) not in label and score[p] > 0:
+                best.setdefault(m, []).append((score[p], p))
+        best = {m: sorted(x, key=lambda y: (-y[0], y[1]))[:2] for m, x in best.items()}
+    out = [set() for _ in texts]
+    for d, at, m, kind, ps, size in found:
+        if kind != "context" or (any(score[p] >= pii.CONFIDENCE for p in ps) and not re.search(pii.FAILED, m)):
+            out[d].add((at, pii.KINDS.index(kind), at + size))
+    return [",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(x)) for x in out]
+
+
+def planted():
+    random.seed(8)
+    hexed = lambda n: "".join(random.choices("0123456789abcdef", k=n))
+    out = list(texts()[:200])
+    for _ in range(12):
+        out += [
+            f'conf token = "{hexed(40)}" end', f"user id {card(16)} was seen", f"call my phone +1 (555) 010-{random.randint(1000, 9999)} now", f"server at 10.0.{random.randint(0, 255)}.7 up",
+            f"order {random.randint(10**15, 10**16 - 1)} shipped", f"released in march {random.randint(1000, 9999)} for all", f"api_key: '{hexed(36)}xyZ+/' x", f"mail {hexed(6)}@mail.example.com today",
+        ]
+    out += [f"TOKEN = {hexed(40).upper()} loud", f"token={hexed(20)}!", "user id QX-99812-7 was seen", "call my phone (555) 010-1234 now", "mail root@localhost today", "server at 10.0.0.999 up", "token = 12345", "the (user) id \"AB 12345\" was", f'x token = "{hexed(40)}" "{hexed(40)}"']
+    return out
+
+
+def test_spans_against_the_graph_by_hand(spark):
+    rows = planted()
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in pii.annotate(docs).collect()}
+    want = graph_by_hand(rows)
+    for i, t in enumerate(rows):
+        assert got[i]["spans"] == want[i], t
+        assert got[i]["n_spans"] == len([x for x in want[i].split(",") if x]) and got[i]["n_context"] == want[i].count("context")
+    n = sum(w.count("context") for w in want)
+    assert 4 <= n < 40 and sum(w.count("secret") for w in want) >= 24
+    late = dict(zip(rows[-9:], want[-9:]))
+    assert "context" in late["user id QX-99812-7 was seen"] and late["server at 10.0.0.999 up"] == ""
+
+
+def test_very_long_texts(spark):
+    rows = [" ".join(f"{i:05d}" for i in range(30_000)), "a@b.c " * 20_000, "1.2.3.4 77777 " * 10_000]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.annotate(docs).collect()}
+    assert got[1]["n_email"] == 20_000 and got[2]["n_ip"] == 10_000
+    at = [tuple(map(int, x.split(":")[1:])) for x in got[2]["spans"].split(",") if x.startswith("ip")]
+    assert all(rows[2][a:b] == "1.2.3.4" for a, b in at)

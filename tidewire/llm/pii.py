@@ -1,16 +1,26 @@
 """Personal data in texts by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base entities (e-mail and IP addresses, card and phone numbers) are found by pattern and
-checked. They are the seeds of a graph: an identifier-like token (it has DIGITS digits, or
-a sign @) is an instance, the words before it are its lexical pattern, and each pair seen in
-the corpus is an edge. Spark scores both sides in turn for ROUNDS rounds: a pattern by the
-share of its distinct instances' scores (with SMOOTHING against small numbers), an instance
-that is no seed by the best of its patterns. Identifiers behind a pattern of CONFIDENCE or
-more become spans of kind `context`, unless they touch a base span.
+checked; sure secrets are long mixed strings in quotes behind a key word (SECRETS). Both are the
+seeds of a graph. Other identifier-like tokens (DIGITS digits, or a sign @), such as secrets in
+capitals, without quotes or of any other kind, are instances without a label.
+Every occurrence induces up to four lexical patterns:
+
+l  the two words before it        k  the key before a sign = or :
+s  the end of its shape           r  its shape and the word behind it
+
+and each (pattern, instance) pair of the corpus is an edge. Spark scores both sides in turn for
+ROUNDS rounds: a pattern by the share of its distinct instances' scores (with SMOOTHING against
+small numbers), an instance by the best of its patterns, so what one pattern finds counts for
+the next, but never for itself: towards its best pattern an instance counts with its second
+best. Seeds keep score 1; tokens that have the form of a base entity and fail its check are
+counterexamples with score 0. Other identifiers with a pattern of CONFIDENCE or more become
+spans of kind `context`. Neither secrets nor these touch a base span.
 
 Matches of a kind are leftmost, non-overlapping, and dropped without a retry if the check
 fails. The patterns below are the stated ones with possessive repeats and look-behinds where
-these can't change a match, so that no text makes them backtrack.
+these can't change a match, so that no text makes them backtrack. Places of matches are running
+sums in two levels, so a text's cost follows its length and not the square of its matches.
 
 Offsets are code points, ends exclusive. Defined results: a null or empty text has no spans
 (empty strings, and the digest of the empty string); rows are independent, but all rows'
@@ -19,31 +29,73 @@ seeds count for the patterns; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-KINDS = ["email", "ip", "card", "phone", "context"]
+KINDS = ["email", "ip", "card", "phone", "secret", "context"]
+SECRET, CONTEXT = 4, 5
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+KEY_WORDS = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth"
+VALUE = r"[A-Za-z0-9+/_.-]{32,}+={0,2}+"
+SECRETS = rf"""(?<![A-Za-z0-9])(?:{KEY_WORDS})s?["']?\s{{0,3}}[=:]\s{{0,3}}["']{VALUE}(?=["'])"""
+#: Distinct characters of a secret, at least.
+SECRET_KINDS = 8
 #: A text without a match of this has none of the kind.
-GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "secret": r"""[=:]\s{0,3}["'][A-Za-z0-9+/_.-]{32}"""}
 BYTE_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: Tokens of such a form that are no base entities failed a check.
+FAILED = r"^(?:[0-9]+(?:\.[0-9]+){3}|\+[0-9][().0-9-]+[0-9]|[0-9](?:-?[0-9]){13,18})$"
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-CORE = r"""^["'(\[<{]*+(.*?)[.,;:!?"')\]>}]*$"""
+#: What of a token stands before its identifier: a key with its sign, then marks.
+LEAD = r"^(?:[^\s=:]*[A-Za-z][^\s=:]*[=:])?[^\p{L}\p{N}@+]*"
+TRAIL = r"[^\p{L}\p{N}=]+$"
 DIGITS = 4
-#: Characters before an identifier that its pattern may come from, and its words.
-REACH = 48
-WORDS_BEFORE = r"(?:\S+\s+)?\S+\s*$"
+#: Characters before and behind an identifier that its patterns may come from.
+BEFORE, BEHIND = 48, 24
+TWO_WORDS = r"\S+\s+\S+\s*$"
+KEY = r"""([A-Za-z][A-Za-z0-9_-]*)["']?\s*[=:]\s*[^\p{L}\p{N}]*$"""
+NEXT_WORD = r"^\S*\s+(\S+)"
+#: Characters of a shape's end.
+SHAPE_END = 14
 ROUNDS = 3
 SMOOTHING = 1.0
 CONFIDENCE = 0.75
-FIELDS = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+#: Elements that one inner sum runs over.
+CHUNK = 256
+MATCH = "array<struct<start: int, kind: int, end: int, m: string, before: string, behind: string>>"
+SPAN = "array<struct<start: int, kind: int, end: int>>"
+ENTITY = "array<struct<start: int, kind: int, end: int, instance: string, patterns: array<string>>>"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(xs: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op over each element of an array of int and all before it (0 before the first), in chunks, then over the chunks."""
+    none = F.array().cast("array<int>")
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))
+    step = lambda acc, x: F.array_append(acc, op(last(acc), x))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(xs, c * CHUNK + 1, CHUNK), none, step))
+    carried = lambda parts: F.aggregate(parts, none, lambda acc, x: F.array_append(acc, op(last(acc), last(x))))
+    whole = _let(
+        F.struct(chunks.alias("parts")),
+        lambda p: _let(
+            F.struct(p["parts"].alias("parts"), carried(p["parts"]).alias("sums")),
+            lambda q: F.flatten(F.transform(q["parts"], lambda part, i: F.transform(part, lambda x: op(F.coalesce(F.get(q["sums"], i - 1), F.lit(0)), x)))),
+        ),
+    )
+    return F.when(F.size(xs) > 0, whole).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -68,73 +120,123 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Array of (start, m, before) of all matches: what lies between them gives their places."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    none = F.array().cast("array<struct<start: int, m: string, before: string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), none.alias("out"))
+def _matches(text: Column, pattern: str, kind: int) -> Column:
+    """Array of all matches: what lies between them gives their places and their surroundings."""
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("ms"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        before = F.concat(acc["last"], F.right(x["gap"], F.lit(REACH)))
-        one = F.struct(at.alias("start"), x["m"].alias("m"), before.alias("before"))
-        more = F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one))
-        return F.struct((at + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.coalesce(x["m"], F.lit("")).alias("last"), more.alias("out"))
+    def placed(p: Column) -> Column:
+        ends = _running(F.transform(p["ms"], lambda m, i: F.length(F.get(p["gaps"], i)) + F.length(m)), lambda a, b: a + b)
+        return _let(F.struct(p["gaps"].alias("gaps"), p["ms"].alias("ms"), ends.alias("ends")), lambda q: F.transform(q["ms"], lambda m, i: one(q, m, i)))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def one(q: Column, m: Column, i: Column) -> Column:
+        end = F.get(q["ends"], i)
+        before = F.right(F.concat(F.coalesce(F.get(q["ms"], i - 1), F.lit("")), F.get(q["gaps"], i)), F.lit(BEFORE))
+        behind = F.left(F.concat(F.get(q["gaps"], i + 1), F.coalesce(F.get(q["ms"], i + 1), F.lit(""))), F.lit(BEHIND))
+        return F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("m"), before.alias("before"), behind.alias("behind"))
 
+    return _let(parts, placed)
 
-def _span(kind: str, start: Column, end: Column) -> Column:
-    return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
 
+def base_matches(text: Column) -> Column:
+    """Array of the base entities, in order of start, then kind."""
 
-NO_SPANS = "array<struct<start: int, kind: int, end: int>>"
+    def of(kind: str) -> Column:
+        ok = F.filter(_matches(text, BASE[kind], KINDS.index(kind)), lambda x: _valid(kind, x["m"]))
+        return F.when(text.rlike(GUARD[kind]), ok).otherwise(F.array().cast(MATCH))
 
+    return F.array_sort(F.concat(*map(of, BASE)))
 
-def base_spans(text: Column) -> Column:
-    """Array of (start, kind, end) of the base entities, in order."""
 
-    def of(kind: str) -> Column:
-        ok = F.filter(_matches(text, BASE[kind]), lambda x: _valid(kind, x["m"]))
-        spans = F.transform(ok, lambda x: _span(kind, x["start"], x["start"] + F.length(x["m"])))
-        return F.when(text.rlike(GUARD[kind]), spans).otherwise(F.array().cast(NO_SPANS))
+def _inner(x: Column, value: Column, lead: Column) -> Column:
+    """The match x cut to the part `value` of it that stands behind `lead` characters."""
+    start = x["start"] + lead
+    rest = F.concat(F.substring(x["m"], lead + F.length(value) + 1, F.length(x["m"])), x["behind"])
+    before = F.right(F.concat(x["before"], F.substring(x["m"], F.lit(1), lead)), F.lit(BEFORE))
+    return F.struct(start.alias("start"), x["kind"].alias("kind"), (start + F.length(value)).alias("end"), value.alias("m"), before.alias("before"), F.left(rest, F.lit(BEHIND)).alias("behind"))
+
+
+def secret_matches(text: Column) -> Column:
+    """Array of the long mixed strings behind a key word."""
+
+    def value(x: Column) -> Column:
+        v = F.regexp_extract(x["m"], f"{VALUE}$", 0)
+        return _inner(x, v, F.length(x["m"]) - F.length(v))
+
+    mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(x["m"], ""))) >= SECRET_KINDS)
+    found = F.filter(F.transform(_matches(text, SECRETS, SECRET), value), mixed)
+    return F.when(text.rlike(GUARD["secret"]), found).otherwise(F.array().cast(MATCH))
 
-    return F.array_sort(F.concat(*map(of, BASE)))
 
+def token_matches(text: Column) -> Column:
+    """Array of the identifier-like tokens, without the marks around them."""
 
-def candidates(text: Column, base: Column) -> Column:
-    """Array of (start, end, pattern, instance, seed) of identifier-like tokens with words before them."""
+    def core(x: Column) -> Column:
+        lead = F.length(F.regexp_extract(x["m"], LEAD, 0))
+        return _let(F.struct(x.alias("x"), lead.alias("lead")), lambda y: _inner(y["x"], F.regexp_replace(F.substring(y["x"]["m"], y["lead"] + 1, F.length(y["x"]["m"])), TRAIL, ""), y["lead"]))
 
-    def shaped(x: Column) -> Column:
-        core = F.regexp_extract(x["m"], CORE, 1)
-        start = x["start"] + F.position(F.substring(core, 1, 1), x["m"]) - 1
-        pattern = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(x["before"], WORDS_BEFORE, 0)), "[0-9]", "0"), r"\s+", " ")
-        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), pattern.alias("pattern"), F.lower(core).alias("instance"))
+    enough = lambda x: (F.length(_digits(x["m"])) >= DIGITS) | F.contains(x["m"], F.lit("@"))
+    found = F.filter(F.transform(_matches(text, CANDIDATE, CONTEXT), core), enough)
+    return F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast(MATCH))
 
-    def marked(x: Column) -> Column:
-        seed = F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return F.struct(x["start"], x["end"], x["pattern"], x["instance"], seed.alias("seed"))
 
-    some = F.transform(_matches(text, CANDIDATE), shaped)
-    some = F.filter(some, lambda x: (x["pattern"] != "") & ((F.length(_digits(x["instance"])) >= DIGITS) | F.contains(x["instance"], F.lit("@"))))
-    kind = "array<struct<start: int, end: int, pattern: string, instance: string, seed: boolean>>"
-    return F.when(text.rlike("[0-9@]"), F.transform(some, marked)).otherwise(F.array().cast(kind))
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans (disjoint, in order) that touch none of the others (in order), in one pass over both."""
+    edge = lambda x, i, mine: F.struct(x["start"].alias("start"), F.lit(mine).alias("mine"), x["end"].alias("end"), i.alias("i"))
+    both = F.array_sort(F.concat(F.transform(others, lambda x, i: edge(x, i, 0)), F.transform(spans, lambda x, i: edge(x, i, 1))))
+
+    def kept(p: Column) -> Column:
+        covered = _running(F.transform(p, lambda x: F.when(x["mine"] == 0, x["end"]).otherwise(0)), F.greatest)
+        free = lambda q: F.filter(F.transform(q["p"], lambda x, j: F.struct(x.alias("x"), ((x["mine"] == 1) & (F.get(q["covered"], j) <= x["start"]) & F.coalesce(F.get(q["p"], j + 1)["start"] >= x["end"], F.lit(True))).alias("ok"))), lambda y: y["ok"])
+        return _let(F.struct(p.alias("p"), covered.alias("covered")), lambda q: F.transform(free(q), lambda y: F.get(spans, y["x"]["i"])))
+
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), _let(both, kept)).otherwise(spans)
+
+
+def _shape(m: Column) -> Column:
+    low = F.lower(m)
+    plain = F.right(F.regexp_replace(F.regexp_replace(low, r"\p{L}+", "a"), r"\p{N}", "0"), F.lit(SHAPE_END))
+    mixed = low.rlike("[0-9][a-z]") & low.rlike("[a-z][0-9]")
+    return F.when(mixed & low.rlike("^[0-9a-f]{16,}$"), "hex").when(mixed & low.rlike(r"^[a-z0-9+/_=.-]{16,}$"), "mix").otherwise(plain)
+
+
+def entities(found: Column) -> Column:
+    """Array of (start, kind, end, instance, patterns) of matches."""
+    said = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"\p{N}", "0"), r"\s+", " ")
+
+    def made(x: Column) -> Column:
+        left, key, right = F.trim(said(F.regexp_extract(x["before"], TWO_WORDS, 0))), F.lower(F.regexp_extract(x["before"], KEY, 1)), said(F.regexp_extract(x["behind"], NEXT_WORD, 1))
+        shape = _shape(x["m"])
+        some = F.array(F.when(left != "", F.concat(F.lit("l:"), left)), F.when(key != "", F.concat(F.lit("k:"), key)), F.concat(F.lit("s:"), shape), F.when(right != "", F.concat(F.lit("r:"), shape, F.lit(" "), right)))
+        return F.struct(x["start"], x["kind"], x["end"], F.lower(x["m"]).alias("instance"), F.array_compact(some).alias("patterns"))
+
+    return F.when(F.size(found) > 0, F.transform(found, made)).otherwise(F.array().cast(ENTITY))
 
 
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern) of those whose score reaches the confidence; found: pattern, instance, seed of every occurrence.
+    """(pattern, p) of those whose score reaches the confidence.
 
-    Edges are summed once; each round joins and sums them by pattern, then by instance.
+    found: pattern, instance and kind of every occurrence. Edges are summed once; each round
+    joins and sums them by pattern, then by instance. What is joined is written before, so a
+    pattern or an instance with very many edges can be split; of an instance's patterns every
+    task keeps the two best.
     """
-    edges = materialise(found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    instance = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    label = F.when(F.col("kind") != CONTEXT, 1.0).when(F.col("instance").rlike(FAILED), 0.0)
+    edges = materialise(found.groupBy("pattern", "instance").agg(F.max(label).alias("label")), "edges")
+    best = None
     for left in range(rounds, 0, -1):
+        if best is None:
+            scored = edges.withColumn("score", F.coalesce("label", F.lit(0.0)))
+        else:
+            other = F.when(F.col("pattern") == F.col("best.pattern"), F.col("second")).otherwise(F.col("best.p"))
+            scored = edges.join(best, "instance", "left").withColumn("score", F.coalesce("label", other, F.lit(0.0)))
         share = F.sum("score") / (F.count(F.lit(1)) + F.lit(SMOOTHING))
-        pattern = edges.join(instance, "instance").groupBy("pattern").agg(share.alias("p"))
+        pattern = materialise(scored.groupBy("pattern").agg(share.alias("p")).where("p > 0"), "patterns")
         if left > 1:
-            best = F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("p")))
-            instance = materialise(edges.join(pattern, "pattern").groupBy("instance").agg(best.alias("score")), "instances")
-    return pattern.where(F.col("p") >= confidence).select("pattern")
+            open_ = edges.where("label IS NULL").select("pattern", "instance").join(pattern, "pattern")
+            two = open_.withColumn("rank", F.row_number().over(Window.partitionBy("instance").orderBy(F.desc("p"), "pattern"))).where("rank <= 2")
+            of = lambda n, x: F.max(F.when(F.col("rank") == n, x))
+            best = materialise(two.groupBy("instance").agg(of(1, F.struct("p", "pattern")).alias("best"), of(2, F.col("p")).alias("second")), "instances")
+    return pattern.where(F.col("p") >= confidence)
 
 
 def _listed(spans: Column) -> Column:
@@ -144,23 +246,27 @@ def _listed(spans: Column) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__tw_row, id, base, all) of every document: arrays of (start, kind, end)."""
+    plain = lambda x: F.struct(x["start"], x["kind"], x["end"])
     few = docs.select(F.monotonically_increasing_id().alias("__tw_row"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    few = few.withColumn("base", base_spans(F.col("t")))
-    rows = materialise(few.select("__tw_row", "id", "base", candidates(F.col("t"), F.col("base")).alias("candidates")), "pii")
-    found = rows.select("__tw_row", F.explode("candidates").alias("c")).select("__tw_row", "c.*")
-    good = confident_patterns(found.select("pattern", "instance", "seed"))
-    new = found.where("NOT seed").join(good, "pattern", "left_semi")
-    new = new.groupBy("__tw_row").agg(F.collect_list(_span("context", F.col("start"), F.col("end"))).alias("new"))
-    more = F.coalesce("new", F.array().cast(NO_SPANS))
-    return rows.join(new, "__tw_row", "left").select("__tw_row", "id", "base", F.array_sort(F.concat("base", more)).alias("all"))
+    few = few.withColumn("base", base_matches(F.col("t"))).withColumn("secret", secret_matches(F.col("t"))).withColumn("token", token_matches(F.col("t")))
+    few = few.withColumn("seeds", F.array_sort(F.concat("base", _apart(F.col("secret"), F.col("base")))))
+    few = few.withColumn("found", F.concat("seeds", _apart(F.col("token"), F.col("seeds"))))
+    rows = materialise(few.select("__tw_row", "id", F.transform("base", plain).alias("base"), F.transform("seeds", plain).alias("seeds"), entities(F.col("found")).alias("found")), "pii")
+    found = rows.select("__tw_row", F.explode("found").alias("e")).select("__tw_row", "e.*")
+    found = found.select("__tw_row", "start", "kind", "end", "instance", F.explode("patterns").alias("pattern"))
+    good = confident_patterns(found.select("pattern", "instance", "kind"))
+    new = found.where((F.col("kind") == CONTEXT) & ~F.col("instance").rlike(FAILED)).join(good, "pattern", "left_semi")
+    new = new.groupBy("__tw_row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("new"))
+    more = F.coalesce("new", F.array().cast(SPAN))
+    return rows.join(new, "__tw_row", "left").select("__tw_row", "id", "base", F.array_sort(F.concat("seeds", more)).alias("all"))
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_context, n_spans) of every document."""
     out = find(docs, id_col, text_col)
-    of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
-    count = [of(k) for k in range(4)]
-    return out.select(F.col("id").alias(id_col), *count, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"))
+    of = lambda k: F.size(F.filter("all", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
+    more = [*map(of, (SECRET, CONTEXT)), F.size("all").cast("bigint").alias("n_spans")]
+    return out.select(F.col("id").alias(id_col), *map(of, range(SECRET)), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"), *more)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,10 +278,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = find(rows.select("__tw_row", "__tw_text"), "__tw_row", "__tw_text").select(F.col("id").alias("__tw_row"), F.col("all").alias("__tw_spans"))
     text = F.col("__tw_text")
 
-    def step(acc: Column, x: Column) -> Column:
-        name = F.get(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["kind"])
-        part = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), name)
-        return F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), part.alias("out")))
-
-    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    # a span counts if it starts behind all spans before it; pieces are cut once and joined once
+    ends = lambda s: _running(F.transform(s, lambda x: x["end"]), F.greatest)
+    before = lambda q, i: F.coalesce(F.get(q["ends"], i - 1), F.lit(0))
+    name = lambda x: F.get(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["kind"])
+    piece = lambda q: lambda x, i: F.when(x["start"] < before(q, i), F.lit("")).otherwise(F.concat(F.substring(text, before(q, i) + 1, x["start"] - before(q, i)), name(x)))
+    clean = _let(F.struct(spans.alias("s"), ends(spans).alias("ends")), lambda q: F.concat(F.array_join(F.transform(q["s"], piece(q)), ""), F.substring(text, before(q, F.size(q["s"])) + 1, F.length(text))))
     return rows.join(found, "__tw_row").select(id_col, F.when(text.isNotNull(), clean).alias(text_col))
