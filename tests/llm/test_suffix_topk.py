@@ -30,11 +30,11 @@ def passages():
     return texts + texts[20:24]
 
 
-@pytest.mark.parametrize("group_rows", [suffix_dedup.GROUP_ROWS, 1])
-def test_repeats_against_brute_force(spark, group_rows):
+@pytest.mark.parametrize("limit", [suffix_dedup.BROADCAST_BYTES, 0])
+def test_repeats_against_brute_force(spark, limit):
     texts = passages()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("doc", F.lit("mine")).repartition(3)
-    got = suffix_dedup.annotate(docs, group_rows=group_rows).drop("spans").collect()
+    got = suffix_dedup.annotate(docs, limit=limit).drop("spans").collect()
     want = removed_by_hand(texts)
     assert sum(w[1] for w in want) > 1000
     assert {r[0]: tuple(r)[1:] for r in got} == dict(enumerate(want))

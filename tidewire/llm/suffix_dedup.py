@@ -1,27 +1,31 @@
-"""Removal of repeated 200-byte passages by distributed prefix doubling.
-
-Position rank pairs are sorted at growing offsets and reranked until a position is unique
-or its rank covers LENGTH bytes. A rank is the 64-bit name of the bytes it covers, so equal
-ranks meet in a shuffle without a global order. What makes it affordable is that a whole run
-of neighbouring positions has one rank as long as it can:
-
-1. SEED bytes. Each start of a LENGTH-byte string is ranked by the smallest SEED-byte name
-   inside the string (leftmost, if equal). Equal strings have equal smallest names at equal
-   offsets, and starts with the same one form a run. Runs with a unique rank drop out.
-2. The whole run. The pair (seed rank, rank of all bytes that the run's strings cover) is
-   past the threshold: if two runs share it, all their starts are repeated.
-3. Runs that are still unique in a group, and one run of each other rank of that group, are
-   ranked by the seed and the bytes next to it, to the right for strings with more there,
-   else to the left (over twice the seed). Unique pairs drop out.
-4. LENGTH bytes. The starts of what is left are ranked one by one.
-
-Only step 4 has a row's bytes in a shuffle, and only for runs at the borders of repeated
-passages. Groups of step 4 with more than GROUP_ROWS runs are spread by the rank of each
-single start instead, so no task holds an unbounded group.
+"""Removal of repeated 200-byte passages by distributed prefix doubling, over sampled positions.
+
+Spark ranks positions by what they cover, at growing offsets: pairs (rank, rank at an offset)
+are grouped, equal pairs become a rank of the next round, positions whose rank is unique drop
+out, and a position is done once its rank covers LENGTH bytes. Ranks are names of bytes (equal
+bytes, equal names), so the rank at an offset is read from the position's own text instead of
+joined from another row; what decides is always a pair, 128 bits together.
+
+A row a byte and round would write 24 bytes and more for each byte. So the first rounds run on
+sampled positions: of each LENGTH-byte string the leftmost one with the smallest SEED-byte name.
+Equal strings have it at equal places, and neighbouring starts with the same one form a run.
+
+1. SEED bytes: runs ranked by their seed. Unique ranks drop out with all their starts.
+2. All bytes of a run: pairs (seed, name of all that its strings cover). If two runs share a
+   pair, all their starts are repeated and done; one of them stays as a partner of others.
+3. SEED + SIDE bytes: what is left of groups with several such pairs is ranked by the seed and
+   the bytes next to it, to the right for strings with more there, else to the left. Unique
+   pairs drop out.
+4. LENGTH bytes: pairs (rank of 3, name of the string) of every single start that is left.
+
+Every round is a groupBy with partial counts, written to the shared folder before it is joined
+back, so a hot rank is split by Spark and no task holds a group. Texts don't move unless the
+rows to look up or the spans found exceed BROADCAST_BYTES; then they are joined by document.
 
 Defined results: texts are UTF-8 bytes, null is empty; a string also repeats if its other
 start is in the same document, overlapping or not; rows that share an id, or have none, are
-documents each; an empty table gives an empty result.
+documents each; columns other than the id and the text are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +40,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import identified, materialise
-from .simhash import whole_groups
 
 LENGTH = 200
 SEED = 64
@@ -47,9 +50,11 @@ SIDE = (LENGTH - SEED) // 2
 PLACE = 20
 SEGMENT = (1 << PLACE) - 1
 CHUNK_BYTES = 4_000_000
-GROUP_ROWS = 5_000
-#: Most rows of spans or of runs to look up that are broadcast to the texts.
-BROADCAST_ROWS = 2_000_000
+#: Rows that a task holds before they leave as a batch.
+ROWS_HELD = 5_000
+#: Most bytes of spans or of runs to look up that are broadcast to the texts, and bytes of one as Spark holds it.
+BROADCAST_BYTES = 64_000_000
+SPAN_BYTES, LOOK_BYTES = 8, 56
 SPREAD = 0x9E3779B97F4A7C15
 
 
@@ -129,16 +134,24 @@ def seed_runs(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, at long, n int, off int, v long, e long")
 
 
-def _with_text(docs: DataFrame, found: DataFrame, rows: int, how: str) -> DataFrame:
-    """docs joined to a table with one row a document; that table is broadcast if `rows` is small."""
-    return docs.join(F.broadcast(found) if rows <= BROADCAST_ROWS else found, "doc", how)
+def _with_text(docs: DataFrame, found: DataFrame, size: int, how: str, limit: int) -> DataFrame:
+    """docs joined to a table with one row a document; that table is broadcast if its `size` in bytes is within the limit."""
+    return docs.join(F.broadcast(found) if size <= limit else found, "doc", how)
 
 
-def _border_rows(texts: DataFrame) -> DataFrame:
-    """(key, doc, at, n, bytes, mine): step 3's parts of the runs in the column `look`."""
+def _side_rows(texts: DataFrame) -> DataFrame:
+    """(key, doc, at, names, mine): round 3's parts of the runs in the column `look`, with the names of their starts for round 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = xxhash.xxh3_64_intdigest
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            key, doc, at, size, names, mine = map(list, zip(*out))
+            starts = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
+            flat = pa.array(_signed(np.array([x for n in names for x in n], np.uint64)))
+            arrays = [pa.array(_signed(np.array(key, np.uint64))), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.ListArray.from_arrays(starts, flat), pa.array(mine, pa.bool_())]
+            return pa.RecordBatch.from_arrays(arrays, ["key", "doc", "at", "names", "mine"])
+
         for batch in batches:
             out: list[tuple] = []
             for doc, text, look in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "look"))):
@@ -149,85 +162,37 @@ def _border_rows(texts: DataFrame) -> DataFrame:
                     for a, b, side, near in ((at, cut, 0, data[seed - SIDE : seed]), (cut, end, 1, data[seed + SEED : seed + SEED + SIDE])):
                         if a < b:
                             key = name(near, seed=x["v"] & (2**64 - 1)) ^ side
-                            out.append((key - (1 << 64) if key >> 63 else key, doc, a, b - a, data[a : b - 1 + LENGTH], x["mine"]))
+                            out.append((key, doc, a, b - a, [name(data[i : i + LENGTH]) for i in range(a, b)], x["mine"]))
+                    if len(out) >= ROWS_HELD:
+                        yield made(out)
+                        out = []
             if out:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["key", "doc", "at", "n", "bytes", "mine"])
-
-    return texts.mapInArrow(run, "key long, doc long, at long, n int, bytes binary, mine boolean")
-
-
-def _start_names(at: list[int], n: list[int], data: list[bytes]) -> Iterator[int]:
-    name = xxhash.xxh3_64_intdigest
-    for k, b in zip(n, data):
-        for i in range(k):
-            yield name(b[i : i + LENGTH])
-
-
-def _repeated_in_groups(rows: DataFrame) -> DataFrame:
-    """(doc, at, n): runs of repeated starts among the runs of each key, a group at a time."""
+                yield made(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, ["key"]):
-            if group.num_rows == 1:
-                continue
-            doc, at, n = (group.column(c).to_numpy() for c in ("doc", "at", "n"))
-            names = np.fromiter(_start_names(at.tolist(), n.tolist(), group.column("bytes").to_pylist()), np.uint64)
-            _, inverse, count = np.unique(names, return_inverse=True, return_counts=True)
-            hit = count[inverse] > 1
-            row = np.repeat(np.arange(len(n)), n)
-            start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + at[row]
-            hit &= group.column("mine").to_numpy(zero_copy_only=False)[row]
-            i = np.flatnonzero(hit)
-            if len(i):
-                new = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(row[i]) != 0)])
-                size = np.diff(np.r_[new, len(i)])
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row[i[new]]]), pa.array(start[i[new]]), pa.array(size, pa.int32())], ["doc", "at", "n"])
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, at long, n int")
-
-
-def _repeated_one_by_one(rows: DataFrame) -> DataFrame:
-    """The same for keys with very many runs: every start is a row, ranked in Spark by the pair (key, its name)."""
+    return texts.mapInArrow(run, "key long, doc long, at long, names array<bigint>, mine boolean")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                key, doc, at, n = (part.column(c).to_numpy() for c in ("key", "doc", "at", "n"))
-                names = np.fromiter(_start_names(at.tolist(), n.tolist(), part.column("bytes").to_pylist()), np.uint64)
-                row = np.repeat(np.arange(len(n)), n)
-                start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + at[row]
-                mine = part.column("mine").to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[row], _signed(names), doc[row], start, mine)], ["key", "name", "doc", "at", "mine"])
 
-    starts = rows.mapInArrow(run, "key long, name long, doc long, at long, mine boolean")
-    repeated = starts.groupBy("key", "name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return starts.where("mine").join(repeated, ["key", "name"], "left_semi").select("doc", "at", F.lit(1).alias("n"))
+def repeated_starts(docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc, at, n): runs of starts of LENGTH-byte strings that also start elsewhere. docs: doc (a unique id) and text."""
+    many = F.count(F.lit(1)).alias("c")
+    runs_ = materialise(seed_runs(docs), "seed-runs")
+    seeds = materialise(runs_.groupBy("v").agg(many).where("c > 1").select("v"), "seeds")
+    live = materialise(runs_.join(seeds, "v", "left_semi"), "live-runs")
 
+    ranks = materialise(live.groupBy("v", "e").agg(many, F.min(F.struct("doc", "at", "n", "off")).alias("first")), "run-ranks")
+    done = live.join(ranks.where("c > 1").select("v", "e"), ["v", "e"], "left_semi").select("doc", "at", "n")
 
-def repeated_starts(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc, at, n): runs of starts of LENGTH-byte strings that also start elsewhere. docs: doc (a unique id) and text."""
-    all_runs = materialise(seed_runs(docs), "seed-runs")
-    # Ranks are written before they are joined: then both sides of a join are plain exchanges, and a hot rank is split.
-    seeds = materialise(all_runs.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v"), "seeds")
-    live = materialise(all_runs.join(seeds, "v", "left_semi"), "live-runs")
-    ranks = live.groupBy("v", "e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "at", "n", "off")).alias("first"))
-    ranks = materialise(ranks, "run-ranks")
-    past = live.join(ranks.where("c > 1").select("v", "e"), ["v", "e"], "left_semi").select("doc", "at", "n")
-
-    groups = ranks.groupBy("v").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 AND kinds > 1").select("v")
-    look = ranks.join(groups, "v", "left_semi").select("v", "first.*", (F.col("c") == 1).alias("mine"))
+    open_ = materialise(ranks.groupBy("v").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 AND kinds > 1").select("v"), "open-seeds")
+    look = ranks.join(open_, "v", "left_semi").select("v", "first.*", (F.col("c") == 1).alias("mine"))
     look = materialise(look.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "off", "v", "mine")).alias("look")), "look-up")
-    texts = _with_text(docs.select("doc", "text"), look, look.agg(F.sum(F.size("look"))).first()[0] or 0, "inner")
-    border = materialise(_border_rows(texts), "border-runs")
-    sizes = border.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("mine").alias("any")).where("c > 1 AND any")
-    sizes = materialise(sizes.select("key", "c"), "sizes")
-    hot = sizes.where(F.col("c") > group_rows).select("key")
-    cool = border.join(sizes.where(F.col("c") <= group_rows).select("key"), "key", "left_semi")
-    out = past.union(_repeated_in_groups(cool))
-    if not hot.isEmpty():
-        out = out.union(_repeated_one_by_one(border.join(hot, "key", "left_semi")))
-    return out
+    size = LOOK_BYTES * (look.agg(F.sum(F.size("look"))).first()[0] or 0)
+    sides = materialise(_side_rows(_with_text(docs.select("doc", "text"), look, size, "inner", limit)), "sides")
+
+    keys = materialise(sides.groupBy("key").agg(many, F.max("mine").alias("any")).where("c > 1 AND any").select("key"), "side-ranks")
+    starts = sides.join(keys, "key", "left_semi").select("key", "doc", "at", "mine", F.posexplode("names").alias("i", "name"))
+    starts = materialise(starts.select("key", "name", "doc", (F.col("at") + F.col("i")).alias("at"), "mine"), "starts")
+    whole = materialise(starts.groupBy("key", "name").agg(many, F.max("mine").alias("any")).where("c > 1 AND any").select("key", "name"), "start-ranks")
+    return done.union(starts.where("mine").join(whole, ["key", "name"], "left_semi").select("doc", "at", F.lit(1).alias("n")))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -249,15 +214,15 @@ def _merged(rows: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "doc long, spans array<bigint>")
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every document.
 
     kept_sha256 is over the remaining bytes; spans holds begins and ends of the removed runs.
     """
     rows = identified(docs, id_col, text_col)
-    spans = materialise(_merged(repeated_starts(rows, group_rows)), "removed-spans")
-    n = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    joined = _with_text(rows, spans, n, "left")
+    spans = materialise(_merged(repeated_starts(rows, limit)), "removed-spans")
+    size = spans.agg(F.sum(SPAN_BYTES * F.size("spans") + LOOK_BYTES)).first()[0] or 0
+    joined = _with_text(rows, spans, size, "left", limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
