@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 #: Characters of text that one numpy step holds at once, whatever the Arrow batch size is.
 CHUNK_CHARS = 4_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of df: write it as Parquet to the shared folder and read it back.
 
-    The files outlive any executor, so a later stage never recomputes what stands above.
+    The files outlive any executor, so a later stage never recomputes what stands above, and
+    the shuffle files of the write are removed with its end (where the setting is known).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewire/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

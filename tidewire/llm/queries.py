@@ -106,12 +106,11 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) t WHERE rank <= 10""",
     "op10_lm_scoring": f"""WITH d AS (SELECT doc_id, list_concat(['<'], coalesce({WORDS}, []), ['>']) AS w FROM documents),
 t AS (SELECT doc_id, w[i] AS c, w[i + 1] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d) a),
-p AS (SELECT doc_id, c, x, count(*) AS n FROM t GROUP BY doc_id, c, x),
-both_ AS (SELECT c, x, sum(n) AS n FROM p GROUP BY c, x),
+total AS (SELECT count(*) AS n FROM t),
+both_ AS (SELECT c, x, count(*) AS n FROM t GROUP BY c, x),
 ctx AS (SELECT c, count(*) AS n FROM t GROUP BY c),
-mine AS (SELECT doc_id, c, count(*) AS n FROM t GROUP BY doc_id, c),
 uni AS (SELECT x, count(*) AS n FROM t GROUP BY x),
-s AS (SELECT p.doc_id, p.n, b.n <= p.n AS off, CASE WHEN b.n > p.n THEN log10((b.n - p.n)::DOUBLE / (ctx.n - mine.n)::DOUBLE) ELSE log10({lm_scoring.ALPHA}::DOUBLE * uni.n / (SELECT count(*) FROM t)) END AS bits
-  FROM p JOIN both_ b ON p.c = b.c AND p.x = b.x JOIN ctx ON p.c = ctx.c JOIN mine ON p.doc_id = mine.doc_id AND p.c = mine.c JOIN uni ON p.x = uni.x)
-SELECT doc_id, sum(n)::BIGINT AS n_tokens, sum(CASE WHEN off THEN n ELSE 0 END)::BIGINT AS n_backoff, round(sum(n * bits) / sum(n), 6) AS score FROM s GROUP BY doc_id""",
+v AS (SELECT b.c, b.x, b.n < {lm_scoring.MIN_COUNT} AS off, CASE WHEN b.n >= {lm_scoring.MIN_COUNT} THEN log10(b.n::DOUBLE / ctx.n) ELSE log10({lm_scoring.ALPHA}::DOUBLE) + log10(uni.n::DOUBLE / total.n) END AS bits
+  FROM both_ b JOIN ctx ON b.c = ctx.c JOIN uni ON b.x = uni.x, total)
+SELECT doc_id, count(*)::BIGINT AS n_tokens, sum(CASE WHEN off THEN 1 ELSE 0 END)::BIGINT AS n_backoff, round(sum(bits) / count(*), 6) AS score FROM t JOIN v ON t.c = v.c AND t.x = v.x GROUP BY doc_id""",
 }
