@@ -67,8 +67,10 @@ def test_runs_cover_each_start_once_by_the_leftmost_smallest_name():
 def by_hand(rows, k):
     usable = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in sorted({(i, tuple(v)) for i, v in usable if i % 10 == 0}):
-        found = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable if i != q and len(w) == len(v))[:k]
+    for at, (q, v) in enumerate(usable):
+        if q % 10:
+            continue
+        found = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, (i, w) in enumerate(usable) if j != at and len(w) == len(v))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -96,14 +98,30 @@ def test_topk_with_one_query_id_on_many_rows(spark):
 
 def test_topk_reads_few_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    data = np.floor(rng.normal(size=(4000, 32)) * 150).astype(np.int64)
-    read = []
-    best = exact_topk.Best(np.array([0]), data[:1], 10)
-
-    class Counted(np.ndarray):
-        def __getitem__(self, i):
-            read.append(len(i) if hasattr(i, "__len__") else 1)
-            return np.asarray(self)[i]
-
-    best.add(np.arange(4000), data.view(Counted))
-    assert sum(read) < 1000
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate((rng.normal(size=(3000, 32)) * 0.2).astype(np.float32))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    read, plain = [], exact_topk._read
+
+    def counted(wanted, exact, queries):
+        read.append(wanted.count())
+        return plain(wanted, exact, queries)
+
+    monkeypatch.setattr(exact_topk, "_read", counted)
+    got = exact_topk.search(vectors, F.col("vec_id") % 100 == 0)
+    assert got.count() == 300
+    assert read[0] == 300 and sum(read) < 30 * 40  # of 30 x 2999 pairs
+
+
+def test_topk_with_a_common_vector_and_huge_components(spark):
+    rows = [(i, [0.25, -0.5, 1.0]) for i in range(60)] + [(100 + i, [float(i), 1.0, -2.0]) for i in range(30)]
+    rows += [(200, [3e38, 1.0, 1.0]), (210, [-3e38, 3e38, 0.0]), (0, [0.25, -0.5, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, exact_topk.search(vectors, F.col("vec_id") % 10 == 0).collect()))
+    most, clip = 2**63 - 1, lambda x: max(-(2**63), min(2**63 - 1, x))
+    usable = [(i, [clip(int(np.floor(1024 * float(np.float32(x))))) for x in v]) for i, v in rows]
+    want = []
+    for at, (q, v) in enumerate(usable):
+        if q % 10 == 0:
+            found = sorted((-max(-most, min(most, sum(a * b for a, b in zip(v, w)))), i) for j, (i, w) in enumerate(usable) if j != at)[:10]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    assert got == sorted(want)
