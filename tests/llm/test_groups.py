@@ -73,12 +73,29 @@ def test_simhash_tiles_lose_no_link(spark):
     signed = [int(np.uint64(p).view(np.int64)) for p in prints]
     want = roots(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    for tile in (4096, 7):
-        edges = [(r["u"], r["v"]) for r in simhash.links(df, tile=tile).collect()]
+    for tile, group in ((simhash.TILE, simhash.GROUP), (7, 2048), (7, 16), (4096, 40), (50, 1)):
+        edges = [(r["u"], r["v"]) for r in simhash.links(df, tile=tile, group=group).collect()]
         assert roots(signed, edges) == want
         assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 64 for a, b in edges)
 
 
+def test_tiles_are_skipped_at_registered_sizes():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    prints = np.unique(np.array([simhash.fingerprint(t or "") for t in texts], np.uint64))
+    assert len(prints) <= simhash.GROUP  # one group, all its links by tiles
+    pop = np.sort(np.bitwise_count(prints).astype(int))
+    i, j = simhash.tile_pairs(pop, simhash.FINE, simhash.RADIUS)
+    tiles = -(-len(pop) // simhash.FINE)
+    kept = set(zip(i.tolist(), j.tolist()))
+    assert len(kept) < 0.75 * tiles * (tiles + 1) / 2  # many are skipped
+    for a in range(tiles):
+        for b in range(a, tiles):
+            x, y = pop[a * simhash.FINE : (a + 1) * simhash.FINE], pop[b * simhash.FINE : (b + 1) * simhash.FINE]
+            assert ((a, b) in kept) == (y.min() - x.max() <= simhash.RADIUS)
+
+
 def test_components(spark):
     random.seed(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(random.randint(200, 400), random.randint(200, 400)) for _ in range(150)] + [(7, 7), (100, 101)]
@@ -89,11 +106,11 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
-def lines_by_hand(rows, ratio, least):
+def lines_by_hand(rows, ratio):
     pages, on = Counter(r[2] for r in rows), Counter()
     for _, t, s in rows:
         on.update((s, x) for x in set((t or "").split("\n")) if t is not None and x.strip(" "))
-    bad = {k for k, n in on.items() if n >= least and pages[k[0]] >= least and n > ratio * pages[k[0]]}
+    bad = {k for k, n in on.items() if n >= 2 and n > ratio * pages[k[0]]}
     return {i: None if t is None else "\n".join(x for x in t.split("\n") if (s, x) not in bad) for i, t, s in rows}
 
 
@@ -102,13 +119,16 @@ def test_line_dedup(spark):
     lines = [f"line {i}" for i in range(40)] + ["", " ", "menu", "menu", "menu"]
     texts = [None, "", "\n", *("\n".join(random.choices(lines, k=random.randint(1, 12))) for _ in range(90))]
     rows = [(i, t, f"s{i % 3}" if i % 7 else None) for i, t in enumerate(texts)]
-    docs = frame(spark, texts).withColumn("n_lines", F.lit("mine"))
-    want = lines_by_hand(rows, 0.3, 5)
+    rows += [(200, "alone\nalone", "one page"), (201, "both\nx", "two pages"), (202, "both\ny", "two pages"), (203, "menu\n" * 20_000 + "z", "s1")]
+    texts += ["alone\nalone", "both\nx", "both\ny", rows[-1][1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("mine") for c in ("n_lines", "kept_text", "host", "line", "a", "pages", "k")})
+    want = lines_by_hand(rows, 0.3)
     assert any(w != t for w, t in zip(want.values(), texts))
     for limit in (line_dedup.BROADCAST_LINES, 0):
         out = line_dedup.drop_lines(docs, ratio=0.3, limit=limit)
         assert out.columns == docs.columns
         assert {r["doc_id"]: r["text"] for r in out.collect()} == want, limit
-    count = line_dedup.annotate(frame(spark, texts), ratio=0.3).where("doc_id = 2").first()
+    assert want[200] == "alone\nalone" and want[201] == "x"
+    count = line_dedup.annotate(docs.drop("kept_text"), ratio=0.3).where("doc_id = 2").first()
     assert (count["n_lines"], count["n_dropped"], count["kept_text"]) == (2, 0, "\n")
     assert line_dedup.drop_lines(docs.limit(0)).count() == 0

@@ -16,10 +16,13 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n", "\x00", "a", "▁", "é ½", "the " * 3000, "x" * 5000, "  lead", "trail  ", "\U0001f600 日本", "the the", "the the"]
 
 
+CLASHES = ["spans", "items", "key", "at", "size", "w", "item_id", "decoded", "ids", "n_hit", "labels", "lang", "row"]
+
+
 def frame(spark, texts, extra=False):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     # names that operators use for their own results
-    return df.withColumns({"score": F.lit("mine"), "n_words": F.lit(7), "N_tokens": F.lit(True), "lang_pred": F.lit(None)}) if extra else df
+    return df.withColumns({"score": F.lit("mine"), "n_words": F.lit(7), "N_tokens": F.lit(True), "lang_pred": F.lit(None), **{c: F.lit("mine") for c in CLASHES}}) if extra else df
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +52,7 @@ def test_pieces_digests_and_round_trip(spark):
         assert (r["n_tokens"], r["ids"]) == (len(ids), ids)
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
-    again = sentencepieces.decode(sentencepieces.encode(frame(spark, ODD), PIECES), PIECES).collect()
+    again = sentencepieces.decode(sentencepieces.encode(frame(spark, ODD, True), PIECES), PIECES).collect()
     assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") for r in again)
     assert not sentencepieces.digests(frame(spark, []), PIECES).collect()
 
@@ -93,10 +96,72 @@ def test_decontaminate_against_brute_force(spark):
     assert kept.columns == frame(spark, docs, True).columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, w in enumerate(want) if not w[4]}
     spans = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(frame(spark, docs), bench).collect()}
+    assert spans == {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(frame(spark, docs, True), bench, limit=0).collect()}
     assert spans[0] is None and spans[len(docs) - 1] == "" and all(len(WORD.findall(spans[i] or "")) == w[0] - w[1] for i, w in enumerate(want))
     assert not decontaminate.annotate(frame(spark, docs), bench.limit(0)).where("contaminated").count()
 
 
+def expression_by_hand(text):
+    """(labels, freedom) by recursive descent, over the longest part from the left that is an expression."""
+    tokens = re.findall(r"[()]|[A-Za-z0-9.+:-]+", text)
+    known = lambda w: w.removesuffix("+") in licenses.FREEDOM or w in licenses.EXCEPTIONS or re.fullmatch(r"(?:licenseref|documentref)-.+|[a-z][a-z0-9.+-]*-[0-9][a-z0-9.+-]*", w)
+    usable, depth, after = [], 0, False
+    for i, t in enumerate(tokens):
+        w = t.lower()
+        if w == "(" and not after:
+            depth += 1
+        elif w == ")" and after and depth:
+            depth -= 1
+        elif w in ("and", "or", "with") and after:
+            after = False
+        elif w not in ("(", ")", "and", "or", "with") and not after and w.rstrip(".:") and (known(w.rstrip(".:")) or i == 0):
+            w, after = w.rstrip(".:"), True
+        else:
+            break
+        usable.append(w)
+    while usable and usable[-1] in ("(", "and", "or", "with"):
+        depth -= usable.pop() == "("
+    usable += [")"] * depth
+    at = 0
+
+    def parse(level):
+        nonlocal at
+        if level == 3:
+            w = usable[at]
+            at += 1
+            if w != "(":
+                return {w}, licenses.freedom(w)
+            out = parse(0)
+            at += 1
+            return out
+        op = ("or", "and", "with")[level]
+        left = parse(level + 1)
+        while at < len(usable) and usable[at] == op:
+            at += 1
+            right = parse(level + 1)
+            if op == "with":
+                name = next(iter(right[0])) if len(right[0]) == 1 else "exception"
+                left = {f"{x} with {name}" for x in left[0]}, left[1] + (1 - left[1]) / 2 if name in licenses.EXCEPTIONS else left[1]
+            else:
+                left = left[0] | right[0], (max if op == "or" else min)(left[1], right[1])
+        return left
+
+    return parse(0) if usable else (set(), 1.0)
+
+
+def licences_by_hand(text):
+    words = WORD.findall(lowered(text))
+    line = f" {' '.join(words)} "
+    labels = {label for p, label in {**licenses.BASE, **licenses.NOTICES}.items() if f" {p} " in line}
+    rights = [licenses.freedom(x) for x in labels]
+    if " spdx license identifier " in line:
+        for m in re.finditer(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+:() \t-]+)", text, re.I):
+            more, free = expression_by_hand(m[1])
+            labels |= more
+            rights.append(free)
+    return ",".join(sorted(labels)), min(rights, default=0.0)
+
+
 def test_license_scan(spark):
     texts = ODD + [
         "All rights reserved.",
@@ -105,7 +170,15 @@ def test_license_scan(spark):
         "SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Apache-2.0 more words",
         "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0",
         "SPDX-License-Identifier: AND (",
+        "SPDX-License-Identifier: MIT and other text", "spdx-license-identifier: BUSL-1.1", "SPDX-License-Identifier: Foo or bar", "SPDX-License-Identifier: LicenseRef-Internal OR MIT.",
+        "SPDX-License-Identifier: ((MIT) OR (GPL-3.0-only AND MPL-2.0)) AND CC-BY-NC-4.0\nSPDX-License-Identifier: 0BSD", "(SPDX-License-Identifier: MIT) more", "SPDX-License-Identifier: MIT WITH unknown-1 OR",
+        "apache license version 2.0 and no part of this publication may be reproduced", "cc by " * 30_000,
     ]
+    random.seed(3)
+    names = ["MIT", "GPL-2.0-only", "MPL-2.0", "Nope-9", "CC-BY-NC-4.0", "LicenseRef-x"]
+    for _ in range(80):
+        parts = [random.choice(["(", ""]) + random.choice(names) + random.choice([")", ""]) + random.choice([" AND ", " OR ", " WITH Classpath-exception-2.0 or ", " "]) for _ in range(random.randint(1, 5))]
+        texts.append("x SPDX-License-Identifier: " + "".join(parts) + random.choice(["", "prose here", "\nmit license"]))
     rows = {r["doc_id"]: r for r in licenses.annotate(frame(spark, texts, True)).collect()}
     phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
     for i, t in enumerate(texts):
@@ -116,6 +189,7 @@ def test_license_scan(spark):
         assert (r["first_word"], r["last_word"]) == ((at[0][0], at[-1][0]) if at else (None, None))
         assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and 0 <= r["score"] <= 1
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+        assert (r["labels"], r["score"]) == licences_by_hand(t), t
     assert rows[len(ODD) + 3]["labels"] == "apache-2.0,gpl-2.0-only,mit" and rows[len(ODD) + 3]["score"] == 1.0
     assert rows[len(ODD) + 4]["labels"] == "gpl-2.0-only with classpath-exception-2.0" and rows[len(ODD) + 4]["score"] == 0.625
     assert licenses.evaluate("MIT AND GPL-3.0-only OR BSD-3-Clause") == ({"mit", "gpl-3.0-only", "bsd-3-clause"}, 1.0)
@@ -142,16 +216,54 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.predict(docs, None).collect()} == {"und"}
 
 
+def ppm_by_hand(texts, order=3):
+    """Code length in bits of a line under trees of the texts: method C with exclusions."""
+    tree = {}
+    for t in texts:
+        line = bytes(order) + t
+        for i in range(order, len(line)):
+            for n in range(order + 1):
+                tree.setdefault(line[i - n : i], {}).setdefault(line[i], 0)
+                tree[line[i - n : i]][line[i]] += 1
+
+    def bits(line):
+        line, out = bytes(order) + line, 0.0
+        for i in range(order, len(line)):
+            gone = set()
+            for n in range(order, -1, -1):
+                here = {c: k for c, k in tree.get(line[i - n : i], {}).items() if c not in gone}
+                if not here:
+                    continue
+                total = sum(here.values()) + len(here)
+                if line[i] in here:
+                    out -= np.log2(here[line[i]] / total)
+                    break
+                out -= np.log2(len(here) / total)
+                gone |= set(here)
+            else:
+                out += np.log2(256 - len(gone))
+        return out
+
+    return bits
+
+
+def test_language_id_against_ppm_by_hand(spark):
+    random.seed(6)
+    words = {"a": "ab ba aab é".split(), "b": "ab cd dc ß".split(), "c": "zz ab".split()}
+    train = [(i, " ".join(random.choices(words[k], k=random.randint(1, 9))), k) for i, k in enumerate("aabbccaabbc")]
+    trees = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    hand = [ppm_by_hand([language_id.letters_of(t) for _, t, k in train if k == label]) for label in trees.labels]
+    tests = [t for _, t, _ in train] + ["ab", "q", "ab cd q é", "日本 ab", "dc " * 50, *(" ".join(random.choices(sum(words.values(), []), k=6)) for _ in range(30))]
+    want = np.array([[h(language_id.letters_of(t)) for h in hand] for t in tests])
+    assert np.allclose(trees.score([language_id.letters_of(t) for t in tests]), want, rtol=1e-5)
+    got = language_id.predict(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), trees).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == [trees.labels[i] for i in want.argmin(axis=1)]
+    assert np.allclose([r["score"] for r in got], 1 / np.exp2(want.min(axis=1)[:, None] - want).sum(axis=1), rtol=1e-3)
+
+
 def test_code_lengths_are_a_distribution(spark):
     docs = spark.createDataFrame([(i, "abcab cab " * (i + 1), "x") for i in range(4)], "doc_id long, text string, lang string")
     trees = language_id.fit(docs)
-    share = np.exp2(-trees.bits[0].reshape(-1, trees.width))
+    share = np.exp2(-trees.bits.reshape(-1, trees.width))
     share[:, 0] *= trees.unseen  # class 0 stands for each byte never seen
     assert np.allclose(share.sum(axis=1), 1, atol=1e-4)
-    line = b"abcab cab q"
-    bits = 0.0
-    for i, c in enumerate(line):
-        before = (bytes(3) + line)[i : i + 3]
-        row = trees.row_of[tuple(trees.class_of[list(before)])]
-        bits += trees.bits[0][row * trees.width + trees.class_of[c]]
-    assert np.isclose(trees.score([line, b"a", line])[:, 0][[0, 2]], bits, rtol=1e-5).all()

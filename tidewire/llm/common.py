@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,10 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    One of our own only where that is unset and all runs on one machine; on a cluster that is an
+    error, as no executor sees what another writes to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.tidewire.ownCheckpointDir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="tidewire-checkpoint-")
         spark.conf.set("spark.tidewire.ownCheckpointDir", root)
@@ -48,13 +55,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._tidewire_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Drop the files of tables that materialise() gave and that nothing yet to run reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._tidewire_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Drop what materialise() has written; call it once the results are stored."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tidewire")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, f"{shared_folder(spark)}/tidewire")
 
 
 def slices(batch: pa.RecordBatch, text_col: str, size: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of `edges` (columns u, v) can reach.
 
     Alternates two steps until nothing changes: every node links its larger neighbours to
@@ -20,7 +20,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(edges, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:  # every round but the last lowers a node's link, so it ends
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,4 +32,3 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
         before = now
-    raise RuntimeError(f"components: still changing after {max_rounds} rounds")

@@ -155,29 +155,34 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCA
     return annotate(docs, benchmark, "__tw_", limit).where("NOT __tw_contaminated").select(*docs.columns)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _without(text: str, hit: np.ndarray) -> str:
+    """A text without its runs of hit words."""
+    if not hit.any():
+        return text
+    raw, kept, last, inside = text.encode(), [], 0, False
+    for m, h in zip(re.finditer(rb"[^ ]+", raw.translate(TO_WORDS)), hit.tolist()):
+        if h and not inside:
+            kept.append(raw[last : m.start()])
+        if h:
+            last = m.end()
+        inside = h
+    return b"".join([*kept, raw[last:]]).decode()
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_WORDS) -> DataFrame:
     """docs whose texts lose every run of hit words, from its first to its last character."""
-    windows = _windowset(docs.sparkSession, _benchmark(benchmark))
+    items = _benchmark(benchmark)
+    if not _fits(items, limit):
+        return _remove_joined(docs, items)
+    windows = _windowset(docs.sparkSession, items)
 
     def start():
         found = windows.value
 
-        def clean(text: str, hit: np.ndarray) -> str:
-            if not hit.any():
-                return text
-            raw, kept, last, inside = text.encode(), [], 0, False
-            for m, h in zip(re.finditer(rb"[^ ]+", raw.translate(TO_WORDS)), hit.tolist()):
-                if h and not inside:
-                    kept.append(raw[last : m.start()])
-                if h:
-                    last = m.end()
-                inside = h
-            return b"".join([*kept, raw[last:]]).decode()
-
         def made(texts: list[str]) -> list:
             split = [words_of(t) for t in texts]
             hit, at, _ = found.scan(split)
-            return [[clean(t, hit[a : a + len(w)]) for t, w, a in zip(texts, split, at.tolist())]]
+            return [[_without(t, hit[a : a + len(w)]) for t, w, a in zip(texts, split, at.tolist())]]
 
         return made
 
@@ -185,8 +190,29 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return made.withColumn("text", F.when(F.col("text").isNotNull(), F.col("__tw_clean"))).select(*docs.columns)
 
 
-def _annotate_joined(docs: DataFrame, items: DataFrame, prefix: str, fields: str) -> DataFrame:
-    """For a benchmark of any size: windows of both sides meet in a join by a 128-bit key of their words."""
+def _remove_joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    schema = docs.schema
+    at = schema.names.index("text")
+    found = _hits_joined(docs, items).select(*docs.columns, "__tw_spans")
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__tw_spans").to_pylist()):
+                hit = np.zeros(len(words_of(text or "")), bool)
+                for s in spans:
+                    hit[s["at"] : s["at"] + s["size"]] = True
+                texts.append(None if text is None else _without(text, hit))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(schema))], schema.names)
+
+    return found.mapInArrow(run, schema)
+
+
+def _hits_joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs with __tw_row, __tw_spans (at, size) and __tw_items, for a benchmark of any size.
+
+    Windows of both sides meet in a join by a 128-bit key of their words.
+    """
 
     def keyed(sizes):
         def start():
@@ -209,16 +235,20 @@ def _annotate_joined(docs: DataFrame, items: DataFrame, prefix: str, fields: str
     rows = materialise(docs.withColumn("__tw_row", F.monotonically_increasing_id()), "decontaminate")
     spread = append(rows.select("__tw_row", "text"), "text", shape, keyed(sizes))
     hits = spread.select("__tw_row", F.explode("__tw_w").alias("w")).select("__tw_row", "w.*").join(bench, ["key", "size"])
-    hits = hits.groupBy("__tw_row").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    out = rows.join(hits, "__tw_row", "left").withColumn("spans", F.coalesce("spans", F.array())).withColumn("items", F.coalesce("items", F.array()))
+    hits = hits.groupBy("__tw_row").agg(F.collect_set(F.struct("at", "size")).alias("__tw_spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__tw_items"))
+    return rows.join(hits, "__tw_row", "left").withColumns({c: F.coalesce(c, F.array().cast(dict(hits.dtypes)[c])) for c in ("__tw_spans", "__tw_items")})
+
+
+def _annotate_joined(docs: DataFrame, items: DataFrame, prefix: str, fields: str) -> DataFrame:
+    out = _hits_joined(docs, items)
 
     def start():
         return lambda texts: [[len(words_of(t)) for t in texts]]
 
     out = append(out, "text", "__tw_words bigint", start)
-    at = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))
+    at = F.flatten(F.transform("__tw_spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))
     hit = F.size(F.array_distinct(at)).cast("bigint")
-    listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    made = [F.col("__tw_words"), hit, F.size("items").cast("bigint"), F.sha2(listed, 256), (hit > 0) & (20 * hit >= F.col("__tw_words"))]
+    listed = F.array_join(F.array_sort(F.transform("__tw_items", lambda x: x.cast("string"))), ",")
+    made = [F.col("__tw_words"), hit, F.size("__tw_items").cast("bigint"), F.sha2(listed, 256), (hit > 0) & (20 * hit >= F.col("__tw_words"))]
     names = [f.split()[0] for f in fields.split(", ")]
     return out.select(*others(docs, names, "text"), *(c.alias(f.split()[0]) for c, f in zip(made, fields.split(", "))))

@@ -6,12 +6,13 @@ a text under a language is exact: at each byte the longest context that the tree
 the byte, or an escape (method C, with exclusions) down to a shorter context, down to equal
 shares of the bytes never seen. The language with the shortest code wins.
 
-Trees are held as one row per context and one column per byte, so a text is scored with a
-few numpy look-ups at all its positions at once: nothing but the last ORDER bytes matters.
+Each language holds a row of code lengths for each context it has seen, one column a byte, and
+all languages share the way from the last ORDER bytes to a context; so a text is scored with a
+few numpy look-ups at all its positions at once.
 
 Texts are lower-cased and everything but letters becomes one space. SAMPLE_DOCS labelled
-rows a language (those with the smallest hash of their id) bound the fit; a context needs
-MIN_CONTEXT occurrences to stay in the tree.
+rows a language (those with the smallest hash of their id) bound the fit; every context of
+these rows is in the tree.
 
 Defined results: `und` and score 0 for a null text or one without a letter, and for every
 text if no row is labelled; equal code lengths go to the language first in order; labels
@@ -32,7 +33,6 @@ from .common import append
 
 ORDER = 3
 SAMPLE_DOCS = 300
-MIN_CONTEXT = 4
 MARGIN = 4
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -91,53 +91,60 @@ def count_contexts(rows: DataFrame, label_col: str, order: int = ORDER) -> DataF
 class ContextTrees:
     """Frozen trees of all languages as tables of code lengths."""
 
-    def __init__(self, labels: list[str], counts: dict[str, np.ndarray], order: int = ORDER, min_context: int = MIN_CONTEXT):
+    def __init__(self, labels: list[str], counts: dict[str, np.ndarray], order: int = ORDER):
         """counts: arrays label (index), length, context, byte, n."""
         self.labels, self.order = labels, order
-        seen = np.unique(counts["byte"])
-        #: Bytes in classes; class 0 is every byte never seen, and the start.
+        seen = np.unique(np.r_[0, counts["byte"]])  # 0 stands before the start
+        #: Bytes in classes; class 0 is every byte never seen.
         self.class_of = np.zeros(256, np.int32)
         self.class_of[seen] = np.arange(1, len(seen) + 1)
-        self.width = width = len(seen) + 1
+        self.width = len(seen) + 1
         self.unseen = 256 - len(seen)
-        trees = []  # for each language, {(length, context): counts by class}
+        key = (counts["length"].astype(np.int64) << 56) | counts["context"]
+        contexts = np.unique(np.r_[key, 0])  # the longer ones come later
+        #: For each language and context the row of its longest context; rows are those it has seen.
+        self.row, tables, rows = np.zeros((len(labels), len(contexts)), np.int32), [], 0
         for k in range(len(labels)):
             mine = counts["label"] == k
-            tree: dict[tuple[int, int], np.ndarray] = {}
-            for length, context, c, n in zip(counts["length"][mine].tolist(), counts["context"][mine].tolist(), self.class_of[counts["byte"][mine]].tolist(), counts["n"][mine].tolist()):
-                tree.setdefault((length, context), np.zeros(width))[c] += n
-            trees.append({k: v for k, v in tree.items() if k[0] == 0 or v.sum() >= min_context})
-        contexts = sorted({(0, 0)}.union(*trees))
-        row = {c: i for i, c in enumerate(contexts)}
-        self.bits = np.zeros((len(labels), len(contexts) * width), np.float32)
-        for k, tree in enumerate(trees):
-            for c, i in row.items():
-                self.bits[k, i * width : (i + 1) * width] = self._lengths(tree, *c)
-        self.row_of = np.zeros((width,) * order, np.int32)
-        for length, context in contexts:  # the longer ones come later
+            own, table = self._table(key[mine], self.class_of[counts["byte"][mine]], counts["n"][mine])
+            self.row[k] = rows + self._longest(own, contexts)
+            tables.append(table)
+            rows += len(own)
+        self.bits = np.concatenate(tables).astype(np.float32).reshape(-1)
+        self.context_of = np.zeros((self.width,) * order, np.int32)
+        for i, c in enumerate(contexts.tolist()):
             # bytes of the context from the oldest to the latest, then their classes
-            cls = tuple(int(self.class_of[(context >> (8 * j)) & 255]) for j in range(length - 1, -1, -1))
-            self.row_of[(..., *cls)] = row[length, context]
-
-    def _lengths(self, tree: dict, length: int, context: int) -> np.ndarray:
-        """Bits of every class after this context: the longest one in the tree, then escapes."""
-        bits = np.full(self.width, np.nan)
-        spent, open_ = 0.0, np.ones(self.width, bool)
-        for n in range(length, -1, -1):
-            here = tree.get((n, context & ((1 << (8 * n)) - 1)))
-            if here is None:
-                continue
-            here = np.where(open_, here, 0)
-            total, kinds = here.sum(), np.count_nonzero(here)
-            if not kinds:
-                continue
+            cls = tuple(int(self.class_of[(c >> (8 * j)) & 255]) for j in range((c >> 56) - 1, -1, -1))
+            self.context_of[(..., *cls)] = i
+
+    def _longest(self, own: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """For each context the place in `own` of its longest end that is there."""
+        out = np.full(len(contexts), -1)
+        for n in range(self.order, -1, -1):
+            end = (np.int64(n) << 56) | (contexts & ((np.int64(1) << (8 * n)) - 1))
+            at = np.minimum(np.searchsorted(own, end), len(own) - 1)
+            out = np.where((out < 0) & (own[at] == end) & (contexts >> 56 >= n), at, out)
+        return out
+
+    def _table(self, key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts of a language, bits of every class after each): its counts, then escapes to ever shorter contexts."""
+        own, at = np.unique(key, return_inverse=True)
+        count = np.zeros((len(own), self.width))
+        np.add.at(count, (at, cls), n)
+        bits, spent, open_ = np.full(count.shape, np.nan), np.zeros(len(own)), np.ones(count.shape, bool)
+        for m in range(self.order, -1, -1):
+            long = np.flatnonzero(own >> 56 >= m)  # a context is seen wherever a longer one is
+            end = np.searchsorted(own, (np.int64(m) << 56) | (own[long] & ((np.int64(1) << (8 * m)) - 1)))
+            here = np.where(open_[long], count[end], 0)
+            total, kinds = here.sum(1), np.count_nonzero(here, axis=1)
             got = here > 0
-            bits[got] = spent - np.log2(here[got] / (total + kinds))
-            spent -= np.log2(kinds / (total + kinds))
-            open_ &= ~got
-        left = np.count_nonzero(open_[1:]) + self.unseen
-        bits[open_] = spent + np.log2(left)
-        return bits
+            all_ = np.maximum(total + kinds, 1)[:, None]
+            with np.errstate(divide="ignore"):
+                bits[long] = np.where(got, spent[long][:, None] - np.log2(here / all_), bits[long])
+            spent[long] -= np.log2(np.where(kinds > 0, kinds / all_[:, 0], 1))
+            open_[long] &= ~got
+        left = open_[:, 1:].sum(1) + self.unseen
+        return own, np.where(open_, (spent + np.log2(np.maximum(left, 1)))[:, None], bits)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text (no empty ones) under each language."""
@@ -147,15 +154,19 @@ class ContextTrees:
         for j in range(self.order):
             state *= self.width
             state += b[j : len(state) + j]
-        at = self.row_of.reshape(-1)[state]
-        at *= self.width
-        at += b[self.order :]
+        context, last = self.context_of.reshape(-1)[state], b[self.order :]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.r_[0, np.cumsum(sizes[:-1] + self.order)]
         cuts = np.c_[begin, begin + sizes].reshape(-1)  # a text, then the start of the next
-        if cuts[-1] == len(at):
+        if cuts[-1] == len(state):
             cuts = cuts[:-1]
-        return np.array([np.add.reduceat(bits[at], cuts, dtype=np.float64)[::2] for bits in self.bits]).T
+        out = []
+        for row in self.row:
+            place = row[context]
+            place *= self.width
+            place += last
+            out.append(np.add.reduceat(self.bits[place], cuts, dtype=np.float64)[::2])
+        return np.array(out).T
 
 
 def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", per_label: int = SAMPLE_DOCS, order: int = ORDER) -> ContextTrees | None:

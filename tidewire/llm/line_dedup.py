@@ -12,8 +12,8 @@ joined to the lines of the pages otherwise.
 Defined results: a null text stays null and has no lines; lines are what lies between
 newlines, as they stand; blank lines are never dropped; a line is counted once a page; a
 null host is a host of its own; repeated rows count as pages each; a column with the name of
-a result is replaced by it; a host with fewer than
-min_pages pages, or a line on fewer than min_pages of them, keeps everything.
+a result is replaced by it; a line on one page only is no repetition and stays, whatever its
+ratio; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialise, others
 
 RATIO = 0.05
-MIN_PAGES = 5
+#: Pages of a host that make a line of theirs a repetition.
+REPEATED = 2
 BROADCAST_LINES = 200_000
 
 
@@ -36,31 +37,33 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RATIO) -> DataFrame:
     """(host, a, b, pages): keys of the lines above the ratio on their host."""
     pages = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("t"))
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     # distinct lines of a page, blank ones left out
     some = F.filter(F.array_distinct(_lines(F.col("t"))), lambda x: F.trim(x) != "")
     lines = pages.select("host", F.explode(some).alias("line")).select("host", _key(F.col("line")).alias("k")).select("host", "k.a", "k.b")
-    counted = lines.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    counted = lines.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= REPEATED)
     # null hosts meet each other too
-    return counted.join(total.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where((F.col("host_pages") >= min_pages) & (F.col("pages") > ratio * F.col("host_pages"))).select("host", "a", "b", "pages")
+    return counted.join(total.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("pages") > ratio * F.col("host_pages")).select("host", "a", "b", "pages")
 
 
-def annotate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, limit: int = BROADCAST_LINES, prefix: str = "") -> DataFrame:
+def annotate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, limit: int = BROADCAST_LINES, prefix: str = "") -> DataFrame:
     """docs with kept_text, n_lines and n_dropped, each name after `prefix`."""
-    found = materialise(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
+    found = materialise(boilerplate(docs, host_col, text_col, ratio), "boilerplate")
     host = F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("-"))
     keyed = found.select(F.coalesce(F.concat(F.lit("h"), "host"), F.lit("-")).alias("__tw_host"), "a", "b")
     lines = F.transform(_lines(F.col(text_col)), lambda x: F.struct(x.alias("line"), _key(x).alias("k")))
     if found.count() <= limit:
         per_host = keyed.groupBy("__tw_host").agg(F.collect_list(F.struct("a", "b")).alias("__tw_bad"))
         out = docs.withColumn("__tw_host", host).join(F.broadcast(per_host), "__tw_host", "left")
-        bad = F.coalesce("__tw_bad", F.array())
-        kept = F.filter(lines, lambda x: (F.trim(x["line"]) == "") | ~F.array_contains(bad, x["k"]))
-        kept = F.transform(kept, lambda x: x["line"])
-        kept = F.when(F.size(bad) > 0, kept).otherwise(_lines(F.col(text_col)))
+        out = out.withColumn("__tw_lines", lines)
+        # by hash: which lines of the page are among those of the host; then only these are looked for
+        hit = F.array_intersect(F.transform("__tw_lines", lambda x: x["k"]), "__tw_bad")
+        out = out.withColumn("__tw_hit", F.coalesce(hit, F.array().cast("array<struct<a: bigint, b: bigint>>")))
+        kept = F.filter("__tw_lines", lambda x: (F.trim(x["line"]) == "") | ~F.array_contains("__tw_hit", x["k"]))
+        kept = F.when(F.size("__tw_hit") > 0, F.transform(kept, lambda x: x["line"])).otherwise(_lines(F.col(text_col)))
     else:
         out = materialise(docs.withColumn("__tw_host", host).withColumn("__tw_row", F.monotonically_increasing_id()), "pages")
         spread = out.select("__tw_row", "__tw_host", F.posexplode(lines).alias("at", "x")).where(F.trim("x.line") != "").select("__tw_row", "__tw_host", "at", "x.k.a", "x.k.b")

@@ -97,14 +97,14 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id =
     "op8_line_dedup": f"""WITH d AS (SELECT doc_id, coalesce(source, '-') AS host, text, string_split(text, chr(10)) AS parts FROM documents),
 total AS (SELECT host, count(*) AS n FROM d GROUP BY host),
 bad AS (SELECT c.host, c.line FROM (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT doc_id, host, line FROM (SELECT doc_id, host, unnest(parts) AS line FROM d) a WHERE trim(line) <> '') b GROUP BY host, line) c
-  JOIN total t ON c.host = t.host WHERE c.n >= {line_dedup.MIN_PAGES} AND t.n >= {line_dedup.MIN_PAGES} AND c.n > {line_dedup.RATIO}::DOUBLE * t.n),
+  JOIN total t ON c.host = t.host WHERE c.n >= {line_dedup.REPEATED} AND c.n > {line_dedup.RATIO}::DOUBLE * t.n),
 flat AS (SELECT doc_id, host, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i FROM d),
 kept AS (SELECT f.doc_id, count(*) AS n_kept, string_agg(f.line, chr(10) ORDER BY f.i) AS t FROM flat f LEFT JOIN bad b ON f.host = b.host AND f.line = b.line WHERE b.line IS NULL GROUP BY f.doc_id)
 SELECT d.doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, (coalesce(len(parts), 0) - coalesce(n_kept, 0))::BIGINT AS n_dropped, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
     "op9_exact_topk": """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) t WHERE rank <= 10""",
-    "op10_lm_scoring": f"""WITH d AS (SELECT doc_id, list_concat(['<'], coalesce({WORDS}, []), ['>']) AS w FROM documents),
+    "op10_lm_scoring": f"""WITH d AS (SELECT doc_id, list_concat(['<'], coalesce(regexp_extract_all(lower(text), '{WORD}'), []), ['>']) AS w FROM documents),
 t AS (SELECT doc_id, w[i] AS c, w[i + 1] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d) a),
 total AS (SELECT count(*) AS n FROM t),
 both_ AS (SELECT c, x, count(*) AS n FROM t GROUP BY c, x),

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import append
+from .common import append, others
 
 MARK = "▁"
-#: Distinct words whose ids a worker keeps; beyond it the memory starts anew.
-WORDS_KEPT = 300_000
+#: Bytes of words and ids that a worker keeps; beyond it the memory starts anew. A word costs OVERHEAD besides.
+BYTES_KEPT, OVERHEAD = 64_000_000, 120
 NO_PAIR = np.int64(1) << 40
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,12 +105,11 @@ class PieceModel:
         sym = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         word = np.repeat(np.arange(len(words)), sizes)
         done_sym, done_word = [], []
+        rank, at = np.full(len(sym), NO_PAIR), np.zeros(len(sym), np.int64)
+        fresh = np.arange(len(sym) - 1)  # places whose pair isn't looked up yet
         while True:
-            rank = np.full(len(sym), NO_PAIR)
-            at = np.zeros(len(sym), np.int64)
-            if len(sym) > 1:
-                rank[:-1], at[:-1] = self.ranks(sym[:-1], sym[1:])
-                rank[:-1][word[:-1] != word[1:]] = NO_PAIR
+            found, where = self.ranks(sym[fresh], sym[fresh + 1])
+            rank[fresh], at[fresh] = np.where(word[fresh] == word[fresh + 1], found, NO_PAIR), where
             start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, start)  # the smallest rank of each word
             length = np.diff(np.r_[start, len(sym)])
@@ -124,7 +123,12 @@ class PieceModel:
             hit = self._safe(sym, word, rank, at, hit)
             sym = np.where(hit, self.pair_into[at], sym)
             keep = live & ~np.r_[False, hit[:-1]]
-            sym, word = sym[keep], word[keep]
+            sym, word, rank, at = sym[keep], word[keep], rank[keep], at[keep]
+            # a merge makes new pairs with the symbols on both sides; the last symbol has none on its right
+            made = np.flatnonzero(hit[keep])
+            rank[made] = NO_PAIR
+            fresh = np.unique(np.r_[made, made - 1])
+            fresh = fresh[(fresh >= 0) & (fresh < len(sym) - 1)]
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         sym, word = sym[order], word[order]
@@ -201,14 +205,19 @@ def _encoder(path: str):
     model = model_at(path)
     bos, eos = (np.array([i], "<u4").tobytes() for i in (model.bos, model.eos))
     known: dict[str, bytes] = {}
+    held = 0
 
     def run(texts: list[str]) -> list[bytes]:
+        nonlocal held
         split = [model.words(t) for t in texts]
         words = set().union(*split)
-        if len(known) + len(words - known.keys()) > WORDS_KEPT:
+        if held > BYTES_KEPT:
             known.clear()
+            held = 0
         new = list(words - known.keys())
-        known.update(zip(new, model.encode_words(new)))
+        made = model.encode_words(new)
+        known.update(zip(new, made))
+        held += sum(map(len, new)) + sum(map(len, made)) + OVERHEAD * len(new)
         return [bos + b"".join(map(known.__getitem__, x)) + eos for x in split]
 
     return model, run
@@ -231,6 +240,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """encoded with the text of its ids; a null array decodes to the empty text."""
+    encoded = encoded.select(*others(encoded, [text_col], ids_col))
     schema = StructType([*encoded.schema.fields, StructField(text_col, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

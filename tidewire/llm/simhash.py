@@ -6,11 +6,13 @@ documents form components.
 
 Only distinct fingerprints are compared. Two fingerprints within RADIUS bits agree on one
 of RADIUS + 1 blocks of bits (there are more blocks than differences), so each fingerprint
-goes to one group a block. A group is cut to tiles of about TILE fingerprints by population
-count; pairs of tiles of a group whose population counts differ beyond the radius are
-skipped, all others are compared exactly, in numpy, by exclusive-or and bit counts. A tile
-pair returns the stars of its linked fingerprints (at most one edge a fingerprint), not the
-pairs. Nothing is approximate and nothing is capped: a large group only has more tiles.
+goes to one group a block, by as many of the block's bits as leave about GROUP fingerprints in a
+group; few fingerprints are one group. A group is cut to tiles of fingerprints by population
+count, of TILE between tasks and of FINE inside one; pairs of tiles whose population counts
+differ beyond the radius are skipped, all others are compared exactly, in numpy, by
+exclusive-or and bit counts. A tile pair returns the stars of its linked fingerprints (at most
+one edge a fingerprint), not the pairs. Nothing is approximate and nothing is capped: a large
+group only has more tiles.
 
 Words: A-Z lower-cased, then `[^\\x20\\x09-\\x0D]+`; shingles keep repeats and are joined
 by one space; fewer words than a shingle are one shingle; no words: fingerprint zero, linked
@@ -37,9 +39,9 @@ from .components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-TILE = 4096
+#: Fingerprints of a group that blocks aim at, of a tile between tasks, of a tile inside a task.
+GROUP, TILE, FINE = 2048, 4096, 64
 BROADCAST_IDS = 2_000_000
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: bytes.split() also splits at 0x1C-0x1F, which are not among the separators.
 SPACES = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -59,7 +61,11 @@ def hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text."""
-    h = hashes(text, shingle)
+    return print_of(hashes(text, shingle))
+
+
+def print_of(h: np.ndarray) -> int:
+    """The 64-bit fingerprint of some hashes."""
     n = len(h)
     set_ = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
@@ -67,36 +73,52 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_ > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp", shingle: int = SHINGLE) -> DataFrame:
     """docs with its fingerprints as signed 64-bit integers."""
 
     def start():
-        return lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64).tolist()]
+        return lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64).tolist()]
 
     return append(docs, text_col, f"{out_col} bigint", start)
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, mask) of radius + 1 blocks that make up 64 bits."""
+def _blocks(radius: int, n: int, group: int) -> list[tuple[int, int]]:
+    """(shift, mask) of the bits that deal n fingerprints out, for each of radius + 1 blocks of 64 bits; one group if they are few."""
+    bits = max(0, n - 1).bit_length() - max(1, group).bit_length() + 1
+    if n <= group:
+        return [(0, 0)]
     cuts = np.linspace(0, 64, radius + 2).round().astype(int).tolist()
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
+    return [(a, (1 << min(b - a, max(1, bits))) - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def tile_pairs(pop: np.ndarray, fine: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i <= j: tiles of fingerprints in the order of their population counts that can hold a link."""
+    low, high = pop[::fine], np.maximum.reduceat(pop, np.arange(0, len(pop), fine)) if len(pop) else pop
+    last = np.searchsorted(low, high + radius, side="right")  # tiles that begin within the radius of this one's end
+    first = np.arange(len(low))
+    return np.repeat(first, last - first), np.concatenate([np.arange(a, b) for a, b in zip(first, last)]) if len(low) else first
 
 
-def _stars(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (larger, smaller) that connect just what pairs of x, or of x with y, link."""
-    all_ = x if y is None else np.concatenate([x, y])
+def _stars(prints: np.ndarray, second: np.ndarray | None, radius: int, fine: int = FINE) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (larger, smaller) that connect just what pairs of prints link; with `second` only pairs of unequal marks count."""
+    pop = np.bitwise_count(prints).astype(np.int64)
+    order = np.argsort(pop, kind="stable")
+    x, pop = prints[order], pop[order]
+    mark = None if second is None else second[order]
     left, right = [], []
-    rows = max(1, (1 << 22) // max(1, len(all_)))
-    other, shift = (x, 0) if y is None else (y, len(x))
-    for i in range(0, len(x), rows):
-        near = np.bitwise_count(x[i : i + rows, None] ^ other[None, :]) <= radius
-        a, b = np.nonzero(near)
-        keep = a + i < b + shift
-        left.append(a[keep] + i)
-        right.append(b[keep] + shift)
+    for i, j in zip(*(t.tolist() for t in tile_pairs(pop, fine, radius))):
+        a, b = np.nonzero(np.bitwise_count(x[i * fine : (i + 1) * fine, None] ^ x[None, j * fine : (j + 1) * fine]) <= radius)
+        a, b = a + i * fine, b + j * fine
+        keep = a < b
+        if mark is not None:
+            keep &= mark[a] != mark[b]
+        left.append(a[keep])
+        right.append(b[keep])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     left, right = np.concatenate(left), np.concatenate(right)
     # labels flow along the links until each is the smallest fingerprint of its component
-    values = all_.astype(np.int64)
+    values = x.view(np.int64)
     label = values.copy()
     while True:
         low = np.minimum(label[left], label[right])
@@ -110,16 +132,16 @@ def _stars(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray
     return values[keep], label[keep]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, group: int = GROUP) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) with the components of all links."""
-    blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)).alias("value")) for i, (s, m) in enumerate(_blocks(radius))))
+    blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)).alias("value")) for i, (s, m) in enumerate(_blocks(radius, prints.count(), group))))
     spread = prints.select("fp", F.bit_count("fp").alias("pop"), F.explode(blocks).alias("b")).select("b.block", "b.value", "pop", "fp")
     # How many tiles each population count of a group needs; the table has at most (radius + 1) x 2^13 x 65 rows.
     sizes = spread.groupBy("block", "value", "pop").agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy("block", "value")
-    sizes = sizes.withColumn("all", F.sum("n").over(group)).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    whole_group = Window.partitionBy("block", "value")
+    sizes = sizes.withColumn("all", F.sum("n").over(whole_group)).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     whole = F.col("all") <= tile
-    sizes = sizes.withColumn("pops", F.collect_list(F.struct("pop", "tiles")).over(group))
+    sizes = sizes.withColumn("pops", F.collect_list(F.struct("pop", "tiles")).over(whole_group))
     spread = spread.join(sizes, ["block", "value", "pop"])
     part = F.when(whole, F.lit("")).otherwise(F.format_string("%d.%d", "pop", F.pmod(F.xxhash64("fp"), F.col("tiles"))))
     # A tile meets itself, the other tiles of its population count and those up to `radius` counts away.
@@ -138,7 +160,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
                 same = rows["x"][0] == rows["y"][0]
                 if not same and second.all() == second.any():
                     continue  # the other tile is empty
-                u, v = _stars(fp, None, radius) if same else _stars(fp[~second], fp[second], radius)
+                u, v = _stars(fp, None if same else second, radius)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -168,11 +190,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield batch
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) of every document."""
-    fp = materialise(fingerprints(docs.select(id_col, text_col), text_col, "fp").select(id_col, "fp"), "fingerprints")
+    fp = materialise(fingerprints(docs.select(id_col, text_col), text_col, "fp", shingle).select(id_col, "fp"), "fingerprints")
     least = materialise(fp.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    root = components(links(least.select("fp")))
+    root = components(links(least.select("fp"), radius))
     named = least.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
