@@ -13,7 +13,8 @@ s + (step - 1) * sum(q-)  and  s + (step - 1) * sum(q+).
    the result is certain.
 
 Of rows with equal vectors only the k + 1 smallest ids can be results, so a vector that very many
-rows share is kept k + 1 times. The query set is stated by the caller. It travels in passes of at
+rows share is kept k + 1 times; and of rows whose cells tell their score, all equal to the kth, a
+task keeps the k smallest ids (a query of zeros ties with all). The query set is stated by the caller. It travels in passes of at
 most QUERIES_A_PASS broadcast queries, so its memory is bounded at any size.
 
 Defined results: vectors that are null, hold a null or non-finite component, or have no id
@@ -59,10 +60,10 @@ def exact_file(vectors: DataFrame, k: int, id_col: str, vector_col: str) -> Data
 
 
 def approximation_file(exact: DataFrame) -> DataFrame:
-    """(row, length, base, step, cells), written: a byte for each component."""
+    """(row, id, length, base, step, cells), written: a byte for each component."""
     base, most = F.array_min("v"), F.array_max("v")
     step = F.floor((most.cast("decimal(38,0)") - base) / F.lit(CELLS)).cast("bigint") + 1
-    few = exact.select("row", "v", base.alias("base"), step.alias("step"))
+    few = exact.select("row", "id", "v", base.alias("base"), step.alias("step"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,9 +72,9 @@ def approximation_file(exact: DataFrame) -> DataFrame:
             cells = ((v.view(np.uint64) - base.view(np.uint64)) // step.view(np.uint64)).astype(np.uint8)  # differences of 64 bits, unsigned
             ends = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
             packed = pa.Array.from_buffers(pa.binary(), len(size), [None, ends.buffers()[1], pa.py_buffer(cells.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(size, pa.int32()), batch.column("base"), batch.column("step"), packed], ["row", "length", "base", "step", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(size, pa.int32()), batch.column("base"), batch.column("step"), packed], ["row", "id", "length", "base", "step", "cells"])
 
-    return materialise(few.mapInArrow(run, "row long, length int, base long, step long, cells binary"), "cells")
+    return materialise(few.mapInArrow(run, "row long, id long, length int, base long, step long, cells binary"), "cells")
 
 
 class Bounds:
@@ -84,9 +85,9 @@ class Bounds:
         self.q = vectors.astype(np.float64)
         self.all, self.up, self.down = self.q.sum(1), np.maximum(self.q, 0).sum(1), np.minimum(self.q, 0).sum(1)
         self.least = np.full((len(rows), k), -np.inf)  # the k largest lower bounds so far
-        self.open: list[list[tuple[np.ndarray, ...]]] = [[] for _ in rows]  # high, low, row
+        self.open: list[list[tuple[np.ndarray, ...]]] = [[] for _ in rows]  # high, low, row, id
 
-    def add(self, rows: np.ndarray, base: np.ndarray, step: np.ndarray, cells: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, ids: np.ndarray, base: np.ndarray, step: np.ndarray, cells: np.ndarray) -> None:
         base, step, cells = base.astype(np.float64), step.astype(np.float64), cells.astype(np.float64).T
         for a in range(0, len(self.rows), QUERY_BLOCK):
             at = slice(a, a + QUERY_BLOCK)
@@ -102,7 +103,7 @@ class Bounds:
             floor = self.least[at].min(1)
             for q, i in enumerate((high >= floor[:, None]) & (high > -np.inf)):
                 i = np.flatnonzero(i)
-                self.open[a + q].append((high[q, i], low[q, i], rows[i]))
+                self.open[a + q].append((high[q, i], low[q, i], rows[i], ids[i]))
             if len(self.open[a]) > 8:
                 self._pruned(at)
 
@@ -110,11 +111,15 @@ class Bounds:
         for q in range(*at.indices(len(self.rows))):
             if self.open[q]:
                 x = [np.concatenate(c) for c in zip(*self.open[q])]
-                still = x[0] >= self.least[q].min()
+                floor = self.least[q].min()
+                still = x[0] >= floor
+                tied = np.flatnonzero((x[0] == floor) & (x[1] == floor))
+                if len(tied) > self.k:
+                    still[tied[np.lexsort((x[2][tied], x[3][tied]))[self.k :]]] = False
                 self.open[q] = [tuple(c[still] for c in x)]
 
     def left(self) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-        """(query, (high, low, row)) of what is open."""
+        """(query, (high, low, row, id)) of what is open."""
         self._pruned(slice(0, len(self.rows)))
         yield from ((q, x[0]) for q, x in enumerate(self.open) if x and len(x[0][0]))
 
@@ -135,14 +140,14 @@ def _scanned(cells: DataFrame, queries: list, k: int) -> DataFrame:
         bounds = {v.shape[1]: (ns, Bounds(rows, v, k)) for ns, rows, v in shared.value}
         for batch in batches:
             for part in (batch.slice(i, BLOCK) for i in range(0, batch.num_rows, BLOCK)):
-                row, length, base, step = (part.column(c).to_numpy() for c in ("row", "length", "base", "step"))
+                row, id_, length, base, step = (part.column(c).to_numpy() for c in ("row", "id", "length", "base", "step"))
                 for n in np.unique(length).tolist():
                     if n in bounds:
                         at = np.flatnonzero(length == n)
                         packed = np.frombuffer(b"".join(part.column("cells").take(pa.array(at)).to_pylist()), np.uint8)
-                        bounds[n][1].add(row[at], base[at], step[at], packed.reshape(len(at), n))
+                        bounds[n][1].add(row[at], id_[at], base[at], step[at], packed.reshape(len(at), n))
         for ns, b in bounds.values():
-            for q, (high, low, row) in b.left():
+            for q, (high, low, row, _) in b.left():
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), ns[q])), pa.array(row), pa.array(high), pa.array(low)], ["n", "row", "high", "low"])
 
     return cells.mapInArrow(run, "n long, row long, high double, low double")
