@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, materialise
+from .common import discard, identified, materialise
 
 LENGTH = 200
 SEED = 64
@@ -178,6 +178,7 @@ def repeated_starts(docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     runs_ = materialise(seed_runs(docs), "seed-runs")
     seeds = materialise(runs_.groupBy("v").agg(many).where("c > 1").select("v"), "seeds")
     live = materialise(runs_.join(seeds, "v", "left_semi"), "live-runs")
+    discard(runs_, seeds)
 
     ranks = materialise(live.groupBy("v", "e").agg(many, F.min(F.struct("doc", "at", "n", "off")).alias("first")), "run-ranks")
     done = live.join(ranks.where("c > 1").select("v", "e"), ["v", "e"], "left_semi").select("doc", "at", "n")
@@ -189,10 +190,12 @@ def repeated_starts(docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     sides = materialise(_side_rows(_with_text(docs.select("doc", "text"), look, size, "inner", limit)), "sides")
 
     keys = materialise(sides.groupBy("key").agg(many, F.max("mine").alias("any")).where("c > 1 AND any").select("key"), "side-ranks")
-    starts = sides.join(keys, "key", "left_semi").select("key", "doc", "at", "mine", F.posexplode("names").alias("i", "name"))
-    starts = materialise(starts.select("key", "name", "doc", (F.col("at") + F.col("i")).alias("at"), "mine"), "starts")
+    live_sides = materialise(sides.join(keys, "key", "left_semi"), "live-sides")
+    discard(look, sides, keys)
+    starts = live_sides.select("key", "doc", "at", "mine", F.posexplode("names").alias("i", "name"))
     whole = materialise(starts.groupBy("key", "name").agg(many, F.max("mine").alias("any")).where("c > 1 AND any").select("key", "name"), "start-ranks")
-    return done.union(starts.where("mine").join(whole, ["key", "name"], "left_semi").select("doc", "at", F.lit(1).alias("n")))
+    starts = starts.where("mine").select("key", "name", "doc", (F.col("at") + F.col("i")).alias("at"))
+    return done.union(starts.join(whole, ["key", "name"], "left_semi").select("doc", "at", F.lit(1).alias("n")))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -201,13 +204,15 @@ def _merged(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x in batch.column("x").to_pylist():
-                a = np.array(sorted((y["at"], y["at"] + y["n"] - 1 + LENGTH) for y in x))
-                end = np.maximum.accumulate(a[:, 1])
-                new = np.r_[True, a[1:, 0] > end[:-1]]
-                first = np.flatnonzero(new)
-                last = np.r_[first[1:] - 1, len(a) - 1]
-                out.append(np.c_[a[first, 0], end[last]].reshape(-1))
+            rows, begin = batch.column("x").flatten(), np.r_[0, np.cumsum(batch.column("x").value_lengths().to_numpy())].tolist()
+            at, n = rows.field("at").to_numpy(), rows.field("n").to_numpy()
+            for i, j in zip(begin, begin[1:]):
+                order = np.argsort(at[i:j], kind="stable")
+                start = at[i:j][order]
+                end = np.maximum.accumulate(start + n[i:j][order] - 1 + LENGTH)
+                first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+                last = np.r_[first[1:] - 1, len(start) - 1]
+                out.append(np.c_[start[first], end[last]].reshape(-1))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.list_(pa.int64()))], ["doc", "spans"])
 
     grouped = rows.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("x"))
