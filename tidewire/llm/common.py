@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: Characters of text that one numpy step holds at once, whatever the Arrow batch size is.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

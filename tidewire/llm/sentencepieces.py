@@ -25,7 +25,7 @@ from .common import append, others
 
 MARK = "▁"
 #: Bytes of words and ids that a worker keeps; beyond it the memory starts anew. A word costs OVERHEAD besides.
-BYTES_KEPT, OVERHEAD = 64_000_000, 120
+BYTES_KEPT, OVERHEAD = 24_000_000, 120
 NO_PAIR = np.int64(1) << 40
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
