@@ -58,6 +58,8 @@ def test_html(spark):
     assert set(rows) == {"https://site.com/news/1", "https://o.com/news/4"}
     assert rows["https://site.com/news/1"]["title"] == f"{LONG} one" and rows["https://site.com/news/1"]["summary"] == f"Before {LONG} one after"
     assert rows["https://o.com/news/4"]["title"] == f"{LONG} & four"
+    order = {r["link"]: r["title"] for r in readers.html_headlines(spark.createDataFrame([(1, f"<a href='/news/1'>{LONG} late</a><section><a href='/news-release/9'>{LONG} first</a></section><h3><a href='/x'>{LONG} other</a></h3><a href='/news/1'>{LONG} again</a>", "https://s.com")], df.schema), "accessnewswire", cap=1).collect()}
+    assert order == {"https://s.com/news-release/9": f"{LONG} first"}  # the source's first selector comes before the page's first anchor
     assert readers.html_headlines(df, "finviz").count() == 3 and readers.html_headlines(df, "finviz", cap=1).count() == 1
 
 
@@ -100,7 +102,7 @@ def test_sinks(spark, tmp_path):
         writers.write_history(df.limit(n), at, t)
     history = spark.read.parquet(at)
     assert {(r[0], r[1]) for r in history.groupBy("generated_at").count().collect()} == {("t1", 3), ("t2", 1), ("t3", 1)}
-    assert writers.retained(history, "generated_at", 1).count() == 1 and [r["age"] for r in writers.ranked_times(spark.range(2), "id").collect()] == [1, 2]
+    assert writers.retained(history, "generated_at", 1).count() == 1
     assert writers.prune_history(spark, at, 0) == [] and writers.prune_history(spark, at, 2) == ["generated_at=t1"]
     assert {r[0] for r in spark.read.parquet(at).select("generated_at").distinct().collect()} == {"t2", "t3"}
 
@@ -131,6 +133,27 @@ def test_polling_claims_a_link_once_a_day(spark, tmp_path, files):
     assert spark.read.parquet(f"{out}/latest").count() >= 1
 
 
+def test_seen_links_of_older_days_go(spark, tmp_path):
+    row = lambda i, link, day: (i, "structured_news", "prnewswire", "PR Newswire", f"Apple {i}", "", link, day, "rss", "", None)
+    at, out = str(tmp_path / "in"), str(tmp_path / "out")
+    watch = spark.createDataFrame([(0, "AAPL", "Apple", [])], WATCHLIST)
+    job = poll.refresh(watch, out, seen_days=1)
+    for rows in ([row(0, "a", "2024-01-01")], [row(1, "a", "2024-01-01"), row(2, "b", "2024-01-02")], [row(3, "b", "2024-01-02"), row(4, "a", "2024-01-02")]):
+        spark.createDataFrame(rows, ARTICLE).coalesce(1).write.mode("append").parquet(at)
+        spark.readStream.schema(ARTICLE).parquet(at).writeStream.foreachBatch(job).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert {r["title"] for r in spark.read.parquet(f"{out}/history").collect()} == {"Apple 0", "Apple 2", "Apple 4"}
+    import os
+
+    assert os.listdir(f"{out}/seen") == ["until=2024-01-02"]
+
+
+def test_links_marked_by_a_collector(spark, tmp_path):
+    at = str(tmp_path / "marked")
+    rows = lambda *links: spark.createDataFrame([(x,) for x in links], "link string")
+    got = [sorted(r[0] for r in poll.mark_collected(rows(*links), at, day).collect()) for links, day in ((("a", "b", "b"), "2024-01-01"), (("a", "c"), "2024-01-01"), (("a",), "2024-01-02"), (("c", "a"), "2024-01-02"))]
+    assert got == [["a", "b", "b"], ["c"], ["a"], ["c"]]
+
+
 def test_first_seen_stream(spark, tmp_path):
     at, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [("2024-01-01 01:00:00", "a"), ("2024-01-01 02:00:00", "a"), ("2024-01-02 01:00:00", "a"), ("2024-01-02 01:00:00", "b")]

@@ -41,7 +41,7 @@ def test_candidates_by_both_ways(spark):
     rows = [article(i, " ".join(random.choices(words, k=3)), " ".join(random.choices(words, k=2)), random.choice(list(NAMES)), feed=random.choice([None, "AAPL", "NVDA"])) for i in range(120)]
     df = spark.createDataFrame(rows, ARTICLE)
     needles = profiles.needles(profiles.profiles(spark.createDataFrame(WATCH, WATCHLIST)))
-    get = lambda n: sorted((r["article_id"], r["watch_ord"]) for r in matching.candidate_pairs(df, needles, n).select("article_id", "watch_ord").collect())
+    get = lambda *n: sorted((r["article_id"], r["watch_ord"]) for r in matching.candidate_pairs(df, needles, *n).select("article_id", "watch_ord").collect())
     compact = lambda t: "".join(c for c in t.lower() if c.isascii() and c.isalnum())
     want = []
     for a in rows:
@@ -50,7 +50,8 @@ def test_candidates_by_both_ways(spark):
             keys = {ticker.lower(), company.lower(), *(k.lower() for k in extra or [])}
             if a[10] in (None, ticker) and any(compact(k) and compact(k) in hay for k in keys):
                 want.append((a[0], o))
-    assert get(matching.BROADCAST_ENTRIES) == get(0) == sorted(want) and want
+    assert get(matching.BROADCAST_ENTRIES) == get(0) == get(0, 20) == sorted(want) and want
+    assert matching.candidate_pairs(df, needles.limit(0), 0).count() == matching.candidate_pairs(df, needles.limit(0)).count() == 0
 
 
 def test_scores_and_reasons(spark):
@@ -153,9 +154,48 @@ def test_usage_and_documents(big):
     assert {(r["watch_ord"], r["source_name"]): r["n"] for r in usage if r["bucket"] == "raw"} == dict(raw)
     cover = Counter((r["watch_ord"], s) for r in big.stories.collect() for s in r["coverage_sources"])
     assert {(r["watch_ord"], r["source_name"]): r["n"] for r in usage if r["bucket"] == "coverage"} == dict(cover)
-    for r in big.documents.collect():
-        assert [s["story_rank"] for s in r["stories"] or []] == list(range(1, r["story_count"] + 1))
-        assert len(r["rejections"] or []) == r["rejected_rows"]
+    rows = [r.asDict() for r in big.rows.collect()]
+    stats = {r["watch_ord"]: r for r in big.stats.collect()}
+    for o, r in stats.items():
+        mine = [x for x in rows if x["watch_ord"] == o]
+        of = lambda s: sorted((x for x in mine if x["section"] == s), key=lambda x: x["place"])  # noqa: E731,B023
+        assert [x["place"] for x in of("stories")] == list(range(1, r["story_count"] + 1))
+        assert (len(of("related_context")), len(of("review_candidates")), len(of("rejections"))) == (r["related_rows"], r["review_rows"], r["rejected_rows"])
+        assert {x["title"]: x["n"] for x in of("stats")} == {k: v for k, v in r.asDict().items() if k not in ("watch_ord", "ticker")}
+        (profile,) = of("profile")
+        assert (profile["title"], profile["notes"]) == (WATCH[o][2], WATCH[o][3])
+        assert [x["n"] for x in of("failures")] == []
+        # rows by their title come before those by their summary
+        reasons = [x["notes"][0] for x in of("related_context")]
+        assert reasons == sorted(reasons, reverse=True)
+
+
+def test_snapshot_with_failures_and_without_stored_usage(spark, big, tmp_path):
+    from tidewire.sources import readers, writers
+
+    failed = spark.createDataFrame([("finviz", 3, 2), ("prnewswire", 1, 0)], "source_key string, rows_read long, failed long")
+    run = Snapshot(big.articles, big.watchlist, failures=failed)
+    rows = run.rows.cache()
+    assert {(r["watch_ord"], r["source_key"], r["n"]) for r in rows.where("section = 'failures'").collect()} == {(o, "finviz", 2) for o in range(4)}
+    at = str(tmp_path / "snapshot")
+    writers.write_sections(rows.where("section <> 'source_usage' OR ticker = 'NVDA'"), at)
+    back = readers.read_sections(spark, at)
+    key = lambda df: sorted(map(str, df.select(*reports.COLUMNS).collect()))
+    assert key(back.where("ticker = 'NVDA'")) == key(rows.where("ticker = 'NVDA'"))
+    got = {(r["ticker"], r["bucket"], r["source_name"]): r["n"] for r in reports.usage_of_sections(back).collect()}
+    want = Counter()
+    for r in run.usage.collect():
+        if r["ticker"] == "NVDA" or r["bucket"] != "raw":
+            want[r["ticker"], reports.USED[r["bucket"]], r["source_name"]] += r["n"]
+    assert got == dict(want)  # two entries share a ticker, so their rows add up
+    head = reports.header("2024-01-01T00:00:00Z", "w.json", 0, 10, False, spark).first()
+    assert tuple(head) == ("2024-01-01T00:00:00Z", "w.json", 0, 10, False)
+    paths = [t._staged_at for t in run.__dict__.values() if getattr(t, "_staged_at", None)]
+    run.release()
+    assert len(paths) >= 3
+    import os
+
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in paths)
 
 
 def test_an_entry_without_rows_has_zeros(spark):
@@ -200,5 +240,33 @@ def test_sentiment(spark):
     assert [(r["label"], r["score"]) for r in sentiment.scored(texts).orderBy("article_id").collect()] == [("positive", 1.0), ("neutral", 0.5), ("neutral", 0.5)]
 
 
+def test_a_fitted_sentiment_model(spark):
+    random.seed(5)
+    good, bad, flat = ["wins", "record", "gain strong"], ["loss", "falls", "weak sales"], ["opens", "office", "week ahead"]
+    rows = []
+    for i in range(300):
+        label, words = random.choice([("positive", good), ("negative", bad), ("neutral", flat)])
+        rows.append((i, " ".join(random.choices(words + ["the", "of", "stock"], k=8)) + " " + random.choice(words), label))
+    df = spark.createDataFrame(rows, "article_id long, text string, label string")
+    model = sentiment.fit_model(df.where("article_id < 200"), features=1 << 10)
+    held = {r[0]: r[2] for r in rows if r[0] >= 200}
+    got = {r["article_id"]: r for r in sentiment.scored_by(model, df.where("article_id >= 200").drop("label")).collect()}
+    assert set(got) == set(held) and sum(got[i]["label"] == k for i, k in held.items()) >= 0.95 * len(held)
+    assert all(1 / 3 <= r["score"] <= 1 for r in got.values())
+    assert sentiment.scored_by(model, spark.createDataFrame([(1, None)], "article_id long, text string")).count() == 1
+
+
+def test_fixed_values():
+    assert rules.GENERIC_TERMS[:3] == ["ai", "gpu", "chip"] and len(rules.GENERIC_TERMS) == 12
+    assert rules.LEGAL_FORMS == ["inc", "inc.", "corp", "corp.", "corporation", "co", "co.", "company", "group", "holdings", "ltd", "ltd.", "plc"]
+    assert [e[0] for e in rules.EVENTS] == ["executive_change", "analyst_rating_or_target", "earnings_or_guidance", "regulatory_or_geopolitical", "product_or_strategy", "market_reaction", "comparison_or_context"]
+    assert (len(rules.ROUNDUP), len(rules.CONTEXT), [len(e[2]) for e in rules.EVENTS]) == (9, 11, [6, 9, 7, 9, 10, 8, 6])
+    assert rules.POINTS == {"identity": (7.0, 4.0), "specific": (4.0, 2.0), "generic": (1.0, 0.5)}
+    assert rules.SOURCE_POINTS == {"yahoo_finance": 2.0, "prnewswire": 1.0, "globenewswire": 1.0, "accessnewswire": 1.0, "finviz": -1.0}
+    assert (rules.ROUNDUP_POINTS, rules.ACCEPT, rules.RELATED, rules.REVIEW, rules.COVERAGE_STEP, rules.SENTIMENT_BOUND) == (-6.0, 7.0, 8.0, 4.0, 0.15, 0.15)
+    assert rules.WEAK_SOURCES == ["finviz", "marketwatch_topstories", "marketwatch_marketpulse", "sec_press_releases"]
+    assert {k: s[5] for k, s in NAMES.items()} == {"yahoo_finance": 90, "marketwatch_topstories": 70, "marketwatch_marketpulse": 80, "sec_press_releases": 45, "prnewswire_all_news": None, "prnewswire": 85, "globenewswire": 85, "accessnewswire": 85, "mtnewswires": 70, "dowjones": None, "finviz": 55}
+
+
 def test_fixed_weights():
     assert [e[1] for e in rules.EVENTS] == [1.0, 0.9, 1.0, 0.95, 0.85, 0.7, 0.5] and STRUCTURED != RSS and buckets.KEY[0] == "watch_ord"

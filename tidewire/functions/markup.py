@@ -16,19 +16,19 @@ SUMMARY_CHARS = 400
 
 
 class AnchorReader(HTMLParser):
-    """Collects (href, text, text of the parent) of every anchor, in document order."""
+    """Collects (href, text, text of the parent, elements around) of every anchor, in document order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[dict] = [{"tag": "", "parts": []}]
-        self.anchors: list[tuple[str, list[str], list[str]]] = []
+        self.anchors: list[tuple[str, list[str], list[str], set[str]]] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             return
         node = {"tag": tag, "parts": []}
         if tag == "a":
-            self.anchors.append((dict(attrs).get("href") or "", node["parts"], self.open[-1]["parts"]))
+            self.anchors.append((dict(attrs).get("href") or "", node["parts"], self.open[-1]["parts"], {n["tag"] for n in self.open}))
         self.open.append(node)
 
     def handle_endtag(self, tag):
@@ -40,17 +40,26 @@ class AnchorReader(HTMLParser):
     def handle_data(self, data):
         self.open[-1]["parts"].append(data.strip())
 
-    def finish(self) -> list[tuple[str, str, str]]:
+    def finish(self) -> list[tuple[str, str, str, set[str]]]:
         self.close()
         while len(self.open) > 1:
             done = self.open.pop()
             self.open[-1]["parts"].extend(done["parts"])
         line = lambda parts: re.sub(r"\s+", " ", " ".join(filter(None, parts))).strip()
-        return [(href, line(own), line(parent)) for href, own, parent in self.anchors]
+        return [(href, line(own), line(parent), around) for href, own, parent, around in self.anchors]
 
 
-def anchors(pages: DataFrame, id_col: str, html_col: str, homepage_col: str) -> DataFrame:
-    """(id, position, link, title, summary) of every anchor with a link, links resolved to the homepage."""
+def picked(href: str, around: set[str], selectors: list[tuple[list[str], str]]) -> int:
+    """Place of the first selector (elements around, part of the href) that takes an anchor; -1 for none, 0 without selectors."""
+    return next((i for i, (tags, part) in enumerate(selectors) if part in href and around.issuperset(tags)), -1) if selectors else 0
+
+
+def anchors(pages: DataFrame, id_col: str, html_col: str, homepage_col: str, selectors: list[tuple[list[str], str]] = ()) -> DataFrame:
+    """(id, choice, position, link, title, summary) of every anchor with a link, links resolved to the homepage.
+
+    With selectors only the anchors that one takes; choice is the first such selector's place,
+    and the order of anchors is by choice, then by position.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -58,9 +67,10 @@ def anchors(pages: DataFrame, id_col: str, html_col: str, homepage_col: str) ->
             for page, markup, homepage in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], pdf.iloc[:, 2]):
                 reader = AnchorReader()
                 reader.feed(markup or "")
-                for i, (href, title, parent) in enumerate(reader.finish()):
-                    if href:
-                        rows.append((page, i, urljoin(homepage or "", href), title, "" if parent == title else parent[:SUMMARY_CHARS]))
-            yield pd.DataFrame(rows, columns=["page", "position", "link", "title", "summary"])
+                for i, (href, title, parent, around) in enumerate(reader.finish()):
+                    choice = picked(href, around, selectors)
+                    if href and choice >= 0:
+                        rows.append((page, choice, i, urljoin(homepage or "", href), title, "" if parent == title else parent[:SUMMARY_CHARS]))
+            yield pd.DataFrame(rows, columns=["page", "choice", "position", "link", "title", "summary"])
 
-    return pages.select(id_col, html_col, homepage_col).mapInPandas(run, "page long, position int, link string, title string, summary string")
+    return pages.select(id_col, html_col, homepage_col).mapInPandas(run, "page long, choice int, position int, link string, title string, summary string")

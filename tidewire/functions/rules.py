@@ -41,7 +41,7 @@ CONTEXT = [
 
 # Event types in the order they are tried, their weights and patterns.
 EVENTS = [
-    ("executive_change", 1.0, [r"\bnew ceo\b", r"\bappoints\b", r"\bsteps? down\b", r"\bchief executive\b", r"\bchairman\b"]),
+    ("executive_change", 1.0, [r"\bnew ceo\b", r"\bnames new ceo\b", r"\bappoints\b", r"\bsteps? down\b", r"\bchief executive\b", r"\bchairman\b"]),
     (
         "analyst_rating_or_target",
         0.9,
@@ -56,9 +56,9 @@ EVENTS = [
     (
         "product_or_strategy",
         0.85,
-        [r"\blaunch(?:es|ed)?\b", r"\badopt\b", r"\bcollaboration\b", r"\bpartner(?:s|ship)?\b", r"\bchip production\b", r"\bdeal\b", r"\bproduction on track\b", r"\bstreaming standard\b", r"\bdemand stays strong\b"],
+        [r"\blaunch(?:es|ed)?\b", r"\badopt\b", r"\bcollaboration\b", r"\bpartner(?:s|ship)?\b", r"\bexpand collaboration\b", r"\bchip production\b", r"\bdeal\b", r"\bproduction on track\b", r"\bstreaming standard\b", r"\bdemand stays strong\b"],
     ),
-    ("market_reaction", 0.7, [r"\bstock hits\b", r"\bstock extends\b", r"\bvaluation\b", r"\bshare gains\b", r"\bstock surges\b", r"\bwinning streak\b", r"\brecord\b"]),
+    ("market_reaction", 0.7, [r"\bstock hits\b", r"\bstock extends\b", r"\bvaluation\b", r"\bshare gains\b", r"\bstock surges\b", r"\bwinning streak\b", r"\brecord peak\b", r"\brecord\b"]),
     ("comparison_or_context", 0.5, [r"\bvs\b", r"\brevenge on\b", r"\bdominated market\b", r"\bweek ahead\b", r"\bin focus\b", r"\bother .* names\b"]),
 ]
 # The type and weight of everything else.

@@ -1,4 +1,4 @@
-"""Column functions on text. All run inside generated code; a null text counts as ''."""
+"""Column functions on text, all on the JVM but for rare character references; a null text counts as ''."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 EDGE = "\x01"
-#: Entities of the fast path; anything else goes through html.unescape in Arrow batches.
-NAMED = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+#: References that are replaced in place, the ampersand last; a text with any other goes through html.unescape in Arrow batches.
+NAMED = {"&quot;": '"', "&apos;": "'", "&copy;": "©", "&middot;": "·", "&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+OTHER_REFERENCE = f"&(?!(?:{'|'.join(n[1:] for n in NAMED)}))[#A-Za-z]"
 
 
 def filled(c: Column) -> Column:
@@ -29,8 +30,11 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def unescaped(c: Column) -> Column:
-    """Character references resolved; texts without `&` never leave the JVM's values."""
-    return F.when(F.contains(filled(c), F.lit("&")), _unescape(filled(c))).otherwise(filled(c))
+    """Character references resolved; only texts with one that is not in NAMED are sent to Python, of others a null."""
+    plain = filled(c)
+    for name, char in NAMED.items():
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    return F.coalesce(_unescape(F.when(filled(c).rlike(OTHER_REFERENCE), c)), plain)
 
 
 def without_markup(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import first_filled, rounded
 from ..sources.dimension import with_source
+from ..sources.staging import staged
 
 
 def keyed(primary: DataFrame) -> DataFrame:
@@ -43,17 +44,21 @@ def stories(primary: DataFrame) -> DataFrame:
 def ranked(clusters: DataFrame, k: int = 0) -> DataFrame:
     """Clusters with their story_rank in the entry: signal, coverage, then first appearance. k: only the k best.
 
-    With k, each partition keeps its own k best first. Without, ranks come from the counts of
-    the few distinct (signal, coverage) levels above a row, so an entry with very many
-    stories is sorted level by level and not in one task.
+    With k, each partition keeps its own k best first. Without, all stories are dealt out by
+    range in rank order and written once; a rank is the place inside the entry's part of a
+    range plus the sizes of its earlier ranges, so an entry with very many stories is as many
+    parts as it needs and no part is sorted with another.
     """
-    level = ["signal_strength", "coverage_count"]
+    order = [*map(F.desc, ("signal_strength", "coverage_count")), F.asc("first_ord")]
     if k:
-        best = Window.partitionBy("watch_ord").orderBy(*map(F.desc, level), "first_ord")
+        best = Window.partitionBy("watch_ord").orderBy(*order)
         return clusters.withColumn("story_rank", F.row_number().over(best)).where(F.col("story_rank") <= k)
-    sizes = clusters.groupBy("watch_ord", *level).agg(F.count(F.lit(1)).alias("__n"))
-    above = Window.partitionBy("watch_ord").orderBy(*map(F.desc, level)).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__above", F.coalesce(F.sum("__n").over(above), F.lit(0))).drop("__n")
-    inside = Window.partitionBy("watch_ord", *level).orderBy("first_ord")
-    out = clusters.join(sizes, ["watch_ord", *level])
-    return out.withColumn("story_rank", (F.col("__above") + F.row_number().over(inside)).cast("int")).drop("__above")
+    dealt = staged(clusters.repartitionByRange("watch_ord", *order).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("watch_ord", "__part").agg(F.count(F.lit(1)).alias("__n"))  # a row an entry and range
+    before = Window.partitionBy("watch_ord").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy("watch_ord", "__part").orderBy(*order)
+    placed = dealt.withColumn("__place", F.row_number().over(inside)).join(F.broadcast(sizes), ["watch_ord", "__part"])
+    out = placed.withColumn("story_rank", (F.col("__before") + F.col("__place")).cast("int")).drop("__before", "__place", "__part")
+    out._staged_at = dealt._staged_at
+    return out

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import compact, edged, filled
 from ..sources.dimension import RSS
 
-#: Watchlist entries up to which every article meets the whole watchlist in memory.
-BROADCAST_ENTRIES = 200
-#: Characters of a keyword that the join of a large watchlist goes by.
-GRAM = 4
+#: Watchlist entries up to which every article is tested against the whole watchlist in its row.
+BROADCAST_ENTRIES = 50
+#: Characters of keywords that one pass of the automaton holds (some 100 bytes each in a worker).
+PASS_CHARS = 2_000_000
 
 
 def haystack(rss: Column) -> Column:
@@ -32,13 +38,14 @@ def route(articles: DataFrame, watchlist: DataFrame) -> DataFrame:
     return articles.select("article_id", "feed_ticker").join(mine, allowed).select("article_id", "watch_ord")
 
 
-def candidate_pairs(articles: DataFrame, needles: DataFrame, entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def candidate_pairs(articles: DataFrame, needles: DataFrame, entries: int = BROADCAST_ENTRIES, pass_chars: int = PASS_CHARS) -> DataFrame:
     """Articles with the columns of each entry of `needles` that a keyword of theirs hits.
 
     A keyword hits where its compact form is part of the article's compact form, across
     words too. A watchlist of at most `entries` entries is broadcast and every article is
-    tested against it in one pass. A larger one is joined by grams: the first GRAM
-    characters of a keyword (all of a shorter one) against those that occur in the article.
+    tested against it in one pass. Of a larger one the keywords go to tasks as an automaton
+    that finds all of them in one reading of a text; a watchlist with more than `pass_chars`
+    characters of keywords is cut to several, read one after the other. Articles never move.
     """
     small = needles.limit(entries + 1).count() <= entries
     hay = articles.withColumn("__hay", haystack(F.col("source_group") == RSS))
@@ -46,14 +53,35 @@ def candidate_pairs(articles: DataFrame, needles: DataFrame, entries: int = BROA
     if small:
         hit = F.exists("short_keywords", lambda k: F.contains(F.col("__hay"), k))
         return hay.join(F.broadcast(needles), allowed & hit).drop("__hay")
-    keyed = needles.select("watch_ord", "ticker", F.explode("short_keywords").alias("__k")).withColumn("__gram", F.substring("__k", 1, GRAM))
-    sizes = [r[0] for r in keyed.select(F.length("__gram")).distinct().collect()]  # GRAM numbers at most
-    # a look-ahead matches at every place, so overlapping grams come out in one pass
-    grams = [F.regexp_extract_all("__hay", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
-    grams = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
-    spread = hay.select("article_id", "feed_ticker", "__hay", F.explode(grams).alias("__gram"))
-    found = spread.join(keyed, "__gram").where(allowed & F.contains("__hay", F.col("__k"))).select("article_id", "watch_ord").distinct()
-    return articles.join(found, "article_id").join(needles, "watch_ord")
+    size = F.aggregate("short_keywords", F.lit(0), lambda n, k: n + F.length(k) + 1)
+    passes = max(1, -(-int(needles.agg(F.sum(size)).first()[0] or 0) // pass_chars))
+    found = []
+    for p in range(passes):
+        some = needles.where(F.pmod(F.xxhash64("watch_ord"), F.lit(passes)) == p)
+        hits = hay.withColumn("watch_ord", F.explode(_finder(some)(F.col("__hay")))).drop("__hay")
+        found.append(hits.join(F.broadcast(some), "watch_ord").where(allowed))
+    return reduce(DataFrame.union, found).select(*articles.columns, *needles.columns)
+
+
+def _finder(needles: DataFrame) -> Callable[[Column], Column]:
+    """A function from compact texts to the entries whose keywords they hold."""
+    owners: dict[str, list[int]] = {}
+    for order, keywords in needles.select("watch_ord", "short_keywords").toLocalIterator():
+        for k in keywords:
+            owners.setdefault(k, []).append(order)
+    shared = needles.sparkSession.sparkContext.broadcast(owners)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for k, orders in shared.value.items():
+            automaton.add_word(k, orders)
+        automaton.make_automaton()
+        empty = not shared.value
+        for texts in parts:
+            yield pd.Series([[] if empty else sorted({o for _, orders in automaton.iter(t) for o in orders}) for t in texts])
+
+    return find
 
 
 def filter_by_text(articles: DataFrame, keywords: list[str], text_col: str = "text") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,10 +76,62 @@ def usage_of_snapshot(tickers: DataFrame) -> DataFrame:
     return out.union(names.groupBy("ticker", "bucket", "source_name").agg(F.count(F.lit(1)).alias("n")))
 
 
-def documents(stats: DataFrame, routed: DataFrame, ranked: DataFrame) -> DataFrame:
-    """One nested row an entry, stories in rank order: for a JSON sink; the flat tables are the primary output."""
-    story = ranked.groupBy("watch_ord").agg(F.array_sort(F.collect_list(F.struct("story_rank", "title", "link", "source_key", "source_name", "relevance_score", "event_type", "coverage_count", "coverage_sources", "signal_strength"))).alias("stories"))
-    row = F.struct("article_id", "title", "link", "source_key", "source_name", "relevance_score", "event_type", "bucket_reason", "rejection_reasons")
-    listed = lambda b: F.array_sort(F.collect_list(F.when(F.col("bucket") == b, row)))
-    rows = routed.groupBy("watch_ord").agg(listed("related").alias("related_context"), listed("review").alias("review_candidates"), listed("rejected").alias("rejections"))
-    return stats.join(story, "watch_ord", "left").join(rows, "watch_ord", "left")
+#: Sections of a snapshot that hold rows of articles, by bucket.
+SECTIONS = {"primary": "stories", "related": "related_context", "review": "review_candidates", "rejected": "rejections"}
+#: Names of the buckets of source usage in a snapshot.
+USED = {"raw": "raw_matches", "primary": "primary_stories", "related": "related_context", "review": "review_candidates", "rejected": "rejections", "coverage": "primary_story_coverage"}
+COLUMNS = ["watch_ord", "ticker", "section", "place", "title", "link", "source_key", "source_name", "relevance_score", "event_type", "n", "notes"]
+
+
+def snapshot_rows(watchlist: DataFrame, stats: DataFrame, routed: DataFrame, ranked: DataFrame, usage: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """A snapshot of all entries in flat rows, so that none grows with the articles.
+
+    Sections of an entry: `profile` (title: company, notes: keywords), `stats` (title: a count's
+    name, n), `source_usage` (title: bucket, source_name, n), `failures` (source_key, n; the same for
+    every entry), `stories` in rank order (n: coverage, notes: its sources), and the related,
+    review and rejected rows in their order (notes: reasons). `place` orders a section.
+    """
+    none = {c: F.lit(None).cast(t) for c, t in (("title", "string"), ("link", "string"), ("source_key", "string"), ("source_name", "string"), ("relevance_score", "double"), ("event_type", "string"), ("n", "bigint"), ("notes", "array<string>"))}
+
+    def part(df: DataFrame, section: Column, place: Column, **given: Column) -> DataFrame:
+        made = {**none, **given, "section": section, "place": place.cast("bigint")}
+        return df.select(*(made[c].alias(c) if c in made else F.col(c) for c in COLUMNS))
+
+    counts = [c for c in stats.columns if c not in ("watch_ord", "ticker")]
+    listed = F.posexplode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("bigint").alias("n")) for c in counts)))
+    stat = stats.select("watch_ord", "ticker", listed.alias("at", "x"))
+    rows = routed.where(F.col("bucket").isin(*(b for b in SECTIONS if b != "primary")))
+    row = {c: F.col(c) for c in ("title", "link", "source_key", "source_name", "relevance_score", "event_type")}
+    named = lambda names: F.coalesce(*(F.when(F.col("bucket") == b, s) for b, s in names.items()))
+    second = F.when(F.col("bucket_reason") == "summary_only_identity_match", F.lit(1 << 62)).otherwise(F.lit(0))  # after those by title
+    out = [
+        part(watchlist, F.lit("profile"), F.lit(0), title=F.col("company"), notes=F.col("keywords")),
+        part(stat, F.lit("stats"), F.col("at"), title=F.col("x.name"), n=F.col("x.n")),
+        part(usage, F.lit("source_usage"), F.lit(0), title=named(USED), source_name=F.col("source_name"), n=F.col("n")),
+        part(ranked, F.lit("stories"), F.col("story_rank"), **row, n=F.col("coverage_count").cast("bigint"), notes=F.col("coverage_sources")),
+        part(rows, named(SECTIONS), second + F.col("article_id"), **row, notes=F.when(F.col("bucket") == "rejected", F.col("rejection_reasons")).otherwise(F.array("bucket_reason"))),
+    ]
+    if failures is not None:  # a row a source at most, met by every entry
+        few = F.broadcast(failures.where("failed > 0").select("source_key", "failed"))
+        out.append(part(watchlist.select("watch_ord", "ticker").join(few, F.lit(True)), F.lit("failures"), F.lit(0), source_key=F.col("source_key"), n=F.col("failed").cast("bigint")))
+    return reduce(DataFrame.union, out)
+
+
+def header(generated_at: str, watchlist_file: str, rss_limit: int, structured_limit: int, include_seen: bool, spark: SparkSession) -> DataFrame:
+    """The one row that a snapshot begins with."""
+    row = (generated_at, watchlist_file, rss_limit, structured_limit, include_seen)
+    return spark.createDataFrame([row], "generated_at string, watchlist_file string, rss_limit int, structured_limit int, include_seen boolean")
+
+
+def usage_of_sections(rows: DataFrame) -> DataFrame:
+    """(ticker, bucket, source_name, n) of a flat snapshot: stored counts, or those of the rows where an entry has none of a bucket.
+
+    Raw matches can't be recounted: without stored counts they are missing.
+    """
+    stored = rows.where("section = 'source_usage'").select("ticker", F.col("title").alias("bucket"), "source_name", "n")
+    known = stored.select("ticker", "bucket").distinct()
+    bucket = F.when(F.col("section") == "stories", "primary_stories").otherwise(F.col("section"))
+    names = rows.where(F.col("section").isin(*SECTIONS.values())).select("ticker", bucket.alias("bucket"), "source_name")
+    cover = rows.where("section = 'stories'").select("ticker", F.lit("primary_story_coverage").alias("bucket"), F.explode("notes").alias("source_name"))
+    found = names.union(cover).where("source_name <> ''").join(F.broadcast(known), ["ticker", "bucket"], "left_anti")
+    return stored.union(found.groupBy("ticker", "bucket", "source_name").agg(F.count(F.lit(1)).alias("n")))

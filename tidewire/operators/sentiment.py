@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.text import filled
 
+#: Words of the stand-in scorer, from the adapters' phrases; a fitted model (fit_model) or any Scorer takes its place.
 GOOD = ["wins", "record", "rise", "expands", "partners", "upgrade", "launches"]
 BAD = ["faces", "settles", "controls", "raises", "downgrade", "falls", "cautious"]
 Scorer = Callable[[list[str]], list[tuple[str, float]]]
@@ -44,6 +50,26 @@ def scored(articles: DataFrame, load: Callable[[], Scorer] = lexicon, id_col: st
     return articles.select(id_col, text_col).mapInPandas(run, f"{id_col} long, label string, score double")
 
 
+def fit_model(labelled: DataFrame, text_col: str = "text", label_col: str = "label", features: int = 1 << 16) -> PipelineModel:
+    """A text classifier of labelled rows: logistic regression on hashed words and word pairs, trained by Spark."""
+    few = labelled.select(filled(F.col(text_col)).alias("__text"), F.col(label_col).alias("__label")).where("__label IS NOT NULL")
+    words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"[^\p{L}\p{N}']+", toLowercase=True)
+    pairs = NGram(n=2, inputCol="__words", outputCol="__pairs")
+    steps = [words, pairs, HashingTF(inputCol="__words", outputCol="__w", numFeatures=features), HashingTF(inputCol="__pairs", outputCol="__p", numFeatures=features)]
+    steps += [VectorAssembler(inputCols=["__w", "__p"], outputCol="__features"), StringIndexer(inputCol="__label", outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="skip")]
+    steps.append(LogisticRegression(featuresCol="__features", labelCol="__index", predictionCol="__best", probabilityCol="__share", rawPredictionCol="__raw", regParam=1e-4, maxIter=25))
+    return Pipeline(stages=steps).fit(few)
+
+
+def scored_by(model: PipelineModel, articles: DataFrame, id_col: str = "article_id", text_col: str = "text") -> DataFrame:
+    """(id, label, score): the likeliest label of a fitted model and its probability. Nothing runs in Python."""
+    labels = next(s for s in model.stages if isinstance(s, StringIndexerModel)).labels
+    steps = PipelineModel([s for s in model.stages if not isinstance(s, StringIndexerModel)])
+    out = steps.transform(articles.select(id_col, filled(F.col(text_col)).alias("__text")))
+    share = vector_to_array(F.col("__share"))
+    return out.select(id_col, F.get(F.array(*map(F.lit, labels)), F.col("__best").cast("int")).alias("label"), F.array_max(share).alias("score"))
+
+
 def overall(rows: DataFrame, *keys: str) -> DataFrame:
     """Mean signed score of non-neutral rows a group, and its verdict; a group of neutral rows only has no row."""
     sign = F.when(F.col("label") == "positive", F.col("score")).when(F.col("label") == "negative", -F.col("score"))

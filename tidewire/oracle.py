@@ -264,7 +264,11 @@ WHERE len(s.href_contains) = 0 OR a.source_key = 'finviz' OR len(list_filter(s.h
     "filter_articles": "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in ("thanedble", "attion", "eriner", "thintion")),
     "route_articles": _sql("SELECT article_id, watch_ord FROM article JOIN watch ON feed_ticker IS NULL OR feed_ticker = ticker", "article", "watch"),
     "candidate_pairs": _sql("SELECT article_id, watch_ord FROM pair", "pair"),
-    "keyword_prefilter": f"""SELECT doc_id AS article_id, watch_ord FROM (SELECT doc_id, {_compact("split_part(text, chr(10), 1)")} AS hay FROM documents) d JOIN (VALUES (0, ['tha', 'thanedble', 'theand']), (1, ['att', 'attion']), (2, ['eri', 'eriner', 'thintion'])) w(watch_ord, words) ON len(list_filter(words, lambda k: contains(hay, k))) > 0""",
+    "keyword_prefilter": f"""WITH w AS (SELECT doc_id::INTEGER AS watch_ord, list_distinct([{_compact("'Ticker no ' || doc_id::VARCHAR")}, {_compact("a")}, {_compact("b")}]) AS words
+  FROM (SELECT doc_id, string_split(text, ' ')[1] AS a, string_split(text, ' ')[3] AS b FROM documents) t WHERE length(a) BETWEEN 6 AND 40 AND length(b) BETWEEN 6 AND 40),
+k AS (SELECT watch_ord, word FROM (SELECT watch_ord, unnest(words) AS word FROM w) u WHERE word <> ''), sought AS (SELECT DISTINCT word FROM k),
+found AS (SELECT doc_id, word FROM (SELECT doc_id, {_compact("text")} AS hay FROM documents WHERE text IS NOT NULL) d JOIN sought ON contains(hay, word))
+SELECT DISTINCT doc_id AS article_id, watch_ord FROM found JOIN k USING (word)""",
     "matched_terms": _sql(f"SELECT article_id, watch_ord, {', '.join(_joined(f'm_{k}', k) for k in rules.POINTS)} FROM scored", "scored"),
     "event_types": _sql(f"SELECT article_id, {_event('name')} AS event_type, {_event('weight')} AS weight FROM article", "article"),
     "roundup_titles": _sql(f"SELECT article_id, title FROM article WHERE {_any('title', rules.ROUNDUP)}", "article"),
@@ -288,7 +292,7 @@ OR (NOT reviewable AND EXISTS (SELECT 1 FROM flagged g WHERE g.reviewable AND g.
     "source_usage_ranked": _sql("SELECT watch_ord, ticker, bucket, source_name, n, row_number() OVER (PARTITION BY watch_ord, bucket ORDER BY n DESC, p0)::INTEGER AS source_rank FROM used", "used"),
     "source_coverage": _sql("SELECT watch_ord, ticker, source_name, n FROM used WHERE bucket = 'coverage'", "used"),
     "unseen_links": _sql(
-        f"SELECT article_id, link FROM article a WHERE source_group <> '{STRUCTURED}' OR NOT EXISTS (SELECT 1 FROM article s WHERE s.article_id % 10 = 7 AND s.published = '1996-05-05' AND s.link = a.link)", "article"
+        f"SELECT article_id, link FROM article a WHERE source_group <> '{STRUCTURED}' OR NOT EXISTS (SELECT 1 FROM article s WHERE s.source_group = '{STRUCTURED}' AND CAST(s.published AS DATE) + 1 = CAST(a.published AS DATE) AND s.link = a.link)", "article"
     ),
     "first_claim": _sql(
         f"SELECT article_id, watch_ord, link FROM (SELECT *, min(CASE WHEN source_group = '{STRUCTURED}' THEN watch_ord END) OVER (PARTITION BY link) AS first_ord FROM pair) t WHERE source_group <> '{STRUCTURED}' OR watch_ord = first_ord", "pair"
@@ -319,7 +323,7 @@ def _sentiment(c: str) -> str:
 ORACLES["score_sentiment"] = _sql(f"SELECT article_id, {_sentiment('text')} FROM article WHERE source_group = '{RSS}'", "article")
 ORACLES["overall_sentiment"] = _sql(
     f"""SELECT watch_ord, ticker, n_scored, {_rounded('m')} AS mean_score, CASE WHEN m >= 0.15::DOUBLE THEN 'Positive' WHEN m <= -0.15::DOUBLE THEN 'Negative' ELSE 'Neutral' END AS overall FROM (
-SELECT watch_ord, ticker, count(*) AS n_scored, avg(CASE WHEN label = 'positive' THEN score ELSE -score END) AS m FROM (SELECT watch_ord, ticker, {_sentiment('title')} FROM pair WHERE source_group = '{RSS}') s WHERE label <> 'neutral' GROUP BY watch_ord, ticker) t""",
+SELECT watch_ord, ticker, count(*) AS n_scored, avg(CASE WHEN label = 'positive' THEN score ELSE -score END) AS m FROM (SELECT watch_ord, ticker, {_sentiment('text')} FROM pair WHERE source_group = '{RSS}') s WHERE label <> 'neutral' GROUP BY watch_ord, ticker) t""",
     "pair",
 )
 
@@ -336,7 +340,11 @@ ORACLES["read_news_json"] = _sql(
     f"SELECT 'accessnewswire' AS source_key, title, summary, link, published FROM article WHERE source_group = '{STRUCTURED}' AND contains(lower(source_name), 'newswire') AND {_headline('title')}", "article"
 )
 ORACLES["read_paged_json"] = _sql(f"SELECT source_key, title, summary, link, published FROM article WHERE source_key = 'accessnewswire' AND {_headline('title')}", "article")
-ORACLES["html_headlines"] = f"""SELECT 'mtnewswires' AS source_key, title, {HOST} || '/news/' || page_id::VARCHAR AS link, ('Lead ' || title)[1:400] AS summary FROM (SELECT page_id, url, {_squeezed(_unescaped(TITLE))} AS title FROM pages) t WHERE {_headline('title')}"""
+ANCHOR = r'(?is)<a href="([^"]*)"[^>]*>(.*?)</a>'
+ANCHORS = f"""SELECT page_id, (n - 1)::INTEGER AS position, href, {_squeezed(_unescaped("inner_"))} AS title FROM (
+SELECT page_id, url, unnest(regexp_extract_all(html, {_q(ANCHOR)}, 1)) AS href, unnest(regexp_extract_all(html, {_q(ANCHOR)}, 2)) AS inner_, unnest(range(1, len(regexp_extract_all(html, {_q(ANCHOR)})) + 1)) AS n FROM pages) p"""
+ORACLES["html_anchors"] = f"SELECT a.page_id, position, {HOST} || href AS link, title, '' AS summary FROM ({ANCHORS}) a JOIN pages ON a.page_id = pages.page_id"
+ORACLES["html_headlines"] = f"SELECT 'finviz' AS source_key, title, link, '' AS summary FROM (SELECT DISTINCT {HOST} || href AS link, title FROM ({ANCHORS}) a JOIN pages ON a.page_id = pages.page_id) t WHERE {_headline('title')}"
 ORACLES["usage_from_snapshot"] = _sql(
     """SELECT ticker, CASE bucket WHEN 'raw' THEN 'raw_matches' WHEN 'primary' THEN 'primary_stories' WHEN 'related' THEN 'related_context' WHEN 'review' THEN 'review_candidates' WHEN 'rejected' THEN 'rejections' ELSE 'primary_story_coverage' END AS bucket, source_name, n
 FROM used WHERE bucket <> 'raw' OR ticker <> 'PANW'""",
@@ -349,3 +357,20 @@ FROM (SELECT *, min(CASE WHEN source_group = '{STRUCTURED}' THEN (article_id % 2
 WHERE accepted AND related IS NULL AND (source_group <> '{STRUCTURED}' OR (article_id % 2) * 1000 + watch_ord = first_claim)) t GROUP BY ticker""",
     "flagged",
 )
+
+LISTED = "array_to_string({}, '|')"
+_counts = ["raw_rows", "accepted_rows", "related_rows", "review_rows", "rejected_rows", "suppressed_rows", "story_count", "duplicates_merged"]
+_stats = " UNION ALL ".join(f"SELECT watch_ord, ticker, 'stats' AS section, {i}::BIGINT AS place, '{c}' AS title, NULL AS link, NULL AS source_key, NULL AS source_name, NULL AS relevance_score, NULL AS event_type, {c}::BIGINT AS n, NULL AS notes FROM stats" for i, c in enumerate(_counts))
+ORACLES["watchlist_snapshot"] = _sql(
+    f"""SELECT watch_ord, ticker, 'profile' AS section, 0::BIGINT AS place, company AS title, NULL AS link, NULL AS source_key, NULL AS source_name, NULL::DOUBLE AS relevance_score, NULL AS event_type, NULL::BIGINT AS n, {LISTED.format('keywords')} AS notes FROM watch
+UNION ALL {_stats}
+UNION ALL SELECT watch_ord, ticker, 'source_usage', 0, CASE bucket WHEN 'raw' THEN 'raw_matches' WHEN 'primary' THEN 'primary_stories' WHEN 'related' THEN 'related_context' WHEN 'review' THEN 'review_candidates' WHEN 'rejected' THEN 'rejections' ELSE 'primary_story_coverage' END, NULL, NULL, source_name, NULL, NULL, n, NULL FROM used
+UNION ALL SELECT watch_ord, ticker, 'stories', story_rank, title, link, source_key, source_name, relevance_score, event_type, coverage_count, coverage_sources FROM ranked
+UNION ALL SELECT watch_ord, ticker, CASE bucket WHEN 'related' THEN 'related_context' WHEN 'review' THEN 'review_candidates' ELSE 'rejections' END, article_id + (CASE WHEN bucket_reason = 'summary_only_identity_match' THEN 4611686018427387904 ELSE 0 END), title, link, source_key, source_name, relevance_score, event_type, NULL,
+  CASE WHEN bucket = 'rejected' THEN {LISTED.format('reasons')} ELSE bucket_reason END FROM routed WHERE bucket IN ('related', 'review', 'rejected')""",
+    "watch",
+    "stats",
+    "used",
+    "ranked",
+    "routed",
+)

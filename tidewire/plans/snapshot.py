@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import buckets, clusters, matching, profiles, reports, scoring, seen
-from ..sources.staging import spread, staged
+from ..sources.staging import release, spread, staged
 
 #: What the tables after scoring need of a pair.
 SCORED = [
@@ -22,17 +22,19 @@ SCORED = [
 class Snapshot:
     """All tables of one run.
 
-    Pairs and their scores are narrow once the watchlist is broadcast; the scored pairs and
-    the stories, which several tables need, are written once and read from there.
+    Pairs and their scores are narrow once the watchlist is broadcast; the scored pairs, the
+    routed ones and the stories, which several tables need, are written once and read from there.
 
     seen_links: (seen_day, link); with it, links of that day are dropped and a link goes only
     to the first entry that it matches. Without it (the default) every entry sees every article.
+    failures: (source_key, rows_read, failed), for the snapshot.
     """
 
     articles: DataFrame
     watchlist: DataFrame
     seen_links: DataFrame | None = None
     day: str | None = None
+    failures: DataFrame | None = None
 
     @cached_property
     def profiles(self) -> DataFrame:
@@ -54,7 +56,7 @@ class Snapshot:
 
     @cached_property
     def routed(self) -> DataFrame:
-        return buckets.routed(self.scored)
+        return staged(buckets.routed(self.scored))
 
     @cached_property
     def primary(self) -> DataFrame:
@@ -78,5 +80,10 @@ class Snapshot:
         return reports.source_usage(reports.placed_rows(self.routed, self.ranked))
 
     @cached_property
-    def documents(self) -> DataFrame:
-        return reports.documents(self.stats, self.routed, self.ranked)
+    def rows(self) -> DataFrame:
+        """The whole snapshot in flat rows."""
+        return reports.snapshot_rows(self.watchlist, self.stats, self.routed, self.ranked, self.usage, self.failures)
+
+    def release(self) -> None:
+        """Delete what this run has written between its steps; call it once its tables are stored."""
+        release(*(t for t in self.__dict__.values() if isinstance(t, DataFrame)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import rules, text
+from .functions import markup, rules, text
 from .operators import buckets, clusters, matching, profiles, reports, scoring, seen, select, sentiment
 from .plans.snapshot import Snapshot
 from .sources import adapters, readers, writers
@@ -188,12 +188,11 @@ def candidate_pairs(spark, sf_dir):
 
 @query
 def keyword_prefilter(spark, sf_dir):
-    """Documents against a watchlist by grams, the way of a watchlist too large to broadcast."""
+    """Whole documents against the watchlist of all parts, the way of a watchlist too large to test entry by entry."""
     docs = _table(spark, sf_dir, "documents")
-    title = F.split(F.col("text"), "\n", -1)[0]
-    rows = docs.select(F.col("doc_id").alias("article_id"), title.alias("title"), F.lit("").alias("summary"), F.lit("").alias("text"), F.lit(STRUCTURED).alias("source_group"), F.lit(None).cast("string").alias("feed_ticker"))
-    words = spark.createDataFrame([(0, "THA", "thanedble", ["the and"]), (1, "ATT", "attion", []), (2, "ERI", "eriner", ["thintion", "é"])], "watch_ord int, ticker string, company string, keywords array<string>")
-    return matching.candidate_pairs(rows, profiles.needles(profiles.profiles(words)), entries=0).select("article_id", "watch_ord")
+    rows = docs.select(F.col("doc_id").alias("article_id"), F.lit("").alias("title"), F.lit("").alias("summary"), "text", F.lit(RSS).alias("source_group"), F.lit(None).cast("string").alias("feed_ticker"))
+    watch = adapters.document_watchlist(spark, sf_dir)
+    return matching.candidate_pairs(rows, profiles.needles(profiles.profiles(watch)), entries=0).select("article_id", "watch_ord")
 
 
 @query
@@ -293,7 +292,7 @@ def source_coverage(spark, sf_dir):
 
 @query
 def watchlist_snapshot(spark, sf_dir):
-    return _job(spark, sf_dir).documents.select("watch_ord", "ticker", "story_count", *(F.to_json(c).alias(c) for c in ("stories", "related_context", "review_candidates", "rejections")))
+    return _job(spark, sf_dir).rows.withColumn("notes", _joined("notes"))
 
 
 # Seen links --------------------------------------------------------------------------------
@@ -301,9 +300,10 @@ def watchlist_snapshot(spark, sf_dir):
 
 @query
 def unseen_links(spark, sf_dir):
-    rows = adapters.articles(spark, sf_dir)
-    links = rows.where(F.col("article_id") % 10 == 7).select(F.to_date("published").alias("seen_day"), "link")
-    return seen.unseen(rows, links, "1996-05-05").select("article_id", "link")
+    """Articles whose link no site had the day before."""
+    rows = adapters.articles(spark, sf_dir).withColumn("seen_day", F.to_date("published"))
+    links = rows.where(F.col("source_group") == STRUCTURED).select(F.date_add("seen_day", 1).alias("seen_day"), "link")
+    return seen.unseen(rows, links).select("article_id", "link")
 
 
 @query
@@ -321,8 +321,8 @@ def score_sentiment(spark, sf_dir):
 
 @query
 def overall_sentiment(spark, sf_dir):
-    pairs = _job(spark, sf_dir).pairs.where(F.col("source_group") == RSS).select("article_id", "watch_ord", "ticker", "title")
-    scores = sentiment.scored(pairs.select("article_id", "title").distinct(), text_col="title")
+    pairs = _job(spark, sf_dir).pairs.where(F.col("source_group") == RSS).select("article_id", "watch_ord", "ticker")
+    scores = sentiment.scored(adapters.articles(spark, sf_dir).where(F.col("source_group") == RSS))
     out = sentiment.overall(pairs.join(scores, "article_id"), "watch_ord", "ticker")
     return out.select("watch_ord", "ticker", "n_scored", text.rounded(F.col("mean_score")).alias("mean_score"), "overall")
 
@@ -368,13 +368,16 @@ def read_paged_json(spark, sf_dir):
     return readers.read_paged_json(spark, at, "accessnewswire").select("source_key", "title", "summary", "link", "published")
 
 
+@query
+def html_anchors(spark, sf_dir):
+    """All anchors of the pages, before implausible titles go."""
+    found = markup.anchors(_table(spark, sf_dir, "pages"), "page_id", "html", "url")
+    return found.select(F.col("page").alias("page_id"), "position", "link", "title", "summary")
+
+
 @query
 def html_headlines(spark, sf_dir):
-    """Headlines of the pages, whose links get a headline of the page's own title."""
-    pages = _table(spark, sf_dir, "pages")
-    title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
-    lead = F.concat(F.lit("<p>Lead <a href='/news/"), F.col("page_id").cast("string"), F.lit("'>"), title, F.lit("</a></p>"))
-    return readers.html_headlines(pages.withColumn("html", F.concat("html", lead)), "mtnewswires").select("source_key", "title", "link", "summary")
+    return readers.html_headlines(_table(spark, sf_dir, "pages"), "finviz").select("source_key", "title", "link", "summary")
 
 
 @query
@@ -387,30 +390,24 @@ def source_failures(spark, sf_dir):
     return readers.source_failures(spark, at, "article_id long, title string")
 
 
-def _landed_snapshot(spark: SparkSession, sf_dir: str) -> str:
+def _landed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot written in sections and read back; one entry has no stored usage."""
     at = shared_folder(spark)
-    row = F.struct("source_key", "source_name", "title", "link", F.lit("").alias("summary"), F.array().cast("array<string>").alias("coverage_sources"))
-    job = _job(spark, sf_dir)
-    listed = lambda b: F.array_sort(F.collect_list(F.when(F.col("bucket") == b, row)))
-    rows = job.routed.groupBy("ticker").agg(listed("related").alias("related_context"), listed("review").alias("review_candidates"), listed("rejected").alias("rejections"))
-    story = F.struct("source_key", "source_name", "title", "link", F.lit("").alias("summary"), "coverage_sources")
-    rows = rows.join(job.stories.groupBy("ticker").agg(F.array_sort(F.collect_list(story)).alias("stories")), "ticker")
-    used = job.usage.where("bucket = 'raw'").groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("source_name", "n"))).alias("raw_matches"))
-    rows = rows.join(used, "ticker").withColumn("source_usage", F.when(F.col("ticker") != "PANW", F.struct("raw_matches"))).drop("raw_matches")
-    rows.write.option("maxRecordsPerFile", 1).json(at)
-    return at
+    rows = _job(spark, sf_dir).rows
+    writers.write_sections(rows.where("section <> 'source_usage' OR ticker <> 'PANW'"), at)
+    return readers.read_sections(spark, at)
 
 
 @query
 def read_snapshot(spark, sf_dir):
-    out = readers.read_snapshot(spark, _landed_snapshot(spark, sf_dir))
-    size = lambda c: F.size(c).cast("bigint").alias(f"n_{c}")
-    return out.select("ticker", size("stories"), size("related_context"), size("review_candidates"), size("rejections"))
+    rows = _landed_snapshot(spark, sf_dir)
+    size = lambda s: F.count_if(F.col("section") == s).alias(f"n_{s}")
+    return rows.groupBy("ticker").agg(*map(size, reports.SECTIONS.values()))
 
 
 @query
 def usage_from_snapshot(spark, sf_dir):
-    return reports.usage_of_snapshot(readers.read_snapshot(spark, _landed_snapshot(spark, sf_dir)))
+    return reports.usage_of_sections(_landed_snapshot(spark, sf_dir))
 
 
 @query
@@ -441,13 +438,11 @@ def history_retention(spark, sf_dir):
 
 @query
 def stream_first_seen(spark, sf_dir):
-    """First link of each day of a stream of event files, which land week by week, run to its end."""
+    """First link of each day of a stream of event files, run to its end."""
     at, out = shared_folder(spark), shared_folder(spark)
     events = _table(spark, sf_dir, "events")
-    week = F.date_trunc("week", "ts")
-    for (start,) in events.select(week.alias("w")).distinct().orderBy("w").collect():
-        events.where(week == F.lit(start)).coalesce(1).write.mode("append").parquet(at)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    events.write.parquet(at)  # the stream reads a folder
+    stream = spark.readStream.schema(events.schema).parquet(at)
     links = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("link"))
     run = poll.first_seen(links, "2 days").select("seen_day", "link").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -456,14 +451,14 @@ def stream_first_seen(spark, sf_dir):
 
 @query
 def stream_snapshot(spark, sf_dir):
-    """Stories of the last batch of a stream of article files, with links claimed by earlier batches left out."""
+    """Stories of a stream of article files that land in two halves, a batch each; links claimed by the first are left out of the second."""
     at, out = shared_folder(spark), shared_folder(spark)
     rows = adapters.articles(spark, sf_dir)
-    for i, part in enumerate((F.col("article_id") % 2 == 0, F.col("article_id") % 2 == 1)):
-        rows.where(part).coalesce(1).write.mode("append").parquet(f"{at}/part={i}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/part=*")
-    job = poll.refresh(adapters.watchlist(spark), out, include_seen=False)
-    run = stream.writeStream.foreachBatch(job).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    job = poll.refresh(adapters.watchlist(spark), out, include_seen=False, seen_days=0)
+    for half in (0, 1):
+        rows.where(F.col("article_id") % 2 == half).write.mode("append").parquet(at)
+        stream = spark.readStream.schema(rows.schema).parquet(at)
+        run = stream.writeStream.foreachBatch(job).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        run.awaitTermination()
     history = spark.read.parquet(f"{out}/history")
     return history.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_stories"), F.sum("coverage_count").alias("n_rows"))

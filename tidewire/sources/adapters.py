@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import article_text
 from ..schemas import WATCHLIST
-from .dimension import RSS, STRUCTURED, with_source
+from .dimension import RSS, SOURCES, STRUCTURED, with_source
 
-KEYS = "yahoo_finance|marketwatch_topstories|marketwatch_marketpulse|sec_press_releases|prnewswire_all_news|prnewswire|globenewswire|accessnewswire|mtnewswires|finviz"
+KEYS = "|".join(s[0] for s in SOURCES if not s[4])
 SUBJECTS = "Apple|AAPL|Nvidia|Tesla|Microsoft|Amazon|Palo Alto Networks|iPhone|CUDA|Robotaxi|Azure|Andy Jassy|Market watchers|Regional banks|Chip makers|Regulators"
 PHRASES = (
     "names new CEO|wins analyst upgrade|posts record earnings|faces export controls|launches copilot for mac|stock extends winning streak|vs rivals|top stories|"
     "opens new office|shares rise on ai demand|in focus|magnificent seven update|raises prices|3 stocks to buy|partners with OpenAI|settles case|expands gpu cluster"
 )
 TICKERS = "AAPL|NVDA|TSLA|MSFT|AMZN|PANW"
+# The watchlist that the articles are made for, with one entry more.
 WATCHED = [
     (0, "AAPL", "Apple", ["iphone", "ipad", "mac"]),
     (1, "NVDA", "Nvidia", ["gpu", "ai", "cuda", "jensen"]),
@@ -58,6 +59,14 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_source(out, "source_name")
 
 
+def document_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A watchlist of words that documents hold: an entry a part, its keywords the first and the third word of a document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split("text", " ").alias("w"))
+    word = lambda i: F.get("w", F.lit(i))
+    some = docs.where(F.length(word(0)).between(6, 40) & F.length(word(2)).between(6, 40))
+    return some.select(F.col("doc_id").cast("int").alias("watch_ord"), F.concat(F.lit("Ticker no "), F.col("doc_id").cast("string")).alias("ticker"), word(0).alias("company"), F.array(word(2)).alias("keywords"))
+
+
 def part_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A watchlist with an entry a part, unchecked: tickers in lower case, blank and repeated keywords."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")

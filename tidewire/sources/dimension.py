@@ -24,6 +24,12 @@ SOURCES = [
     ("dowjones", "Dow Jones Newswires", STRUCTURED, False, True, None, []),
     ("finviz", "Finviz", STRUCTURED, False, False, 55, []),
 ]
+# Selectors of a source's anchors, in the order they are tried: elements around an anchor (innermost last), then what its href holds.
+SELECTORS = {
+    "accessnewswire": [([], "/news-release/"), ([], "/news/"), (["section"], "/news-release/"), (["section"], "/news/"), (["article"], "/news-release/"), (["article"], "/news/"), (["h3"], "")],
+    "mtnewswires": [([], "/news/")],
+    "finviz": [([], "news.ashx"), (["table"], ""), ([], "")],
+}
 #: A source whose links are not held to the wanted ones.
 ANY_LINK = ["finviz"]
 

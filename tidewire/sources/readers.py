@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import markup, text
 from ..operators.select import cap_per_source, first_per_link, wanted_links
 from ..schemas import WATCHLIST
-from .dimension import RSS, STRUCTURED, with_source
+from .dimension import RSS, SELECTORS, STRUCTURED, with_source
 
 ITEM = "title string, link string, description string, summary string, pubDate string, published string, updated string, position long"
 GROUPED = "results struct<news: array<struct<newsitem: array<struct<source: string, headline: string, storyurl: string, datetime: string, qmsummary: string>>>>>"
@@ -105,14 +105,23 @@ def read_paged_json(spark: SparkSession, path: str, source_key: str, cap: int |
 
 
 def html_headlines(pages: DataFrame, source_key: str, id_col: str = "page_id", html_col: str = "html", homepage_col: str = "url", cap: int | None = None) -> DataFrame:
-    """Headlines of anchors: plausible titles, wanted links, the first anchor of each link."""
-    found = markup.anchors(pages, id_col, html_col, homepage_col).withColumns({"source_key": F.lit(source_key), "position": F.struct("page", "position")})
+    """Headlines of anchors in the order of the source's selectors: plausible titles, wanted links, the first anchor of each link."""
+    found = markup.anchors(pages, id_col, html_col, homepage_col, SELECTORS.get(source_key, []))
+    found = found.withColumns({"source_key": F.lit(source_key), "position": F.struct("page", "choice", "position")})
     found = found.where(text.is_headline(F.col("title")))
     found = first_per_link(wanted_links(found), "position")
-    out = with_source(found.withColumns({"published": F.lit(""), "collection_method": F.lit("html"), "source_group": F.lit(STRUCTURED)}), "source_name").drop("page")
+    out = with_source(found.withColumns({"published": F.lit(""), "collection_method": F.lit("html"), "source_group": F.lit(STRUCTURED)}), "source_name").drop("page", "choice")
     return cap_per_source(out, cap, "position") if cap else out
 
 
+SECTION = "watch_ord int, place bigint, title string, link string, source_key string, source_name string, relevance_score double, event_type string, n bigint, notes array<string>, ticker string, section string"
+
+
+def read_sections(spark: SparkSession, path: str) -> DataFrame:
+    """A snapshot as write_sections() wrote it, one row a line."""
+    return spark.read.schema(SECTION).json(path)
+
+
 def watchlist_entries(raw: DataFrame) -> DataFrame:
     """A checked watchlist from (watch_ord, ticker, company, keywords): a blank ticker is an error, blank keywords go."""
     ticker = F.upper(F.trim(text.filled(F.col("ticker"))))

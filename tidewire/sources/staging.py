@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares (spark.checkpoint.dir); a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewire-")
-    return f"{root}/tidewire-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir).
+
+    A local one only where none is named and all runs on one machine; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or 'file://' + tempfile.mkdtemp(prefix='tidewire-')}/tidewire-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:
     """df written as Parquet and read back: later steps read the columns they need, and a lost executor loses none of it."""
     at = shared_folder(df.sparkSession)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    made = df.sparkSession.read.schema(df.schema).parquet(at)
+    made._staged_at = at
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what staged() has written for these tables; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_staged_at", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

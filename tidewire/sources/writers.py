@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
+def write_sections(rows: DataFrame, path: str) -> None:
+    """Replace a snapshot as JSON lines, a folder for each entry and section (see reports.snapshot_rows)."""
+    rows.write.mode("overwrite").partitionBy("ticker", "section").json(path)
+
+
+def prune_partitions(spark: SparkSession, path: str, column: str, least: str) -> list[str]:
+    """Drop the partitions of a column whose value is before `least` and return their names."""
+    at, system = _file_system(spark, path)
+    names = [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+    old = sorted(n for n in names if n.startswith(f"{column}=") and n < f"{column}={least}")
+    for name in old:
+        system.delete(_file_system(spark, f"{path}/{name}")[0], True)
+    return old
+
+
 def prune_history(spark: SparkSession, path: str, keep: int) -> list[str]:
     """Drop all but the `keep` newest partitions of a history and return their names; 0 keeps all."""
     at, system = _file_system(spark, path)
@@ -46,8 +61,3 @@ def prune_history(spark: SparkSession, path: str, keep: int) -> list[str]:
         at, system = _file_system(spark, f"{path}/{name}")
         system.delete(at, True)
     return old
-
-
-def ranked_times(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values of a column with their age rank, the newest first."""
-    return df.select(column).distinct().withColumn("age", F.dense_rank().over(Window.orderBy(F.desc(column))))

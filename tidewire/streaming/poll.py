@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.snapshot import Snapshot
 from ..sources.dimension import STRUCTURED
-from ..sources.staging import staged
-from ..sources.writers import exists, prune_history, write_history, write_latest
+from ..sources.staging import release, staged
+from ..sources.writers import exists, prune_history, prune_partitions, write_history, write_latest
 
 
 def first_seen(links: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -21,27 +22,56 @@ def first_seen(links: DataFrame, delay: str = "1 day") -> DataFrame:
     return links.withWatermark("ts", delay).withColumn("seen_day", F.to_date("ts")).dropDuplicatesWithinWatermark(["seen_day", "link"])
 
 
-def refresh(watchlist: DataFrame, out: str, keep: int = 30, include_seen: bool = False) -> Callable[[DataFrame, int], None]:
+def refresh(watchlist: DataFrame, out: str, keep: int = 30, include_seen: bool = False, seen_days: int = 2) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: a batch's stories to out/latest and out/history, its claimed links to out/seen.
 
     The day of a link is the day its article was published. Earlier batches claim a link
     first; a batch that runs again replaces what it wrote, its own links don't count as seen.
+
+    Links are kept in a folder for each batch, below its newest day. A batch reads the folders and
+    rows of its own days only; afterwards the folders that end before the newest seen_days days
+    are dropped (0: none), so what is kept does not grow with time.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark, links = batch.sparkSession, None
         rows = batch.withColumn("seen_day", F.to_date("published"))
+        days = rows.agg(F.min("seen_day"), F.max("seen_day")).first()
+        at = f"{out}/seen"
         if not include_seen:
             links = spark.createDataFrame([], "seen_day date, link string")
-            if exists(spark, f"{out}/seen"):
-                links = spark.read.schema("seen_day date, link string, batch long").parquet(f"{out}/seen").where(F.col("batch") < number).drop("batch")
+            if exists(spark, at):
+                of_days = (F.col("until") >= F.lit(days[0])) & F.col("seen_day").between(F.lit(days[0]), F.lit(days[1]))
+                links = spark.read.schema("link string, seen_day date, until date, batch long").parquet(at).where(of_days & (F.col("batch") < number)).select("seen_day", "link")
         job = Snapshot(rows, watchlist, links)
+        job.pairs = staged(job.pairs)  # claimed, then scored
         if not include_seen:
-            claimed = job.pairs.where(F.col("source_group") == STRUCTURED).select("seen_day", "link").distinct()
-            claimed.write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
+            claimed = job.pairs.where((F.col("source_group") == STRUCTURED) & F.col("seen_day").isNotNull()).select("link", "seen_day").distinct()
+            if days[1]:
+                claimed.write.mode("overwrite").parquet(f"{at}/until={days[1]}/batch={number}")
+            if days[1] and seen_days:
+                prune_partitions(spark, at, "until", str(days[1] - timedelta(days=seen_days - 1)))
         ranked = staged(job.ranked)  # a batch without stories leaves an empty latest table and no history
         write_history(ranked, f"{out}/history", f"{number:08d}")
         write_latest(ranked, f"{out}/latest")
         prune_history(spark, f"{out}/history", keep)
+        job.release()
+        release(ranked)
 
     return run
+
+
+def mark_collected(headlines: DataFrame, at: str, day: str) -> DataFrame:
+    """Headlines whose link was not collected before on that day; all of their links then count as collected.
+
+    The state of a collector without a watchlist: every collected link is marked, matched or not.
+    Other days' links are dropped.
+    """
+    spark = headlines.sparkSession
+    known = spark.createDataFrame([], "link string, seen_day date")
+    if exists(spark, at):
+        known = spark.read.schema("link string, seen_day date").parquet(at)
+    fresh = staged(headlines.join(known.where(F.col("seen_day") == F.lit(day).cast("date")).select("link").distinct(), "link", "left_anti").select(*headlines.columns))
+    fresh.select("link", F.lit(day).cast("date").alias("seen_day")).distinct().write.mode("append").partitionBy("seen_day").parquet(at)
+    prune_partitions(spark, at, "seen_day", day)
+    return fresh
