@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -63,12 +64,15 @@ def test_fingerprints(spark, docs):
 
 
 def test_licences(spark, docs):
+    from .test_narrow import licences_by_hand
+
     phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
     for r in queries.op6_license_scan(spark, FOLDER).collect():
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), docs[r["doc_id"]]["text"] or ""))
         at = sorted((k, label) for p, label in phrases.items() for k in range(len(words)) if tuple(words[k : k + len(p)]) == p)
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(at), at[0][0] if at else None, at[-1][0] if at else None)
         assert r["base_labels"] == ",".join(sorted({x for _, x in at}))
+        assert (r["labels"], r["score"]) == licences_by_hand(docs[r["doc_id"]]["text"] or "")
 
 
 def test_held_out_accuracy(spark, docs):
@@ -80,9 +84,32 @@ def test_held_out_accuracy(spark, docs):
 
 
 def test_personal_data(spark, docs):
-    from .test_pii import by_hand
+    from .test_pii import by_hand, graph_by_hand
     from tidewire.llm import pii
 
+    spans = dict(zip(docs, graph_by_hand([r["text"] for r in docs.values()])))
     for r in queries.op2_pii(spark, FOLDER).collect():
+        assert r["spans"] == spans[r["doc_id"]]
         want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in by_hand(docs[r["doc_id"]]["text"]))
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_languages(spark, docs):
+    from .test_narrow import ppm_by_hand
+    from tidewire.llm import language_id
+
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs}
+    known = [(language_id.letters_of(r["text"]), r["lang"]) for i, r in docs.items() if not held[i] and r["lang"] and r["text"]]
+    labels = sorted({k for _, k in known})
+    assert max(sum(k == x for _, x in known) for k in labels) <= language_id.SAMPLE_DOCS  # so all of them are learned from
+    hand = [ppm_by_hand([t for t, x in known if x == k]) for k in labels]
+    seen = 0
+    for r in queries.op7_language_id(spark, FOLDER).collect():
+        line = language_id.letters_of(docs[r["doc_id"]]["text"] or "")
+        assert r["held_out"] == held[r["doc_id"]] and (r["lang_pred"] == "und") == (not line)
+        if line and len(line) < 1500:
+            bits = [h(line) for h in hand]
+            best = min(bits)
+            assert r["lang_pred"] == labels[bits.index(best)] and abs(r["score"] - 1 / sum(2.0 ** max(best - b, -1000) for b in bits)) < 1e-2
+            seen += 1
+    assert seen > 30
