@@ -24,6 +24,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .common import append, others
 
 MARK = "▁"
+#: Texts that tell whether a model normalises, drops spaces or has no byte pieces.
+PROBES = ["a", "a  b ", " lead", "x\ty\nz", "\ufb01 \uff21 e\u0301 \u00bd", "\U0001f9ff\u0378"]
 #: Bytes of words and ids that a worker keeps; beyond it the memory starts anew. A word costs OVERHEAD besides.
 BYTES_KEPT, OVERHEAD = 24_000_000, 120
 NO_PAIR = np.int64(1) << 40
@@ -81,6 +83,9 @@ class PieceModel:
             self.pair_key[at], self.pair_rank[at], self.pair_into[at] = k, rank, into
         loose = "" if any("\n" in p for p in ids) else "\n"  # a character in no piece stands alone
         self.word = re.compile(f"{MARK}+[^{MARK}{loose}]*|[^{MARK}{loose}]+" + ("|\n" if loose else ""))
+        for text in PROBES:
+            if np.frombuffer(b"".join(self.encode_words(self.words(text))), "<u4").tolist() != model.encode(text):
+                raise ValueError(f"{path}: only BPE models that leave texts as they are, mark words in front and fall back to bytes are known")
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (NO_PAIR: none) and its place in the pair table."""
