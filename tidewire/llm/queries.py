@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, hard_negatives, language_id, licenses, line_dedup, lm_scoring, pii, sentencepieces, simhash, suffix_dedup
+from . import decontaminate, exact_topk, hard_negatives, language_id, licenses, line_dedup, lm_scoring, pii, sentencepieces, simhash, small_world, suffix_dedup
 from .common import table
 
 #: A file of the machine, the same on every executor.
@@ -69,6 +69,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small_world.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_exact_topk,
         op10_lm_scoring,
         op11_hard_negatives,
+        op12_small_world,
     )
 }
 
