@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, hard_negatives, language_id, licenses, line_dedup, lm_scoring, pii, sentencepieces, simhash, small_world, suffix_dedup
+from . import decontaminate, dual_tree, exact_topk, hard_negatives, language_id, licenses, line_dedup, lm_scoring, pii, sentencepieces, simhash, small_world, suffix_dedup
 from .common import table
 
 #: A file of the machine, the same on every executor.
@@ -73,6 +73,10 @@ def op12_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small_world.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_lm_scoring,
         op11_hard_negatives,
         op12_small_world,
+        op13_dual_tree,
     )
 }
 
@@ -116,6 +121,15 @@ SELECT d.doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, (coalesce(len(parts
     "op9_exact_topk": """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) t WHERE rank <= 10""",
+    "op13_dual_tree": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS}, []) AS w FROM documents),
+total AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) a GROUP BY r, term),
+df AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, total GROUP BY term),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(w) * docs) // words AS m FROM d, total WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS i, item_id, list_distinct(coalesce({WORDS}, [])) AS w FROM benchmark),
+s AS (SELECT i, item_id, doc_id, m.r AS r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM (SELECT i, item_id, unnest(w) AS term FROM b) q JOIN df USING (term) JOIN tf USING (term) JOIN m ON tf.r = m.r GROUP BY i, item_id, doc_id, m.r)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) t WHERE rank <= 10""",
     "op11_hard_negatives": f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
 s AS (SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 100 = 0),
 p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM s WHERE same) t WHERE place <= 5),
