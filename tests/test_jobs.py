@@ -190,6 +190,9 @@ def test_snapshot_with_failures_and_without_stored_usage(spark, big, tmp_path):
     assert got == dict(want)  # two entries share a ticker, so their rows add up
     head = reports.header("2024-01-01T00:00:00Z", "w.json", 0, 10, False, spark).first()
     assert tuple(head) == ("2024-01-01T00:00:00Z", "w.json", 0, 10, False)
+    assert writers.write_sections(rows, at, reports.header(*head, spark)) == 1
+    assert readers.read_header(spark, at).first() == head and readers.read_sections(spark, at).count() == rows.count()
+    assert key(readers.read_sections(spark, at, 0)) == key(back)
     paths = [t._staged_at for t in run.__dict__.values() if getattr(t, "_staged_at", None)]
     run.release()
     assert len(paths) >= 3

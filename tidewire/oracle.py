@@ -9,7 +9,7 @@ from __future__ import annotations
 from .functions import rules
 from .functions.text import HEADLINE_MAX, HEADLINE_MIN, MENU_LABELS
 from .sources.adapters import FORMS, KEYS, PHRASES, SUBJECTS, TICKERS, WATCHED
-from .sources.dimension import DEFAULT_PRIORITY, RSS, SOURCES, STRUCTURED
+from .sources.dimension import DEFAULT_PRIORITY, FEEDS, RSS, SOURCES, STRUCTURED
 
 
 def _q(x: str) -> str:
@@ -214,8 +214,9 @@ def _needed(names: list[str]) -> list[str]:
     return out
 
 
-def _sql(select: str, *tables: str) -> str:
-    parts = ", ".join(f"{n} AS ({TABLES[n][1]})" for n in _needed(list(tables)))
+def _sql(select: str, *tables: str, **instead: str) -> str:
+    """select over named tables; `instead` has other definitions of some."""
+    parts = ", ".join(f"{n} AS ({instead.get(n, TABLES[n][1])})" for n in _needed(list(tables)))
     return f"WITH {parts} {select}" if parts else select
 
 
@@ -298,11 +299,12 @@ OR (NOT reviewable AND EXISTS (SELECT 1 FROM flagged g WHERE g.reviewable AND g.
         f"SELECT article_id, watch_ord, link FROM (SELECT *, min(CASE WHEN source_group = '{STRUCTURED}' THEN watch_ord END) OVER (PARTITION BY link) AS first_ord FROM pair) t WHERE source_group <> '{STRUCTURED}' OR watch_ord = first_ord", "pair"
     ),
     "write_snapshot": _sql("SELECT watch_ord, ticker, raw_rows, accepted_rows, related_rows, review_rows, rejected_rows, suppressed_rows, story_count, duplicates_merged FROM stats", "stats"),
+    "snapshot_versions": _sql("SELECT watch_ord, ticker, raw_rows, story_count, version::INTEGER AS version FROM stats JOIN (VALUES (0), (1)) v(version) ON version = 1 OR watch_ord <= 2", "stats"),
     "write_history": _sql("SELECT s.*, t.generated_at FROM stats s JOIN (VALUES ('2024-01-01T00-00-00Z'), ('2024-01-01T00-02-00Z')) t(generated_at) ON true", "stats"),
     "history_retention": "SELECT day, n FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, row_number() OVER (ORDER BY strftime(ts, '%Y-%m-%d') DESC) AS age FROM events GROUP BY 1) t WHERE age <= 30",
     "stream_first_seen": "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS seen_day, user_id::VARCHAR AS link FROM events",
-    "source_failures": _sql("SELECT source_key, count(CASE WHEN article_id % 9 <> 0 THEN 1 END) AS rows_read, count(CASE WHEN article_id % 9 = 0 THEN 1 END) AS failed FROM article GROUP BY source_key", "article"),
     "read_snapshot": _sql("SELECT ticker, story_count AS n_stories, related_rows AS n_related_context, review_rows AS n_review_candidates, rejected_rows AS n_rejections FROM stats", "stats"),
+    "read_sections": _sql("SELECT ticker, '2024-01-01T00:00:00Z' AS generated_at, story_count AS n_stories, related_rows AS n_related_context, review_rows AS n_review_candidates, rejected_rows AS n_rejections FROM stats", "stats"),
     "read_rss_articles": _sql(
         f"SELECT article_id, source_key, source_name, title || ' & more' AS title, summary, link, published, title || ' & more' || (CASE WHEN summary <> '' THEN '. ' || summary ELSE '' END) AS text FROM article WHERE source_group = '{RSS}'", "article"
     ),
@@ -344,7 +346,46 @@ ANCHOR = r'(?is)<a href="([^"]*)"[^>]*>(.*?)</a>'
 ANCHORS = f"""SELECT page_id, (n - 1)::INTEGER AS position, href, {_squeezed(_unescaped("inner_"))} AS title FROM (
 SELECT page_id, url, unnest(regexp_extract_all(html, {_q(ANCHOR)}, 1)) AS href, unnest(regexp_extract_all(html, {_q(ANCHOR)}, 2)) AS inner_, unnest(range(1, len(regexp_extract_all(html, {_q(ANCHOR)})) + 1)) AS n FROM pages) p"""
 ORACLES["html_anchors"] = f"SELECT a.page_id, position, {HOST} || href AS link, title, '' AS summary FROM ({ANCHORS}) a JOIN pages ON a.page_id = pages.page_id"
-ORACLES["html_headlines"] = f"SELECT 'finviz' AS source_key, title, link, '' AS summary FROM (SELECT DISTINCT {HOST} || href AS link, title FROM ({ANCHORS}) a JOIN pages ON a.page_id = pages.page_id) t WHERE {_headline('title')}"
+ORACLES["html_headlines"] = _sql(
+    f"""SELECT 'finviz' AS source_key, title, link, summary FROM (
+SELECT *, row_number() OVER (PARTITION BY link ORDER BY page, choice, article_id) AS place FROM (
+SELECT article_id, title, floor(article_id / 100.0)::BIGINT AS page, CASE WHEN article_id % 3 = 0 THEN 0 ELSE 1 END AS choice, title || (CASE WHEN summary <> '' THEN ' ' || summary ELSE '' END) AS around,
+  'https://finviz.com/' || (CASE WHEN article_id % 3 = 0 THEN 'news.ashx?v=' || (article_id % 501)::VARCHAR ELSE 'story/' || (length(summary) * 7 + length(title))::VARCHAR END) AS link,
+  CASE WHEN summary <> '' THEN (title || ' ' || summary)[1:400] ELSE '' END AS summary
+FROM article WHERE article_id % 50 <> 7 AND {_headline('title')}) a) b WHERE place = 1""",
+    "article",
+)
+SEEN_DAY = "CASE article_id % 7 WHEN 2 THEN CAST(published AS DATE) + 1 WHEN 6 THEN DATE '2030-01-01' + (article_id % 2)::INTEGER ELSE CAST(published AS DATE) END"
+ORACLES["published_dates"] = _sql(
+    """SELECT article_id, strftime(CAST(published AS DATE) + (CASE WHEN article_id % 7 = 2 THEN 1 ELSE 0 END), '%Y-%m-%d') || (CASE article_id % 7 WHEN 0 THEN ' 00:00:00' WHEN 1 THEN ' 10:00:00' WHEN 2 THEN ' 03:30:00' WHEN 3 THEN ' 22:59:59' WHEN 4 THEN ' 21:05:00' WHEN 5 THEN ' 00:15:00' END) AS published_at FROM article""",
+    "article",
+)
+FED = "VALUES " + ", ".join(f"({_q(k)}, {_q(url)}, {_q(notes)})" for k, (url, notes) in FEEDS.items())
+ORACLES["feed_metadata"] = _sql(f"SELECT article_id, feed_ticker, replace(url, '{{ticker}}', coalesce(feed_ticker, '')) AS feed_url, notes FROM article JOIN ({FED}) f(source_key, url, notes) USING (source_key) WHERE source_group = '{RSS}'", "article")
+FILED = "SELECT source_key, floor(article_id / 1000.0)::BIGINT AS g, count(*) AS n, {} AS bad FROM article WHERE source_key = '{}' GROUP BY 1, 2"
+ORACLES["source_failures"] = _sql(
+    f"""SELECT source_key, kind, sum(n)::BIGINT AS rows_read, sum(f)::BIGINT AS failed, coalesce(string_agg(bad || ': ' || f::VARCHAR, ', ' ORDER BY bad), '') AS errors FROM (
+SELECT source_key, kind, bad, sum(CASE WHEN bad IS NULL THEN n ELSE 0 END) AS n, count(bad) AS f FROM (
+SELECT source_key, 'xml' AS kind, 1 AS n, CASE WHEN article_id % 9 = 0 THEN 'MalformedXml' END AS bad FROM article WHERE source_group = '{RSS}'
+UNION ALL SELECT source_key, 'grouped', n, bad FROM ({FILED.format("CASE WHEN g % 4 = 1 THEN 'MalformedJson' END", 'globenewswire')}) a
+UNION ALL SELECT source_key, 'paged', n, bad FROM ({FILED.format("CASE WHEN g % 4 = 3 THEN 'MalformedJson' WHEN g % 5 = 2 THEN 'NoPageNumber' END", 'accessnewswire')}) b
+UNION ALL SELECT source_key, 'html', n, bad FROM ({FILED.format("CASE WHEN g % 6 = 4 THEN 'NoAnchors' END", 'finviz')}) c
+) t GROUP BY source_key, kind, bad) u GROUP BY source_key, kind""",
+    "article",
+)
+ORACLES["quarantined"] = _sql(
+    f"""SELECT source_key, 'xml' AS kind, 'MalformedXml' AS error, count(*) AS n, max(length('<item><title>' || title || '</titel></item>')) AS longest FROM article WHERE source_group = '{RSS}' AND article_id % 9 = 0 GROUP BY source_key
+UNION ALL SELECT 'globenewswire', 'grouped', 'MalformedJson', count(DISTINCT floor(article_id / 1000.0)), 40 FROM article WHERE source_key = 'globenewswire' AND floor(article_id / 1000.0)::BIGINT % 4 = 1""",
+    "article",
+)
+PAGED = "page AS (SELECT source_key, floor(article_id / 500.0)::INTEGER AS page, any_value(1) AS one FROM article WHERE source_key IN ('accessnewswire', 'prnewswire') GROUP BY 1, 2)"
+ORACLES["missing_pages"] = _sql("", "article").rstrip() + f""", {PAGED},
+wanted AS (SELECT source_key, unnest(range(0, max(page) + 1))::INTEGER AS page FROM page GROUP BY source_key)
+SELECT w.source_key, w.page, v.landings::INTEGER AS landings FROM wanted w JOIN (VALUES (1), (2)) v(landings) ON true LEFT JOIN page p ON w.source_key = p.source_key AND w.page = p.page AND (p.page % 5 <> 3 OR landings = 2 AND p.page % 10 = 3) WHERE p.page IS NULL"""
+ORACLES["read_late_pages"] = _sql(
+    f"SELECT source_key, title, summary, link, published FROM (SELECT source_key, title || (CASE WHEN article_id < 500 THEN ' (corrected)' ELSE '' END) AS title, summary, link, published FROM article WHERE source_key IN ('accessnewswire', 'prnewswire') AND (floor(article_id / 500.0)::BIGINT % 5 <> 3 OR floor(article_id / 500.0)::BIGINT % 10 = 3)) t WHERE {_headline('title')}",
+    "article",
+)
 ORACLES["usage_from_snapshot"] = _sql(
     """SELECT ticker, CASE bucket WHEN 'raw' THEN 'raw_matches' WHEN 'primary' THEN 'primary_stories' WHEN 'related' THEN 'related_context' WHEN 'review' THEN 'review_candidates' WHEN 'rejected' THEN 'rejections' ELSE 'primary_story_coverage' END AS bucket, source_name, n
 FROM used WHERE bucket <> 'raw' OR ticker <> 'PANW'""",
@@ -353,11 +394,24 @@ FROM used WHERE bucket <> 'raw' OR ticker <> 'PANW'""",
 ORACLES["stream_snapshot"] = _sql(
     f"""SELECT ticker, count(DISTINCT part || ':' || cluster_key) AS n_stories, count(*)::BIGINT AS n_rows FROM (
 SELECT ticker, (article_id % 2)::VARCHAR AS part, CASE WHEN title_key <> '' AND count(*) OVER (PARTITION BY article_id % 2, watch_ord, title_key) > 1 THEN 'title:' || title_key ELSE coalesce(nullif(canonical_link, ''), nullif(title_key, ''), nullif(link, ''), title) END AS cluster_key
-FROM (SELECT *, min(CASE WHEN source_group = '{STRUCTURED}' THEN (article_id % 2) * 1000 + watch_ord END) OVER (PARTITION BY published, link) AS first_claim FROM flagged) c
+FROM (SELECT *, min(CASE WHEN source_group = '{STRUCTURED}' THEN (article_id % 2) * 1000 + watch_ord END) OVER (PARTITION BY {SEEN_DAY}, link) AS first_claim FROM flagged) c
 WHERE accepted AND related IS NULL AND (source_group <> '{STRUCTURED}' OR (article_id % 2) * 1000 + watch_ord = first_claim)) t GROUP BY ticker""",
     "flagged",
 )
 
+ORACLES["usage_from_nested"] = _sql(
+    """SELECT ticker, CASE bucket WHEN 'primary' THEN 'primary_stories' WHEN 'related' THEN 'related_context' WHEN 'review' THEN 'review_candidates' WHEN 'rejected' THEN 'rejections' ELSE 'primary_story_coverage' END AS bucket, source_name, n FROM used WHERE bucket <> 'raw'""",
+    "used",
+)
+ORACLES["stream_first_claim"] = _sql(
+    f"""SELECT article_id, watch_ord, link FROM (SELECT *, min(CASE WHEN source_group = '{STRUCTURED}' THEN part * 1000 + watch_ord END) OVER (PARTITION BY published, link) AS first_claim
+FROM (SELECT *, (CASE WHEN published < '1995-06-01' THEN 0 ELSE 2 END) + article_id % 2 AS part FROM pair) p) c WHERE source_group <> '{STRUCTURED}' OR part * 1000 + watch_ord = first_claim""",
+    "pair",
+)
+# each half as entries of its own, then added up
+HALVED = TABLES["pair"][1].replace("p.watch_ord,", "(p.watch_ord * 2 + a.article_id % 2)::INTEGER AS watch_ord,", 1)
+ORACLES["stream_usage"] = _sql("SELECT (watch_ord // 2)::INTEGER AS watch_ord, ticker, bucket, source_name, sum(n)::BIGINT AS n FROM used GROUP BY 1, 2, 3, 4", "used", pair=HALVED)
+
 LISTED = "array_to_string({}, '|')"
 _counts = ["raw_rows", "accepted_rows", "related_rows", "review_rows", "rejected_rows", "suppressed_rows", "story_count", "duplicates_merged"]
 _stats = " UNION ALL ".join(f"SELECT watch_ord, ticker, 'stats' AS section, {i}::BIGINT AS place, '{c}' AS title, NULL AS link, NULL AS source_key, NULL AS source_name, NULL AS relevance_score, NULL AS event_type, {c}::BIGINT AS n, NULL AS notes FROM stats" for i, c in enumerate(_counts))

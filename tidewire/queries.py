@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import markup, rules, text
+from .functions.dates import published_at
 from .operators import buckets, clusters, matching, profiles, reports, scoring, seen, select, sentiment
 from .plans.snapshot import Snapshot
-from .sources import adapters, readers, writers
+from .sources import adapters, failures, readers, writers
 from .sources.dimension import RSS, STRUCTURED, select_sources
 from .sources.staging import shared_folder
-from .streaming import poll
+from .streaming import claims, poll
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEEP_DAYS = 30
@@ -377,32 +379,109 @@ def html_anchors(spark, sf_dir):
 
 @query
 def html_headlines(spark, sf_dir):
-    return readers.html_headlines(_table(spark, sf_dir, "pages"), "finviz").select("source_key", "title", "link", "summary")
+    """Headlines of list pages made of the articles; each page is a landed file."""
+    at = shared_folder(spark)
+    adapters.pages_of(adapters.articles(spark, sf_dir)).write.parquet(at)
+    return readers.html_headlines(spark.read.parquet(at), "finviz").select("source_key", "title", "link", "summary")
+
+
+@query
+def published_dates(spark, sf_dir):
+    """The moment of every article, from all forms of dates; a blank one has none."""
+    rows = adapters.landed_dates(adapters.articles(spark, sf_dir)).select("article_id", published_at(F.col("published")).alias("at"))
+    return rows.select("article_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
+
+@query
+def feed_metadata(spark, sf_dir):
+    """What the articles of feeds carry of their feed; a feed of one ticker lies in a folder of that ticker."""
+    at = shared_folder(spark)
+    rows = adapters.articles(spark, sf_dir).where((F.col("source_group") == RSS) & (F.col("feed_ticker").isNull() | (F.col("source_key") == "yahoo_finance")))
+    items = rows.select("source_key", F.coalesce("feed_ticker", F.lit("-")).alias("feed_ticker"), "title", "link", F.col("article_id").alias("position"))
+    items.write.format("xml").option("rowTag", "item").option("rootTag", "rss").partitionBy("source_key", "feed_ticker").save(at)
+    read = readers.read_rss_articles(spark, at)
+    return read.select(F.col("position").alias("article_id"), F.nullif("feed_ticker", F.lit("-")).alias("feed_ticker"), F.col("metadata")["feed_url"].alias("feed_url"), F.col("metadata")["notes"].alias("notes"))
+
+
+def _landed_broken(spark: SparkSession, sf_dir: str) -> str:
+    """Feeds, grouped news, page files and HTML pages of the articles, some of each broken, below kind/source_key=..."""
+    at = shared_folder(spark)
+    rows, k = adapters.articles(spark, sf_dir), F.col("article_id")
+    item = F.concat(F.lit("<item><title>"), "title", F.when(k % 9 == 0, "</titel>").otherwise("</title>"), F.lit("</item>"))
+    rows.where(F.col("source_group") == RSS).select("source_key", item.alias("value")).write.partitionBy("source_key").text(f"{at}/xml")
+
+    def files(kind: str, key: str, made: Column) -> None:
+        some = rows.where(F.col("source_key") == key).groupBy("source_key", F.floor(k / 1000).alias("g")).agg(F.array_sort(F.collect_list(F.struct("article_id", "title", "link"))).alias("rows"))
+        some.select("source_key", made.alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("source_key").text(f"{at}/{kind}")
+
+    grouped = F.to_json(F.struct(F.struct(F.array(F.struct(F.transform("rows", lambda r: F.struct(r["title"].alias("headline"), r["link"].alias("storyurl"))).alias("newsitem"))).alias("news")).alias("results")))
+    files("grouped", "globenewswire", F.when(F.col("g") % 4 == 1, F.substring(grouped, 1, 40)).otherwise(grouped))
+    paged = F.to_json(F.struct(F.when(F.col("g") % 5 != 2, F.col("g").cast("int")).alias("pageIndex"), F.struct(F.transform("rows", lambda r: F.struct(r["title"].alias("title"))).alias("articles")).alias("data")))
+    files("paged", "accessnewswire", F.when(F.col("g") % 4 == 3, F.concat(F.lit("<html>"), paged)).otherwise(paged))
+    anchors = F.array_join(F.transform("rows", lambda r: F.concat(F.lit('<a href="'), r["link"], F.lit('">'), r["title"], F.lit("</a>"))), "")
+    files("html", "finviz", F.when(F.col("g") % 6 == 4, F.lit("<html>no news</html>")).otherwise(F.concat(F.lit("<html>"), anchors, F.lit("</html>"))))
+    return at
 
 
 @query
 def source_failures(spark, sf_dir):
+    at = _landed_broken(spark, sf_dir)
+    return failures.counted(failures.feed_units(spark, f"{at}/xml"), failures.grouped_units(spark, f"{at}/grouped"), failures.paged_units(spark, f"{at}/paged"), failures.page_units(spark, f"{at}/html"))
+
+
+@query
+def quarantined(spark, sf_dir):
+    """The failed units, put aside by source and read again."""
+    at, out = _landed_broken(spark, sf_dir), shared_folder(spark)
+    for units in (failures.feed_units(spark, f"{at}/xml"), failures.grouped_units(spark, f"{at}/grouped")):
+        failures.quarantine(units, out)
+    return spark.read.json(out).groupBy("source_key", "kind", "error").agg(F.count(F.lit(1)).alias("n"), F.max(F.length(F.regexp_replace("raw", r"\s+$", ""))).cast("bigint").alias("longest"))
+
+
+def _landed_pages(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Page files of two sources in two landings: one in five pages is missing at first, half of these come late, and page 0 comes again."""
     at = shared_folder(spark)
-    rows = adapters.articles(spark, sf_dir)
-    good = F.to_json(F.struct("article_id", "title"))
-    lines = rows.select("source_key", F.when(F.col("article_id") % 9 == 0, F.concat(F.lit("{broken "), good)).otherwise(good).alias("value"))
-    lines.write.partitionBy("source_key").text(at)
-    return readers.source_failures(spark, at, "article_id long, title string")
+    rows = adapters.articles(spark, sf_dir).where(F.col("source_key").isin("accessnewswire", "prnewswire"))
+    page = F.floor(F.col("article_id") / 500).cast("int").alias("pageIndex")
+    item = F.struct(F.col("article_id").alias("order"), "title", F.col("link").alias("releaseurl"), F.col("published").alias("adate"), F.col("summary").alias("body"))
+    pages = rows.groupBy("source_key", page).agg(F.struct(F.array_sort(F.collect_list(item)).alias("articles")).alias("data"))
+    pages = pages.join(F.broadcast(pages.groupBy("source_key").agg((F.max("pageIndex") + 1).alias("pageCount"))), "source_key")
+    first, late = pages.where("pageIndex % 5 <> 3"), pages.where("pageIndex % 10 = 3 OR pageIndex = 0")
+    again = F.struct(F.transform("data.articles", lambda a: a.withField("title", F.concat(a["title"], F.lit(" (corrected)")))).alias("articles"))
+    for landing, some in ((1, first), (2, late.withColumn("data", F.when(F.col("pageIndex") == 0, again).otherwise(F.col("data"))))):
+        some.write.option("maxRecordsPerFile", 1).partitionBy("source_key").json(f"{at}/landing={landing}")
+    return f"{at}/landing=1", at
+
+
+@query
+def missing_pages(spark, sf_dir):
+    """Pages that are missing after the first landing and after both."""
+    first, both = _landed_pages(spark, sf_dir)
+    gaps = [readers.missing_pages(readers.folded_pages(readers.landed_pages(spark, at))).withColumn("landings", F.lit(n)) for n, at in ((1, first), (2, both))]
+    return gaps[0].union(gaps[1])
+
+
+@query
+def read_late_pages(spark, sf_dir):
+    """Headlines of two landings of pages: of a page that landed twice the later one's."""
+    _, both = _landed_pages(spark, sf_dir)
+    return readers.read_paged_json(spark, both).select("source_key", "title", "summary", "link", "published")
 
 
 def _landed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot written in sections and read back; one entry has no stored usage."""
     at = shared_folder(spark)
     rows = _job(spark, sf_dir).rows
-    writers.write_sections(rows.where("section <> 'source_usage' OR ticker <> 'PANW'"), at)
-    return readers.read_sections(spark, at)
+    head = reports.header("2024-01-01T00:00:00Z", "watchlist.json", 0, 0, True, spark)
+    writers.write_sections(rows.where("section <> 'source_usage' OR ticker <> 'PANW'"), at, head)
+    return readers.read_sections(spark, at).withColumn("generated_at", F.lit(readers.read_header(spark, at).first()["generated_at"]))
 
 
 @query
-def read_snapshot(spark, sf_dir):
+def read_sections(spark, sf_dir):
     rows = _landed_snapshot(spark, sf_dir)
     size = lambda s: F.count_if(F.col("section") == s).alias(f"n_{s}")
-    return rows.groupBy("ticker").agg(*map(size, reports.SECTIONS.values()))
+    return rows.groupBy("ticker", "generated_at").agg(*map(size, reports.SECTIONS.values()))
 
 
 @query
@@ -410,12 +489,50 @@ def usage_from_snapshot(spark, sf_dir):
     return reports.usage_of_sections(_landed_snapshot(spark, sf_dir))
 
 
+def _landed_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots in the nested form, read back: a file for an entry and ten thousand articles, every other one as a list of tickers."""
+    at = shared_folder(spark)
+    job = _job(spark, sf_dir)
+    columns = ["source_key", "source_name", "title", "link", "summary"]
+    none = F.array().cast("array<string>").alias("coverage_sources")
+    story = job.stories.select("ticker", "article_id", F.lit("stories").alias("section"), F.struct(*columns, "coverage_sources").alias("row"))
+    named = F.coalesce(*(F.when(F.col("bucket") == b, s) for b, s in reports.SECTIONS.items()))
+    other = job.routed.where(F.col("bucket").isin("related", "review", "rejected")).select("ticker", "article_id", named.alias("section"), F.struct(*columns, none).alias("row"))
+    of = lambda s: F.collect_list(F.when(F.col("section") == s, F.col("row"))).alias(s)
+    files = story.union(other).groupBy("ticker", F.floor(F.col("article_id") / 10_000).alias("g")).agg(*map(of, reports.SECTIONS.values()))
+    one = F.struct("ticker", *reports.SECTIONS.values())
+    text = F.when(F.col("g") % 2 == 0, F.to_json(one)).otherwise(F.to_json(F.struct(F.array(one).alias("tickers"))))
+    files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(at)
+    return readers.read_snapshot(spark, at)
+
+
+@query
+def read_snapshot(spark, sf_dir):
+    size = lambda s: F.sum(F.coalesce(F.size(s), F.lit(0))).alias(f"n_{s}")
+    return _landed_nested(spark, sf_dir).groupBy("ticker").agg(*map(size, reports.SECTIONS.values()))
+
+
+@query
+def usage_from_nested(spark, sf_dir):
+    """Source usage of nested snapshots, recounted from their rows; what lies in several files is added up."""
+    return reports.usage_of_snapshot(_landed_nested(spark, sf_dir)).groupBy("ticker", "bucket", "source_name").agg(F.sum("n").alias("n"))
+
+
 @query
 def write_snapshot(spark, sf_dir):
     at = shared_folder(spark)
     for _ in range(2):
         writers.write_latest(_job(spark, sf_dir).stats, at)
-    return spark.read.parquet(at)
+    return writers.read_latest(spark, at)
+
+
+@query
+def snapshot_versions(spark, sf_dir):
+    """Both versions of a snapshot that was replaced: the first has the entries up to 2 only."""
+    at = shared_folder(spark)
+    stats = _job(spark, sf_dir).stats.select("watch_ord", "ticker", "raw_rows", "story_count")
+    kept = [writers.write_latest(rows, at) for rows in (stats.where("watch_ord <= 2"), stats)]
+    return reduce(DataFrame.union, (writers.read_latest(spark, at, version=v).withColumn("version", F.lit(v)) for v in kept))
 
 
 @query
@@ -449,16 +566,67 @@ def stream_first_seen(spark, sf_dir):
     return spark.read.schema("seen_day date, link string").parquet(out).select(F.date_format("seen_day", "yyyy-MM-dd").alias("seen_day"), "link")
 
 
+def _landing(spark: SparkSession, rows: DataFrame, parts: list[Column], at: str, start: Callable[[DataFrame], None]) -> None:
+    """Rows that land part by part in a folder; start() is given the stream after each and runs it to its end."""
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(at)
+        start(spark.readStream.schema(rows.schema).parquet(at))
+
+
 @query
 def stream_snapshot(spark, sf_dir):
-    """Stories of a stream of article files that land in two halves, a batch each; links claimed by the first are left out of the second."""
+    """Stories of a stream of article files that land in two halves, a batch each, dated in all forms; links claimed by the first are left out of the second.
+
+    An article without a date has the day of its batch, the first two of 2030. Links of days before the last are dropped.
+    """
     at, out = shared_folder(spark), shared_folder(spark)
-    rows = adapters.articles(spark, sf_dir)
-    job = poll.refresh(adapters.watchlist(spark), out, include_seen=False, seen_days=0)
-    for half in (0, 1):
-        rows.where(F.col("article_id") % 2 == half).write.mode("append").parquet(at)
-        stream = spark.readStream.schema(rows.schema).parquet(at)
-        run = stream.writeStream.foreachBatch(job).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-        run.awaitTermination()
+    rows = adapters.landed_dates(adapters.articles(spark, sf_dir))
+    job = poll.refresh(adapters.watchlist(spark), out, include_seen=False, seen_days=1, today=lambda n: f"2030-01-{n + 1:02d}")
+
+    def start(stream: DataFrame) -> None:
+        stream.writeStream.foreachBatch(job).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+
+    _landing(spark, rows, [F.col("article_id") % 2 == half for half in (0, 1)], at, start)
     history = spark.read.parquet(f"{out}/history")
     return history.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_stories"), F.sum("coverage_count").alias("n_rows"))
+
+
+#: The days in which articles land, in this order, each in two parts.
+PERIODS = ["1992-01-01", "1995-06-01", "1999-01-01"]
+
+
+@query
+def stream_first_claim(spark, sf_dir):
+    """Pairs of articles that land in four parts, each link and day claimed by the first entry of the first part, from the stream's own state.
+
+    Days older than the state's delay lose their claims by timer; the parts are in the order of the days.
+    """
+    at, out = shared_folder(spark), shared_folder(spark)
+    rows = adapters.articles(spark, sf_dir)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        claims.settled(batch).select("article_id", "watch_ord", "link").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    def start(stream: DataFrame) -> None:
+        pairs = claims.claimed_pairs(stream, adapters.watchlist(spark), "1300 days")
+        with claims.rocksdb(spark):
+            pairs.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+
+    parts = [F.col("published").between(a, b) & (F.col("published") < b) & (F.col("article_id") % 2 == half) for a, b in zip(PERIODS, PERIODS[1:]) for half in (0, 1)]
+    _landing(spark, rows, parts, at, start)
+    return spark.read.schema("article_id long, watch_ord int, link string").parquet(out).select("article_id", "watch_ord", "link")
+
+
+@query
+def stream_usage(spark, sf_dir):
+    """Source usage of articles that land in two halves, folded batch by batch in the state of a stream."""
+    at, out = shared_folder(spark), shared_folder(spark)
+    rows = adapters.articles(spark, sf_dir)
+    job = poll.refresh(adapters.watchlist(spark), out, include_seen=True)
+
+    def start(stream: DataFrame) -> None:
+        stream.writeStream.foreachBatch(job).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+        poll.fold_usage(spark, f"{out}/usage", f"{out}/total")
+
+    _landing(spark, rows, [F.col("article_id") % 2 == half for half in (0, 1)], at, start)
+    return writers.read_latest(spark, f"{out}/total/latest").select("watch_ord", "ticker", "bucket", "source_name", "n")

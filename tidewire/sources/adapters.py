@@ -59,6 +59,30 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_source(out, "source_name")
 
 
+#: Forms of dates in which articles land, by the remainder of their number; the third is of the next day in UTC, the last is blank.
+DATE_FORMS = ["yyyy-MM-dd", "EEE, dd MMM yyyy '10:00:00 GMT'", "EEE, d MMM yyyy '22:30 -0500'", "yyyy-MM-dd'T23:59:59.250+01:00'", "MMMM d, yyyy '4:05 PM EST'", "dd MMM yy '00:15:00 UT'", ""]
+
+
+def landed_dates(articles: DataFrame) -> DataFrame:
+    """articles with their dates in the forms that feeds, JSON and pages give."""
+    day, form = F.to_date("published"), F.col("article_id") % len(DATE_FORMS)
+    cases = F.lit("")
+    for i, f in enumerate(DATE_FORMS[:-1]):
+        cases = F.when(form == i, F.date_format(day, f)).otherwise(cases)
+    return articles.withColumn("published", cases)
+
+
+def pages_of(articles: DataFrame, each: int = 100) -> DataFrame:
+    """(page_id, url, html): lists of articles as a news site shows them, an anchor an article with its summary beside it."""
+    plain = F.concat(F.lit("/story/"), (F.length("summary") * 7 + F.length("title")).cast("string"))
+    href = F.when(F.col("article_id") % 3 == 0, F.concat(F.lit("/news.ashx?v="), (F.col("article_id") % 501).cast("string"))).otherwise(plain)
+    row = F.concat(F.lit("<tr><td><a class='t' href='"), href, F.lit("'>"), "title", F.lit("</a>  <i>"), "summary", F.lit("</i></td></tr>\n"))
+    some = articles.where("article_id % 50 <> 7").groupBy(F.floor(F.col("article_id") / each).alias("page_id"))  # at most `each` rows
+    rows = F.array_sort(F.collect_list(F.struct("article_id", row.alias("row"))))
+    html = F.concat(F.lit("<html><head><title>News &amp; more</title></head><body><a href='/'>Home</a><table>"), F.array_join(F.transform(rows, lambda r: r["row"]), ""), F.lit("</table></body></html>"))
+    return some.agg(html.alias("html")).select("page_id", F.lit("https://finviz.com/").alias("url"), "html")
+
+
 def document_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A watchlist of words that documents hold: an entry a part, its keywords the first and the third word of a document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split("text", " ").alias("w"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SOURCE
@@ -26,10 +26,18 @@ SOURCES = [
 ]
 # Selectors of a source's anchors, in the order they are tried: elements around an anchor (innermost last), then what its href holds.
 SELECTORS = {
-    "accessnewswire": [([], "/news-release/"), ([], "/news/"), (["section"], "/news-release/"), (["section"], "/news/"), (["article"], "/news-release/"), (["article"], "/news/"), (["h3"], "")],
+    "accessnewswire": [([], "/news-release/"), ([], "/news/"), (["section"], "/news-release/"), (["section"], "/news/"), (["article"], "/news-release/"), (["article"], "/news/"), (["h3"], ""), (["h2"], "")],
     "mtnewswires": [([], "/news/")],
     "finviz": [([], "news.ashx"), (["table"], ""), ([], "")],
 }
+# The address of a source's feed or listing ({ticker}: of a feed of one ticker) and the note its articles carry.
+FEEDS = {
+    "yahoo_finance": ("https://finance.yahoo.com/rss/headline?s={ticker}", "Ticker-specific Yahoo Finance RSS feed."),
+    "marketwatch_topstories": ("https://feeds.content.dowjones.io/public/rss/mw_topstories", "General MarketWatch feed; keyword filtering matters."),
+    "marketwatch_marketpulse": ("https://feeds.content.dowjones.io/public/rss/mw_marketpulse", "Short market-moving updates from MarketWatch."),
+    "sec_press_releases": ("https://www.sec.gov/news/pressreleases.rss", "Official SEC press release RSS feed."),
+    "prnewswire_all_news": ("https://www.prnewswire.com/rss/news-releases-list.rss", "General PR Newswire feed. If the endpoint changes, confirm the latest raw RSS URL from PR Newswire's RSS directory."),
+}
 #: A source whose links are not held to the wanted ones.
 ANY_LINK = ["finviz"]
 
@@ -40,6 +48,14 @@ def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, SOURCE)
 
 
+def feed_metadata(source_key: Column, feed_ticker: Column) -> Column:
+    """What an article of a feed carries of it: feed_url, the ticker filled in, and notes; null for a source that is no feed."""
+    known = F.create_map(*(x for k, (url, notes) in FEEDS.items() for x in (F.lit(k), F.struct(F.lit(url).alias("url"), F.lit(notes).alias("notes")))))
+    feed = F.try_element_at(known, source_key)
+    url = F.replace(feed["url"], F.lit("{ticker}"), F.coalesce(F.upper(feed_ticker), F.lit("{ticker}")))
+    return F.when(feed.isNotNull(), F.create_map(F.lit("feed_url"), url, F.lit("notes"), feed["notes"]))
+
+
 def with_source(df: DataFrame, *columns: str) -> DataFrame:
     """df with columns of its source; an unknown source has nulls, and the default priority."""
     dim = F.broadcast(sources(df.sparkSession).select("source_key", *columns))

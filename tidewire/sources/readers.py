@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markup, text
+from ..functions.dates import published_at
 from ..operators.select import cap_per_source, first_per_link, wanted_links
 from ..schemas import WATCHLIST
-from .dimension import RSS, SELECTORS, STRUCTURED, with_source
+from .dimension import RSS, SELECTORS, STRUCTURED, feed_metadata, with_source
+from .writers import latest
 
 ITEM = "title string, link string, description string, summary string, pubDate string, published string, updated string, position long"
 GROUPED = "results struct<news: array<struct<newsitem: array<struct<source: string, headline: string, storyurl: string, datetime: string, qmsummary: string>>>>>"
@@ -27,14 +29,24 @@ TICKER = (
 
 
 def _items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of XML feeds below path/source_key=..., with missing fields as ''."""
-    raw = spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
-    raw = raw.withColumn("source_key", F.regexp_extract(F.input_file_name(), "source_key=([^/]+)", 1))
-    return raw.fillna("")
+    """Items of XML feeds below path/source_key=...[/feed_ticker=...], with missing fields as ''.
+
+    An item that is no XML is left out alone (failures.feed_units has it); the parser that reads item by item sees to that.
+    """
+    schema = T.StructType.fromDDL(ITEM).add("__broken", T.StringType())
+    raw = spark.read.format("xml").option("rowTag", "item").option("useLegacyXMLParser", True).option("columnNameOfCorruptRecord", "__broken").schema(schema).load(path)
+    raw = raw.where(F.col("__broken").isNull() & F.coalesce(*(F.col(f.name).cast("string") for f in schema.fields[:-1])).isNotNull()).drop("__broken")
+    raw = raw.withColumn("source_key", of_path("source_key")).fillna("")
+    return raw.withColumn("feed_ticker", F.nullif(of_path("feed_ticker"), F.lit("")))
+
+
+def of_path(name: str) -> Column:
+    """What a row's file has as name=... in its path, '' without it."""
+    return F.regexp_extract(F.input_file_name(), f"{name}=([^/]+)", 1)
 
 
 def read_rss_articles(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
-    """Articles of XML feeds: markup stripped from title and summary, both joined as text. The cap is on items read."""
+    """Articles of XML feeds: markup stripped from title and summary, both joined as text, with published_at and the feed's metadata. The cap is on items read."""
     items = _items(spark, path)
     if cap:
         items = cap_per_source(items, cap, "position")
@@ -49,7 +61,9 @@ def read_rss_articles(spark: SparkSession, path: str, cap: int | None = None) ->
             "link",
             text.first_filled(F.col("published"), F.col("pubDate"), F.col("updated")).alias("published"),
             F.lit("rss").alias("collection_method"),
-        ).withColumn("text", text.article_text(F.col("title"), F.col("summary"))),
+            "feed_ticker",
+            feed_metadata(F.col("source_key"), F.col("feed_ticker")).alias("metadata"),
+        ).withColumns({"text": text.article_text(F.col("title"), F.col("summary")), "published_at": published_at(F.col("published"))}),
         "source_name",
     )
 
@@ -65,7 +79,8 @@ def _headlines(df: DataFrame, method: str, title: Column, link: Column, publishe
         text.filled(published).alias("published"),
         F.lit(method).alias("collection_method"),
     )
-    return with_source(out.where(text.is_headline(F.col("title"))), "source_name")
+    out = out.where(text.is_headline(F.col("title"))).withColumn("published_at", published_at(F.col("published")))
+    return with_source(out, "source_name")
 
 
 def read_feed_headlines(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
@@ -95,11 +110,43 @@ def vendor_filter(df: DataFrame, column: str, vendor: str) -> DataFrame:
     return df.where(F.contains(F.lower(text.filled(F.col(column))), F.lit(vendor.lower())))
 
 
-def read_paged_json(spark: SparkSession, path: str, source_key: str, cap: int | None = None) -> DataFrame:
-    """Headlines of all page files (data.articles[]), in the order of the pages; the cap is on what is kept."""
+def landed_pages(spark: SparkSession, path: str, source_key: str | None = None) -> DataFrame:
+    """(source_key, page, page_count, landing, articles): page files of a paged list, as they landed.
+
+    The source is given or stands in the path (source_key=...), as does the landing (landing=...,
+    a number; 0 without it). Files that are no JSON or have no page number give no row (see failures).
+    """
     pages = spark.read.schema(PAGED).option("multiLine", True).json(path)
-    items = pages.select("pageIndex", F.posexplode("data.articles").alias("i", "item"))
-    items = items.select(F.struct("pageIndex", "i").alias("position"), F.lit(source_key).alias("source_key"), "item.*")
+    source = of_path("source_key") if source_key is None else F.lit(source_key)
+    landing = F.coalesce(of_path("landing").try_cast("int"), F.lit(0))
+    out = pages.select(source.alias("source_key"), F.col("pageIndex").alias("page"), F.coalesce("pageCount", F.lit(1)).alias("page_count"), landing.alias("landing"), "data.articles")
+    return out.where("page IS NOT NULL")
+
+
+def folded_pages(pages: DataFrame) -> DataFrame:
+    """Each page once, as it landed last; so a page that comes late or again takes its place in the list."""
+    newest = F.max_by(F.struct("page_count", "landing", "articles"), F.struct("landing", F.size("articles")))
+    return pages.groupBy("source_key", "page").agg(newest.alias("newest")).select("source_key", "page", "newest.*")
+
+
+#: Page numbers that are made at a time.
+PAGE_BLOCK = 10_000
+
+
+def missing_pages(pages: DataFrame) -> DataFrame:
+    """(source_key, page): pages 0 to the largest page_count of a source that did not land."""
+    counts = pages.groupBy("source_key").agg(F.max("page_count").alias("pages")).where("pages > 0")
+    blocks = counts.select("source_key", "pages", F.explode(F.sequence(F.lit(0), F.floor((F.col("pages") - 1) / PAGE_BLOCK).cast("int"))).alias("block"))
+    last = F.least(F.col("pages"), (F.col("block") + 1) * PAGE_BLOCK) - 1
+    wanted = blocks.select("source_key", F.explode(F.sequence(F.col("block") * PAGE_BLOCK, last)).alias("page"))
+    return wanted.join(pages.select("source_key", "page").distinct(), ["source_key", "page"], "left_anti")
+
+
+def read_paged_json(spark: SparkSession, path: str, source_key: str | None = None, cap: int | None = None) -> DataFrame:
+    """Headlines of all page files (data.articles[]), in the order of the pages, of each page the last landing; the cap is on what is kept."""
+    pages = folded_pages(landed_pages(spark, path, source_key))
+    items = pages.select("source_key", "page", F.posexplode("articles").alias("i", "item"))
+    items = items.select(F.struct("page", "i").alias("position"), "source_key", "item.*")
     out = _headlines(items, "json", F.col("title"), F.col("releaseurl"), F.col("adate"), F.col("body"))
     return cap_per_source(out, cap, "position") if cap else out
 
@@ -110,16 +157,24 @@ def html_headlines(pages: DataFrame, source_key: str, id_col: str = "page_id", h
     found = found.withColumns({"source_key": F.lit(source_key), "position": F.struct("page", "choice", "position")})
     found = found.where(text.is_headline(F.col("title")))
     found = first_per_link(wanted_links(found), "position")
-    out = with_source(found.withColumns({"published": F.lit(""), "collection_method": F.lit("html"), "source_group": F.lit(STRUCTURED)}), "source_name").drop("page", "choice")
+    out = with_source(found.withColumns({"published": F.lit(""), "published_at": F.lit(None).cast("timestamp"), "collection_method": F.lit("html"), "source_group": F.lit(STRUCTURED)}), "source_name").drop("page", "choice")
     return cap_per_source(out, cap, "position") if cap else out
 
 
 SECTION = "watch_ord int, place bigint, title string, link string, source_key string, source_name string, relevance_score double, event_type string, n bigint, notes array<string>, ticker string, section string"
 
 
-def read_sections(spark: SparkSession, path: str) -> DataFrame:
-    """A snapshot as write_sections() wrote it, one row a line."""
-    return spark.read.schema(SECTION).json(path)
+HEADER = "generated_at string, watchlist_file string, rss_limit int, structured_limit int, include_seen boolean"
+
+
+def read_sections(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The latest snapshot that write_sections() wrote, or the one of a version, one row a line."""
+    return spark.read.schema(SECTION).json(f"{latest(spark, path, version)}/rows")
+
+
+def read_header(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The header stored with a snapshot."""
+    return spark.read.schema(HEADER).json(f"{latest(spark, path, version)}/header")
 
 
 def watchlist_entries(raw: DataFrame) -> DataFrame:
@@ -149,14 +204,3 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 def _nested(ddl: str) -> str:
     return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(ddl).fields)
-
-
-def source_failures(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """(source_key, rows_read, failed) of JSON lines below path/source_key=...: what can't be read doesn't hold up the rest.
-
-    rows_read counts rows with the first field of `ddl`.
-    """
-    schema = T.StructType.fromDDL(ddl).add("broken", T.StringType())
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
-    raw = raw.withColumn("source_key", F.regexp_extract(F.input_file_name(), "source_key=([^/]+)", 1))
-    return raw.groupBy("source_key").agg(F.count(schema.names[0]).alias("rows_read"), F.count("broken").alias("failed"))

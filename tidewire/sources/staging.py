@@ -9,15 +9,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares (spark.checkpoint.dir).
+def own_root(spark: SparkSession) -> str:
+    """This application's folder below the one that the cluster shares (spark.checkpoint.dir).
 
-    A local one only where none is named and all runs on one machine; on a cluster that is an error.
+    A local one only where none is named and all runs on one machine; on a cluster that is an
+    error, as it is where the session doesn't say what it runs on.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "") or ""):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root or 'file://' + tempfile.mkdtemp(prefix='tidewire-')}/tidewire-{uuid.uuid4().hex}"
+    if not root:
+        root = spark.conf.get("spark.tidewire.ownFolder", None) or "file://" + tempfile.mkdtemp(prefix="tidewire-")
+        spark.conf.set("spark.tidewire.ownFolder", root)
+    return f"{root}/tidewire/{spark.conf.get('spark.app.id', 'local')}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a new folder there."""
+    return f"{own_root(spark)}/news/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the news jobs of this application have written there; call it when their results are stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{own_root(spark)}/news")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def staged(df: DataFrame) -> DataFrame:
