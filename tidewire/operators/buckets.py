@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.staging import staged
 
+#: Keys up to which those that make others give way are broadcast (some 40 bytes each).
+BROADCAST_KEYS = 500_000
 KEY = ["watch_ord", "canonical_link", "title_key", "title"]
 TITLE, SUMMARY, REVIEW = "title_pattern", "summary_only_identity_match", "borderline_but_relevant"
 
@@ -26,12 +29,15 @@ def routed(scored: DataFrame) -> DataFrame:
     A row that is not accepted gives way to related rows with its key (link, title key and
     title of the entry), then to rows under review; it becomes `suppressed` if it is neither
     itself. The keys that make others give way are summed to one row each before they meet
-    the pairs, so a release that thousands of sites carry is never one task's group.
+    the pairs, so a release that thousands of sites carry is never one task's group. Keys meet by
+    128 bits of theirs; up to BROADCAST_KEYS of them pairs don't move.
     """
-    marked = flagged(scored)
+    hashes = {"__h1": F.xxhash64(*KEY), "__h2": F.xxhash64(F.lit(1), *KEY)}
+    marked = flagged(scored).withColumns(hashes)
     related = F.col("__related").isNotNull()
-    strong = marked.where(related | F.col("__review")).groupBy(*KEY).agg(F.max(related).alias("__has_related"), F.max("__review").alias("__has_review"))
-    out = marked.join(strong, KEY, "left")
+    strong = staged(marked.where(related | F.col("__review")).groupBy(*hashes).agg(F.max(related).alias("__has_related"), F.max("__review").alias("__has_review")))
+    few = strong.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    out = marked.join(F.broadcast(strong) if few else strong, list(hashes), "left").drop(*hashes)
     none = lambda c: ~F.coalesce(c, F.lit(False))
     free = none(F.col("__has_related"))
     bucket = (

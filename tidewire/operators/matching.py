@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import compact, edged, filled
 from ..sources.dimension import RSS
+from ..sources.staging import staged
 
 #: Watchlist entries up to which every article is tested against the whole watchlist in its row.
 BROADCAST_ENTRIES = 50
-#: Characters of keywords that one pass of the automaton holds (some 100 bytes each in a worker).
-PASS_CHARS = 2_000_000
+#: Keywords up to which a larger watchlist's index is broadcast (some 100 bytes each).
+BROADCAST_KEYWORDS = 500_000
+#: Characters of a gram; one in so many articles is read for the frequency of grams, of which so many are told apart.
+GRAM, SAMPLE, MOST_GRAMS = 4, 16, 20_000
 
 
 def haystack(rss: Column) -> Column:
@@ -38,14 +35,15 @@ def route(articles: DataFrame, watchlist: DataFrame) -> DataFrame:
     return articles.select("article_id", "feed_ticker").join(mine, allowed).select("article_id", "watch_ord")
 
 
-def candidate_pairs(articles: DataFrame, needles: DataFrame, entries: int = BROADCAST_ENTRIES, pass_chars: int = PASS_CHARS) -> DataFrame:
+def candidate_pairs(articles: DataFrame, needles: DataFrame, entries: int = BROADCAST_ENTRIES, keywords: int = BROADCAST_KEYWORDS) -> DataFrame:
     """Articles with the columns of each entry of `needles` that a keyword of theirs hits.
 
     A keyword hits where its compact form is part of the article's compact form, across
     words too. A watchlist of at most `entries` entries is broadcast and every article is
-    tested against it in one pass. Of a larger one the keywords go to tasks as an automaton
-    that finds all of them in one reading of a text; a watchlist with more than `pass_chars`
-    characters of keywords is cut to several, read one after the other. Articles never move.
+    tested against it in one pass. A larger one is indexed (see `gram_index`): an article looks its
+    grams up and tests the keywords found there literally. The index is broadcast up to
+    `keywords` keywords, so articles don't move; beyond, grams and index meet by hash, and what
+    they have in common is tested after a join by article_id, which is unique.
     """
     small = needles.limit(entries + 1).count() <= entries
     hay = articles.withColumn("__hay", haystack(F.col("source_group") == RSS))
@@ -53,35 +51,46 @@ def candidate_pairs(articles: DataFrame, needles: DataFrame, entries: int = BROA
     if small:
         hit = F.exists("short_keywords", lambda k: F.contains(F.col("__hay"), k))
         return hay.join(F.broadcast(needles), allowed & hit).drop("__hay")
-    size = F.aggregate("short_keywords", F.lit(0), lambda n, k: n + F.length(k) + 1)
-    passes = max(1, -(-int(needles.agg(F.sum(size)).first()[0] or 0) // pass_chars))
-    found = []
-    for p in range(passes):
-        some = needles.where(F.pmod(F.xxhash64("watch_ord"), F.lit(passes)) == p)
-        hits = hay.withColumn("watch_ord", F.explode(_finder(some)(F.col("__hay")))).drop("__hay")
-        found.append(hits.join(F.broadcast(some), "watch_ord").where(allowed))
-    return reduce(DataFrame.union, found).select(*articles.columns, *needles.columns)
-
-
-def _finder(needles: DataFrame) -> Callable[[Column], Column]:
-    """A function from compact texts to the entries whose keywords they hold."""
-    owners: dict[str, list[int]] = {}
-    for order, keywords in needles.select("watch_ord", "short_keywords").toLocalIterator():
-        for k in keywords:
-            owners.setdefault(k, []).append(order)
-    shared = needles.sparkSession.sparkContext.broadcast(owners)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for k, orders in shared.value.items():
-            automaton.add_word(k, orders)
-        automaton.make_automaton()
-        empty = not shared.value
-        for texts in parts:
-            yield pd.Series([[] if empty else sorted({o for _, orders in automaton.iter(t) for o in orders}) for t in texts])
-
-    return find
+    index = staged(gram_index(needles, _frequent_grams(hay)))
+    few = index.limit(keywords + 1).count() <= keywords
+    grams = F.explode(_grams(F.col("__hay"), sorted(r[0] for r in index.select(F.length("__gram")).distinct().collect()))).alias("__gram")
+    # of the keywords of an entry that hit only the first counts, so no pair comes twice
+    hit = F.contains(F.col("__hay"), F.col("__keyword")) & ~F.exists("__before", lambda k: F.contains(F.col("__hay"), k))
+    if few:
+        found = hay.select("*", grams).join(F.broadcast(index), "__gram").where(hit)
+    else:
+        met = hay.select("article_id", grams).join(index, "__gram").drop("__gram")
+        found = hay.join(met, "article_id").where(hit)
+    found = found.drop("__hay", "__gram", "__keyword", "__before")
+    return found.join(F.broadcast(needles) if few else needles, "watch_ord").where(allowed).select(*articles.columns, *needles.columns)
+
+
+def _grams(c: Column, sizes: list[int]) -> Column:
+    """The distinct grams of these sizes of a compact text."""
+    of = [F.regexp_extract_all(c, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]  # overlapping, in one pass of the text each
+    return F.array_distinct(F.concat(*of)) if of else F.array().cast("array<string>")
+
+
+def _frequent_grams(hay: DataFrame) -> DataFrame:
+    """(gram, n): grams of GRAM characters and how many of one in SAMPLE articles have them, the most frequent MOST_GRAMS."""
+    some = hay.where(F.pmod(F.xxhash64("article_id"), F.lit(SAMPLE)) == 0).select(F.explode(_grams(F.col("__hay"), [GRAM])).alias("gram"))
+    return some.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(MOST_GRAMS)
+
+
+def gram_index(needles: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(gram, watch_ord, keyword, before): every keyword under the rarest of its grams, with the entry's keywords before it.
+
+    A text that holds a keyword holds all of its grams, so any one may stand for it; the rarest by
+    a sample of the articles is looked up the least. A keyword shorter than GRAM is its own gram.
+    """
+    listed = needles.select("watch_ord", "short_keywords", F.posexplode("short_keywords").alias("at", "__keyword"))
+    listed = listed.select("watch_ord", "at", "__keyword", F.slice("short_keywords", 1, F.col("at")).alias("__before")).where("__keyword <> ''")
+    size = F.least(F.length("__keyword"), F.lit(GRAM))
+    own = F.transform(F.sequence(F.lit(1), F.length("__keyword") - size + 1), lambda i: F.substring("__keyword", i, size))
+    known = F.broadcast(frequent.withColumnsRenamed({"gram": "__gram", "n": "__n"}))
+    rated = listed.withColumn("__gram", F.explode(F.array_distinct(own))).join(known, "__gram", "left")
+    rarest = F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram"))
+    return rated.groupBy("watch_ord", "at").agg(rarest["__gram"].alias("__gram"), F.first("__keyword").alias("__keyword"), F.first("__before").alias("__before")).drop("at")
 
 
 def filter_by_text(articles: DataFrame, keywords: list[str], text_col: str = "text") -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -61,13 +62,43 @@ def fit_model(labelled: DataFrame, text_col: str = "text", label_col: str = "lab
     return Pipeline(stages=steps).fit(few)
 
 
-def scored_by(model: PipelineModel, articles: DataFrame, id_col: str = "article_id", text_col: str = "text") -> DataFrame:
+def scored_by(model: PipelineModel, articles: DataFrame, id_col: str = "article_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(id, label, score): the likeliest label of a fitted model and its probability. Nothing runs in Python."""
     labels = next(s for s in model.stages if isinstance(s, StringIndexerModel)).labels
     steps = PipelineModel([s for s in model.stages if not isinstance(s, StringIndexerModel)])
-    out = steps.transform(articles.select(id_col, filled(F.col(text_col)).alias("__text")))
+    out = steps.transform(articles.select(id_col, filled(F.col(text_col)).alias("__text"), *keep))
     share = vector_to_array(F.col("__share"))
-    return out.select(id_col, F.get(F.array(*map(F.lit, labels)), F.col("__best").cast("int")).alias("label"), F.array_max(share).alias("score"))
+    return out.select(id_col, *keep, F.get(F.array(*map(F.lit, labels)), F.col("__best").cast("int")).alias("label"), F.array_max(share).alias("score"))
+
+
+#: Of the remainders of crc32(id) mod 8, those a model is fitted on and those its probabilities are set by; the others are held out.
+FITTED, SET_BY = (0, 1, 2, 3), (4, 5)
+
+
+def split_of(id_col: Column) -> Column:
+    """'fit', 'calibrate' or 'held_out', by a hash of the id."""
+    r = F.crc32(id_col.cast("string").cast("binary")) % 8
+    return F.when(r.isin(*FITTED), "fit").when(r.isin(*SET_BY), "calibrate").otherwise("held_out")
+
+
+def fit_calibrated(labelled: DataFrame, id_col: str, text_col: str = "text", label_col: str = "label", features: int = 1 << 16) -> tuple[PipelineModel, IsotonicRegressionModel]:
+    """A classifier of the rows that split_of names 'fit' and what sets its probabilities, by those named 'calibrate'.
+
+    A logistic regression on few rows is too sure of itself; the second model is the monotone
+    curve from its probability of the likeliest label to how often that label is right.
+    """
+    parts = labelled.withColumn("__split", split_of(F.col(id_col)))
+    model = fit_model(parts.where("__split = 'fit'"), text_col, label_col, features)
+    some = parts.where("__split = 'calibrate'").select(id_col, text_col, F.col(label_col).alias("__true")).where("__true IS NOT NULL")
+    told = scored_by(model, some, id_col, text_col, keep=["__true"])
+    curve = IsotonicRegression(featuresCol="score", labelCol="right", predictionCol="calibrated")
+    return model, curve.fit(told.withColumn("right", (F.col("label") == F.col("__true")).cast("double")))
+
+
+def scored_calibrated(models: tuple[PipelineModel, IsotonicRegressionModel], articles: DataFrame, id_col: str = "article_id", text_col: str = "text") -> DataFrame:
+    """(id, label, score, split): the likeliest label and how likely it is right. Nothing runs in Python."""
+    out = models[1].transform(scored_by(models[0], articles, id_col, text_col))
+    return out.select(id_col, "label", F.col("calibrated").alias("score"), split_of(F.col(id_col)).alias("split"))
 
 
 def overall(rows: DataFrame, *keys: str) -> DataFrame:

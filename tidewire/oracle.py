@@ -287,6 +287,10 @@ OR (NOT reviewable AND EXISTS (SELECT 1 FROM flagged g WHERE g.reviewable AND g.
     "cluster_keys": _sql("SELECT article_id, watch_ord, cluster_key FROM keyed", "keyed"),
     "story_clusters": _sql(f"SELECT {STORY} FROM story", "story"),
     "top_stories": _sql(f"SELECT {STORY}, story_rank FROM ranked", "ranked"),
+    "story_members": _sql("SELECT watch_ord, ticker, cluster_key, article_id, source_key, source_name, canonical_link, title, place = 1 AS is_best FROM placed", "placed"),
+    "story_coverage": _sql(
+        "SELECT watch_ord, ticker, cluster_key, count(*) AS n_rows, count(DISTINCT source_name) AS n_sources, count(DISTINCT nullif(canonical_link, '')) AS n_links, count(DISTINCT title) AS n_titles FROM keyed GROUP BY watch_ord, ticker, cluster_key", "keyed"
+    ),
     "ticker_stats": _sql("SELECT watch_ord, ticker, raw_rows, accepted_rows, related_rows, review_rows, rejected_rows, suppressed_rows, story_count, duplicates_merged FROM stats", "stats"),
     "watchlist_summary": _sql("SELECT watch_ord, ticker, story_count, related_rows, review_rows, rejected_rows FROM stats", "stats"),
     "source_usage": _sql("SELECT watch_ord, ticker, bucket, source_name, n FROM used", "used"),

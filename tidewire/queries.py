@@ -261,6 +261,20 @@ def story_clusters(spark, sf_dir):
     return _flat(_job(spark, sf_dir).stories)
 
 
+@query
+def story_members(spark, sf_dir):
+    """All rows of all stories."""
+    job = _job(spark, sf_dir)
+    return clusters.members(job.primary, job.stories)
+
+
+@query
+def story_coverage(spark, sf_dir):
+    """How many rows, sources, links and titles a story has, from its members."""
+    job = _job(spark, sf_dir)
+    return clusters.member_counts(clusters.members(job.primary, job.stories))
+
+
 @query
 def top_stories(spark, sf_dir):
     """The flagship: all stories of all entries, ranked."""
@@ -329,6 +343,15 @@ def overall_sentiment(spark, sf_dir):
     return out.select("watch_ord", "ticker", "n_scored", text.rounded(F.col("mean_score")).alias("mean_score"), "overall")
 
 
+@query
+def fitted_quality(spark, sf_dir):
+    """A classifier fitted on the labelled documents of one split, applied to all documents, with probabilities set by a second split."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"))
+    models = sentiment.fit_calibrated(docs.join(known, "doc_id"), "doc_id")
+    return sentiment.scored_calibrated(models, docs, "doc_id")
+
+
 # Files: written from the tables to a shared folder, then read --------------------------------
 
 
