@@ -212,6 +212,59 @@ def test_partitions_do_not_matter(spark, big):
     assert key(again.ranked) == key(big.ranked)
 
 
+def test_ranks_by_parts_of_the_order(spark, big):
+    stories = big.stories
+    want = {(r["watch_ord"], r["article_id"]): r["story_rank"] for r in big.ranked.collect()}
+    for part in (1, 7, 10_000):
+        got = {(r["watch_ord"], r["article_id"]): r["story_rank"] for r in clusters.ranked(stories.repartition(3), part=part).collect()}
+        assert got == want
+    assert max(want.values()) > 7
+    ties = spark.createDataFrame([(w, 1.5, 2, i) for w in (0, 1) for i in range(50)] + [(0, 2.5, 1, 99)], "watch_ord int, signal_strength double, coverage_count long, first_ord long")
+    got = {(r["watch_ord"], r["first_ord"]): r["story_rank"] for r in clusters.ranked(ties, part=8).collect()}
+    assert got == {**{(1, i): i + 1 for i in range(50)}, **{(0, i): i + 2 for i in range(50)}, (0, 99): 1}
+    assert clusters.ranked(ties.limit(0)).count() == 0
+
+
+def test_members_of_stories(big):
+    rows = clusters.members(big.primary, big.stories)
+    found = {}
+    for r in rows.collect():
+        found.setdefault((r["watch_ord"], r["cluster_key"]), []).append(r)
+    counts = {(r["watch_ord"], r["cluster_key"]): r for r in clusters.member_counts(rows).collect()}
+    stories = {(r["watch_ord"], r["cluster_key"]): r for r in big.stories.collect()}
+    assert set(found) == set(stories) == set(counts)
+    for k, r in stories.items():
+        mine = found[k]
+        assert [m["article_id"] for m in mine if m["is_best"]] == [r["article_id"]] and len(mine) == r["coverage_count"] == counts[k]["n_rows"]
+        assert (counts[k]["n_sources"], counts[k]["n_links"], counts[k]["n_titles"]) == (len(r["coverage_sources"]), len(r["duplicate_links"]), len(r["merged_titles"]))
+        assert sorted({m["title"] for m in mine}) == r["merged_titles"]
+
+
+def test_suppression_whatever_way_the_keys_meet(big, monkeypatch):
+    key = lambda df: sorted(map(str, df.select("article_id", "watch_ord", "bucket", "bucket_reason").collect()))
+    want = key(big.routed)
+    monkeypatch.setattr(buckets, "BROADCAST_KEYS", 0)
+    assert key(buckets.routed(big.scored)) == want
+
+
+@pytest.mark.parametrize("keywords", [500_000, 0])
+def test_large_watchlists_by_their_rarest_grams(spark, keywords):
+    random.seed(11)
+    word = lambda: "".join(random.choices("abc1é", k=random.randint(1, 7)))
+    rows = [article(i, " ".join(word() for _ in range(random.randint(0, 12))), word() + "-" + word(), random.choice(["prnewswire", "yahoo_finance"])) for i in range(120)]
+    rows += [article(500, "abcabcabcabc " * 40), article(501, ""), article(502, "ab")]
+    articles = spark.createDataFrame(rows, ARTICLE).withColumn("feed_ticker", F.when(F.col("article_id") % 7 == 0, "T3"))
+    watch = [(o, f"T{o}", word(), [word() for _ in range(random.randint(0, 4))] + (["a", "abca", "abcabc"] if o % 5 == 0 else [])) for o in range(60)]
+    needles = profiles.needles(profiles.profiles(spark.createDataFrame(watch, WATCHLIST)))
+    pairs = lambda df: Counter((r["article_id"], r["watch_ord"]) for r in df.collect())
+    want = pairs(matching.candidate_pairs(articles, needles, entries=100))  # entry by entry
+    assert len(want) > 1000 and max(want.values()) == 1
+    made = matching.candidate_pairs(articles, needles, entries=0, keywords=keywords)
+    assert pairs(made) == want and made.columns == [*articles.columns, *needles.columns]
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    assert matching.candidate_pairs(articles, needles.limit(0), entries=0, keywords=keywords).count() == 0
+
+
 def test_seen_links(spark):
     rows = [article(0, "Apple a", link="l1"), article(1, "iphone nvidia", link="l2"), article(2, "apple b", "", "yahoo_finance", "l1"), article(3, "Nvidia", link="")]
     links = spark.createDataFrame([("2024-01-01", "l1"), ("2023-12-31", "l2")], "d string, link string").select(F.to_date("d").alias("seen_day"), "link")
@@ -259,6 +312,24 @@ def test_a_fitted_sentiment_model(spark):
     assert sentiment.scored_by(model, spark.createDataFrame([(1, None)], "article_id long, text string")).count() == 1
 
 
+def test_the_fitted_query_on_held_out_documents(spark):
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    from tidewire import queries
+
+    known = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
+    rows = queries.fitted_quality(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 1000 and {r["split"] for r in rows} == {"fit", "calibrate", "held_out"}
+    assert all((r["split"] == "held_out") == (zlib.crc32(str(r["doc_id"]).encode()) % 8 > 5) for r in rows)
+    held = [(r["label"] == "positive", known[r["doc_id"]] == 1, r["score"]) for r in rows if r["split"] == "held_out" and r["doc_id"] in known]
+    right = [a == b for a, b, _ in held]
+    print("HELD OUT", len(held), sum(right) / len(held), sum(b for _, b, _ in held) / len(held), sum(s for *_, s in held) / len(held))
+    assert len(held) > 80 and sum(right) / len(held) >= 0.93  # always 'positive' is right for 0.87
+    assert abs(sum(s for *_, s in held) / len(held) - sum(right) / len(held)) < 0.06  # the probability is how often it is right
+
+
 def test_fixed_values():
     assert rules.GENERIC_TERMS[:3] == ["ai", "gpu", "chip"] and len(rules.GENERIC_TERMS) == 12
     assert rules.LEGAL_FORMS == ["inc", "inc.", "corp", "corp.", "corporation", "co", "co.", "company", "group", "holdings", "ltd", "ltd.", "plc"]

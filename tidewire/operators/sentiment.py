@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
@@ -51,14 +51,21 @@ def scored(articles: DataFrame, load: Callable[[], Scorer] = lexicon, id_col: st
     return articles.select(id_col, text_col).mapInPandas(run, f"{id_col} long, label string, score double")
 
 
-def fit_model(labelled: DataFrame, text_col: str = "text", label_col: str = "label", features: int = 1 << 16) -> PipelineModel:
-    """A text classifier of labelled rows: logistic regression on hashed words and word pairs, trained by Spark."""
+#: Words and runs of symbols of a text, and its shape: the share of symbols and of distinct words, and the mean length of words.
+SHAPE = r"""SELECT *, array_size(filter(__words, w -> w RLIKE '^[^\\p{L}\\p{N}]')) / greatest(1, array_size(__words)) AS __symbols,
+  array_size(array_distinct(__words)) / greatest(1, array_size(__words)) AS __distinct, length(__text) / greatest(1, array_size(__words)) AS __length
+FROM (SELECT *, regexp_extract_all(lower(__text), r"[\p{L}\p{N}']+|[^\p{L}\p{N}\s']+", 0) AS __words FROM __THIS__)"""
+
+
+def fit_model(labelled: DataFrame, text_col: str = "text", label_col: str = "label", features: int = 1 << 14, least: int = 10) -> PipelineModel:
+    """A text classifier of labelled rows, trained by Spark: logistic regression on hashed words and word pairs that `least` texts have, of one length a text, and on the text's shape."""
     few = labelled.select(filled(F.col(text_col)).alias("__text"), F.col(label_col).alias("__label")).where("__label IS NOT NULL")
-    words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"[^\p{L}\p{N}']+", toLowercase=True)
-    pairs = NGram(n=2, inputCol="__words", outputCol="__pairs")
-    steps = [words, pairs, HashingTF(inputCol="__words", outputCol="__w", numFeatures=features), HashingTF(inputCol="__pairs", outputCol="__p", numFeatures=features)]
-    steps += [VectorAssembler(inputCols=["__w", "__p"], outputCol="__features"), StringIndexer(inputCol="__label", outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="skip")]
-    steps.append(LogisticRegression(featuresCol="__features", labelCol="__index", predictionCol="__best", probabilityCol="__share", rawPredictionCol="__raw", regParam=1e-4, maxIter=25))
+    steps = [SQLTransformer(statement=SHAPE), NGram(n=2, inputCol="__words", outputCol="__pairs")]
+    for words, n in (("__words", "__w"), ("__pairs", "__p")):
+        steps += [HashingTF(inputCol=words, outputCol=f"{n}n", numFeatures=features), IDF(inputCol=f"{n}n", outputCol=f"{n}i", minDocFreq=least), Normalizer(inputCol=f"{n}i", outputCol=n)]
+    steps += [VectorAssembler(inputCols=["__symbols", "__distinct", "__length"], outputCol="__shape"), StandardScaler(inputCol="__shape", outputCol="__s", withMean=True)]
+    steps += [VectorAssembler(inputCols=["__w", "__p", "__s"], outputCol="__features"), StringIndexer(inputCol="__label", outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="skip")]
+    steps.append(LogisticRegression(featuresCol="__features", labelCol="__index", predictionCol="__best", probabilityCol="__share", rawPredictionCol="__raw", regParam=1e-3, maxIter=25))
     return Pipeline(stages=steps).fit(few)
 
 
@@ -81,7 +88,7 @@ def split_of(id_col: Column) -> Column:
     return F.when(r.isin(*FITTED), "fit").when(r.isin(*SET_BY), "calibrate").otherwise("held_out")
 
 
-def fit_calibrated(labelled: DataFrame, id_col: str, text_col: str = "text", label_col: str = "label", features: int = 1 << 16) -> tuple[PipelineModel, IsotonicRegressionModel]:
+def fit_calibrated(labelled: DataFrame, id_col: str, text_col: str = "text", label_col: str = "label", features: int = 1 << 14) -> tuple[PipelineModel, IsotonicRegressionModel]:
     """A classifier of the rows that split_of names 'fit' and what sets its probabilities, by those named 'calibrate'.
 
     A logistic regression on few rows is too sure of itself; the second model is the monotone
