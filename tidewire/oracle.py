@@ -409,7 +409,7 @@ ORACLES["usage_from_nested"] = _sql(
 )
 ORACLES["stream_first_claim"] = _sql(
     f"""SELECT article_id, watch_ord, link FROM (SELECT *, min(CASE WHEN source_group = '{STRUCTURED}' THEN part * 1000 + watch_ord END) OVER (PARTITION BY published, link) AS first_claim
-FROM (SELECT *, (CASE WHEN published < '1995-06-01' THEN 0 ELSE 2 END) + article_id % 2 AS part FROM pair) p) c WHERE source_group <> '{STRUCTURED}' OR part * 1000 + watch_ord = first_claim""",
+FROM (SELECT *, (CASE WHEN published < '1998-04-01' THEN 0 ELSE 2 END) + article_id % 2 AS part FROM pair) p) c WHERE source_group <> '{STRUCTURED}' OR part * 1000 + watch_ord = first_claim""",
     "pair",
 )
 # each half as entries of its own, then added up
