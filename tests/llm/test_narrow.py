@@ -154,8 +154,10 @@ def licences_by_hand(text):
     line = f" {' '.join(words)} "
     labels = {label for p, label in {**licenses.BASE, **licenses.NOTICES}.items() if f" {p} " in line}
     rights = [licenses.freedom(x) for x in labels]
-    if " spdx license identifier " in line:
-        for m in re.finditer(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+:() \t-]+)", text, re.I):
+    spans = list(WORD.finditer(lowered(text)))
+    for k in range(len(words) - 2):
+        m = words[k : k + 3] == ["spdx", "license", "identifier"] and re.compile(r"[ \t]*:[ \t]*([A-Za-z0-9.+:() \t-]+)").match(text, spans[k + 2].end())
+        if m:
             more, free = expression_by_hand(m[1])
             labels |= more
             rights.append(free)
@@ -173,6 +175,7 @@ def test_license_scan(spark):
         "SPDX-License-Identifier: MIT and other text", "spdx-license-identifier: BUSL-1.1", "SPDX-License-Identifier: Foo or bar", "SPDX-License-Identifier: LicenseRef-Internal OR MIT.",
         "SPDX-License-Identifier: ((MIT) OR (GPL-3.0-only AND MPL-2.0)) AND CC-BY-NC-4.0\nSPDX-License-Identifier: 0BSD", "(SPDX-License-Identifier: MIT) more", "SPDX-License-Identifier: MIT WITH unknown-1 OR",
         "apache license version 2.0 and no part of this publication may be reproduced", "cc by " * 30_000,
+        "SPDX-License-Identifier : MIT", "é spdx license\nidentifier\t: ISC or 0BSD, SPDX-License-Identifier MIT", "SPDX_License_Identifier:MIT SPDX-License-Identifier:", "xSPDX-License-Identifier: MIT",
     ]
     random.seed(3)
     names = ["MIT", "GPL-2.0-only", "MPL-2.0", "Nope-9", "CC-BY-NC-4.0", "LicenseRef-x"]
@@ -196,6 +199,19 @@ def test_license_scan(spark):
     assert licenses.evaluate("MIT AND (GPL-3.0-only OR MPL-2.0)")[1] == 0.5
 
 
+def test_very_long_license_expressions():
+    import time
+
+    found, began = licenses.automaton(), time.thread_time()
+    names = [f"LicenseRef-{i}" for i in range(60_000)]
+    long = "SPDX-License-Identifier: " + " or ".join(names)
+    deep = "SPDX-License-Identifier: " + "(" * 100_000 + "MIT" + ")" * 100_000 + " AND ISC"
+    many = "SPDX-License-Identifier: MIT\n" * 30_000
+    assert len(long) > 1_000_000 and licenses.scan(long, found)[5].count(",") == len(names) - 1
+    assert licenses.scan(deep, found)[5:] == ("isc,mit", 1.0) and licenses.scan(many, found)[5:] == ("mit", 1.0)
+    assert time.thread_time() - began < 5
+
+
 def test_language_id(spark):
     random.seed(2)
     languages = {"aa": "ba de fi go ku la".split(), "bb": "sch tz üb ver keit ung".split(), "cc": "ción ñas que mos ez ia".split()}

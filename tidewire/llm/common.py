@@ -28,12 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
     One of our own only where that is unset and all runs on one machine; on a cluster that is an
-    error, as no executor sees what another writes to its own disk.
+    error, as no executor sees what another writes to its own disk, and so it is where the session
+    doesn't say what it runs on.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.tidewire.ownCheckpointDir", None)
-    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or ""):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="tidewire-checkpoint-")
@@ -41,6 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder there; other applications share the place, not the folder."""
+    return f"{shared_folder(spark)}/tidewire/{spark.conf.get('spark.app.id', 'local')}/llm"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of df: write it as Parquet to the shared folder and read it back.
 
@@ -48,7 +54,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     the shuffle files of the write are removed with its end (where the setting is known).
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidewire/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -72,8 +78,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Drop what materialise() has written; call it once the results are stored."""
-    _delete(spark, f"{shared_folder(spark)}/tidewire")
+    """Drop what materialise() has written for this application; call it once the results are stored."""
+    _delete(spark, own_folder(spark))
 
 
 def slices(batch: pa.RecordBatch, text_col: str, size: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ identifier that is not in the list, 0: all rights reserved or no statement. Stat
 together (the least free), OR takes the freer side, AND the less free one, WITH (an exception of
 the list) frees its licence by half of what is missing; an unknown exception frees nothing.
 
-An expression reads identifiers of the list, LicenseRef- and DocumentRef- names, names with a
+A tag is its three words, whatever stands between them; its expression begins behind the colon that
+follows the last one, with any space around it. An expression reads identifiers of the list, LicenseRef- and DocumentRef- names, names with a
 version (letters, a hyphen, then a digit) and, directly behind the tag, any name; it ends
 before anything else, so prose behind it is none of it.
 
@@ -78,7 +79,8 @@ LOOSE = {"cc-by": 1.0, "public-domain": 1.0, "apache": 1.0, "bsd": 1.0, "mpl": 0
 LOOSE |= {"cc-by-nc": 0.1, "cc-by-nd": 0.1, "cc-by-nc-sa": 0.1, "cc-by-nc-nd": 0.1, "reserved": 0.0, "proprietary": 0.0}
 UNKNOWN = 0.05
 FREEDOM = {**dict.fromkeys(PERMISSIVE, 1.0), **dict.fromkeys(WEAK, 0.5), **dict.fromkeys(STRONG, 0.25), **dict.fromkeys(RESTRICTED, 0.1), **LOOSE}
-EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+:() \t-]+)", re.I)
+#: What follows the words of a tag.
+EXPRESSION = re.compile(rb"[ \t]*:[ \t]*([A-Za-z0-9.+:() \t-]+)")
 NAMED = re.compile(r"(?:licenseref|documentref)-.+|[a-z][a-z0-9.+-]*-[0-9][a-z0-9.+-]*")
 BINDS = {"with": 3, "and": 2, "or": 1}
 
@@ -105,9 +107,11 @@ def evaluate(expression: str) -> tuple[set[str], float]:
             (name,) = right if len(right) == 1 else ("exception",)
             values.append(({f"{x} with {name}" for x in left}, v + (1 - v) / 2 if name in EXCEPTIONS else v))
         else:
-            values.append((left | right, max(v, r) if op == "or" else min(v, r)))
+            small, large = sorted((left, right), key=len)
+            large |= small  # neither is used again, so a long expression takes linear time
+            values.append((large, max(v, r) if op == "or" else min(v, r)))
 
-    after_value, open_ = False, 0  # open_: operators since the last value
+    after_value, open_, parens = False, 0, 0  # open_: operators since the last value
     for i, token in enumerate(re.findall(r"[()]|[A-Za-z0-9.+:-]+", expression)):
         word = token.lower()
         if word == "(":
@@ -115,12 +119,14 @@ def evaluate(expression: str) -> tuple[set[str], float]:
                 break
             operators.append(word)
             open_ += 1
+            parens += 1
         elif word == ")":
-            if not after_value or "(" not in operators:
+            if not after_value or not parens:
                 break
             while operators[-1] != "(":
                 apply()
             operators.pop()
+            parens -= 1
         elif word in BINDS:
             if not after_value:
                 break
@@ -150,24 +156,29 @@ def automaton() -> ahocorasick.Automaton:
 
 def scan(text: str, found: ahocorasick.Automaton) -> tuple:
     """The values of FIELDS for one text."""
-    words = text.encode().translate(TO_WORDS).split()
+    raw = text.encode()
+    words = raw.translate(TO_WORDS).split()
     line = b" ".join([b"", *words, b""]).decode("latin-1")
-    base, starts, labels, tagged = set(), [], set(), False
+    base, starts, labels, tags = set(), [], set(), []
     for end, phrase in found.iter(line):
         if phrase in BASE:
             starts.append(end - len(phrase) - 1)
             base.add(BASE[phrase])
         if phrase in NOTICES:
             labels.add(NOTICES[phrase])
-        tagged |= phrase == TAG
-    if starts:  # from places in the line to words
+        if phrase == TAG:
+            tags.append(end - 1)
+    if starts or tags:  # from places in the line to words
         place = np.cumsum([0, *(len(w) + 1 for w in words)])
         starts = np.searchsorted(place, starts).tolist()
     rights = [freedom(x) for x in base | labels]
-    for m in EXPRESSION.finditer(text) if tagged else ():
-        more, free = evaluate(m[1])
-        labels |= more
-        rights.append(free)
+    if tags:  # from the tag's last word to the place behind it in the text
+        ends = [m.end() for m in re.finditer(rb"[^ ]+", raw.translate(TO_WORDS))]
+        for last in (np.searchsorted(place, tags) - 1).tolist():
+            if m := EXPRESSION.match(raw, ends[last]):
+                more, free = evaluate(m[1].decode())
+                labels |= more
+                rights.append(free)
     labels |= base
     score = min(rights) if rights else 0.0
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
