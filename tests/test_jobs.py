@@ -342,5 +342,12 @@ def test_fixed_values():
     assert {k: s[5] for k, s in NAMES.items()} == {"yahoo_finance": 90, "marketwatch_topstories": 70, "marketwatch_marketpulse": 80, "sec_press_releases": 45, "prnewswire_all_news": None, "prnewswire": 85, "globenewswire": 85, "accessnewswire": 85, "mtnewswires": 70, "dowjones": None, "finviz": 55}
 
 
+def test_fixed_texts():
+    import hashlib
+
+    held = (rules.ROUNDUP, rules.CONTEXT, rules.EVENTS, rules.OTHER_EVENT, rules.GENERIC_TERMS, rules.LEGAL_FORMS)
+    assert hashlib.sha256(repr(held).encode()).hexdigest() == "6b36de8bd4c5baeda580b9ede8a04b2409b19c2684caf3da29d57c82d56cc671"  # the SQL reads the same lists, so a change must be meant
+
+
 def test_fixed_weights():
     assert [e[1] for e in rules.EVENTS] == [1.0, 0.9, 1.0, 0.95, 0.85, 0.7, 0.5] and STRUCTURED != RSS and buckets.KEY[0] == "watch_ord"
