@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compact, edged, filled
 from ..sources.dimension import RSS
-from ..sources.staging import staged
+from ..sources.staging import spread, staged
 
 #: Watchlist entries up to which every article is tested against the whole watchlist in its row.
 BROADCAST_ENTRIES = 50
 #: Keywords up to which a larger watchlist's index is broadcast (some 100 bytes each).
 BROADCAST_KEYWORDS = 500_000
+#: Characters of a gram of shorter keywords.
+SHORT_GRAM = 4
 #: Characters of a gram; one in so many articles is read for the frequency of grams, of which so many are told apart.
-GRAM, SAMPLE, MOST_GRAMS = 4, 16, 20_000
+GRAM, SAMPLE, MOST_GRAMS = 6, 16, 20_000
 
 
 def haystack(rss: Column) -> Column:
@@ -51,6 +53,7 @@ def candidate_pairs(articles: DataFrame, needles: DataFrame, entries: int = BROA
     if small:
         hit = F.exists("short_keywords", lambda k: F.contains(F.col("__hay"), k))
         return hay.join(F.broadcast(needles), allowed & hit).drop("__hay")
+    hay = spread(hay)
     index = staged(gram_index(needles, _frequent_grams(hay)))
     few = index.limit(keywords + 1).count() <= keywords
     grams = F.explode(_grams(F.col("__hay"), sorted(r[0] for r in index.select(F.length("__gram")).distinct().collect()))).alias("__gram")
@@ -81,11 +84,11 @@ def gram_index(needles: DataFrame, frequent: DataFrame) -> DataFrame:
     """(gram, watch_ord, keyword, before): every keyword under the rarest of its grams, with the entry's keywords before it.
 
     A text that holds a keyword holds all of its grams, so any one may stand for it; the rarest by
-    a sample of the articles is looked up the least. A keyword shorter than GRAM is its own gram.
+    a sample of the articles is looked up the least. A keyword shorter than SHORT_GRAM is its own gram.
     """
     listed = needles.select("watch_ord", "short_keywords", F.posexplode("short_keywords").alias("at", "__keyword"))
     listed = listed.select("watch_ord", "at", "__keyword", F.slice("short_keywords", 1, F.col("at")).alias("__before")).where("__keyword <> ''")
-    size = F.least(F.length("__keyword"), F.lit(GRAM))
+    size = F.when(F.length("__keyword") >= GRAM, GRAM).when(F.length("__keyword") >= SHORT_GRAM, SHORT_GRAM).otherwise(F.length("__keyword"))  # few sizes, as each is a pass of the text
     own = F.transform(F.sequence(F.lit(1), F.length("__keyword") - size + 1), lambda i: F.substring("__keyword", i, size))
     known = F.broadcast(frequent.withColumnsRenamed({"gram": "__gram", "n": "__n"}))
     rated = listed.withColumn("__gram", F.explode(F.array_distinct(own))).join(known, "__gram", "left")

@@ -27,14 +27,20 @@ CLAIM = "seen_day date, link string, watch_ord int"
 
 
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB, which keyed state with timers needs."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def rocksdb(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which keyed state with timers needs.
+
+    partitions: of the state, by which a stream stays once it has begun; as many as the cluster has cores if not given.
+    """
+    wanted = {PROVIDER: ROCKSDB, "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class FirstClaim(StatefulProcessor):
