@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,12 @@ BROADCAST_KEYWORDS = 500_000
 SHORT_GRAM = 4
 #: Characters of a gram; one in so many articles is read for the frequency of grams, of which so many are told apart.
 GRAM, SAMPLE, MOST_GRAMS = 6, 16, 20_000
+#: Marks of indexed grams that an article's grams must hit before they leave its row: so many a gram, at most so many, a byte each.
+MARKS, MOST_MARKS = 32, 1 << 22
+#: Bits of one bitmap that Spark makes.
+BITMAP = 1 << 15
+#: Grams below SHORT_GRAM that are looked for one by one; more are cut from the text.
+LISTED = 200
 
 
 def haystack(rss: Column) -> Column:
@@ -44,8 +53,9 @@ def candidate_pairs(articles: DataFrame, needles: DataFrame, entries: int = BROA
     words too. A watchlist of at most `entries` entries is broadcast and every article is
     tested against it in one pass. A larger one is indexed (see `gram_index`): an article looks its
     grams up and tests the keywords found there literally. The index is broadcast up to
-    `keywords` keywords, so articles don't move; beyond, grams and index meet by hash, and what
-    they have in common is tested after a join by article_id, which is unique.
+    `keywords` keywords, so articles don't move, and marks of its grams are tested in the row first,
+    so an article is only copied for grams that the index may have; beyond, grams and index meet by
+    hash, and what they have in common is tested after a join by article_id, which is unique.
     """
     small = needles.limit(entries + 1).count() <= entries
     hay = articles.withColumn("__hay", haystack(F.col("source_group") == RSS))
@@ -56,27 +66,55 @@ def candidate_pairs(articles: DataFrame, needles: DataFrame, entries: int = BROA
     hay = spread(hay)
     index = staged(gram_index(needles, _frequent_grams(hay)))
     few = index.limit(keywords + 1).count() <= keywords
-    grams = F.explode(_grams(F.col("__hay"), sorted(r[0] for r in index.select(F.length("__gram")).distinct().collect()))).alias("__gram")
+    grams = _lookup(F.col("__hay"), index, marked=few)
     # of the keywords of an entry that hit only the first counts, so no pair comes twice
     hit = F.contains(F.col("__hay"), F.col("__keyword")) & ~F.exists("__before", lambda k: F.contains(F.col("__hay"), k))
     if few:
-        found = hay.select("*", grams).join(F.broadcast(index), "__gram").where(hit)
+        found = hay.select("*", F.explode(grams).alias("__gram")).join(F.broadcast(index), "__gram").where(hit)
     else:
-        met = hay.select("article_id", grams).join(index, "__gram").drop("__gram")
+        met = hay.select("article_id", F.explode(grams).alias("__gram")).join(index, "__gram").drop("__gram")
         found = hay.join(met, "article_id").where(hit)
     found = found.drop("__hay", "__gram", "__keyword", "__before")
     return found.join(F.broadcast(needles) if few else needles, "watch_ord").where(allowed).select(*articles.columns, *needles.columns)
 
 
 def _grams(c: Column, sizes: list[int]) -> Column:
-    """The distinct grams of these sizes of a compact text."""
+    """The grams of these sizes of a compact text, repeats included."""
     of = [F.regexp_extract_all(c, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]  # overlapping, in one pass of the text each
-    return F.array_distinct(F.concat(*of)) if of else F.array().cast("array<string>")
+    return F.concat(*of) if of else F.array().cast("array<string>")
+
+
+def _lookup(c: Column, index: DataFrame, marked: bool) -> Column:
+    """The distinct grams of a compact text that the index may have; its bounds need a broadcast index if `marked`."""
+    sizes = dict(index.groupBy(F.length("__gram").alias("size")).agg(F.count_distinct("__gram").alias("n")).collect())  # SHORT_GRAM + 1 rows at most
+    short = [n for n in sizes if n < SHORT_GRAM]
+    if sum(sizes[n] for n in short) > LISTED:
+        short = []
+    cut = _grams(c, sorted(n for n in sizes if n not in short))
+    if marked and sizes:
+        cut = F.filter(cut, _marks(index, sum(sizes.values())))
+    if short:
+        listed = [r[0] for r in index.where(F.length("__gram").isin(short)).select("__gram").distinct().collect()]  # LISTED at most
+        cut = F.concat(cut, F.filter(F.array(*map(F.lit, listed)), lambda g: F.contains(c, g)))
+    return F.array_distinct(cut)
+
+
+def _marks(index: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test that all n grams of the index pass, and others seldom: bitmaps made by Spark, MOST_MARKS / BITMAP rows at most, in one literal."""
+    slots = max(BITMAP, min(MOST_MARKS, 1 << (MARKS * n - 1).bit_length()))
+    slot = lambda gram: F.pmod(F.xxhash64(gram), F.lit(slots)) + 1
+    numbered = index.select(slot(F.col("__gram")).alias("slot"))
+    made = numbered.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    marks = np.zeros(slots, np.uint8)
+    for bucket, bits in made:
+        marks[(bucket - 1) * BITMAP : bucket * BITMAP] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+    every = F.lit(marks.tobytes())
+    return lambda gram: F.substring(every, slot(gram).cast("int"), F.lit(1)) == F.lit(b"\x01")
 
 
 def _frequent_grams(hay: DataFrame) -> DataFrame:
     """(gram, n): grams of GRAM characters and how many of one in SAMPLE articles have them, the most frequent MOST_GRAMS."""
-    some = hay.where(F.pmod(F.xxhash64("article_id"), F.lit(SAMPLE)) == 0).select(F.explode(_grams(F.col("__hay"), [GRAM])).alias("gram"))
+    some = hay.where(F.pmod(F.xxhash64("article_id"), F.lit(SAMPLE)) == 0).select(F.explode(F.array_distinct(_grams(F.col("__hay"), [GRAM]))).alias("gram"))
     return some.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(MOST_GRAMS)
 
 
