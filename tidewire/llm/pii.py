@@ -1,21 +1,25 @@
 """Personal data in texts by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base entities (e-mail and IP addresses, card and phone numbers) are found by pattern and
-checked; sure secrets are long mixed strings in quotes behind a key word (SECRETS). Both are the
-seeds of a graph. Other identifier-like tokens (DIGITS digits, or a sign @), such as secrets in
-capitals, without quotes or of any other kind, are instances without a label.
+checked. They are the seeds of a graph, with one in SEED_SHARE of the secrets of the most
+explicit form: long mixed strings in quotes behind a key word (SECRETS), told off by a hash of
+the string. All other identifier-like tokens (DIGITS digits, or a sign @) are instances without a
+label, the other secrets of that form among them: those, and secrets in capitals, without quotes,
+shorter or behind other words, are for the graph to find.
 Every occurrence induces up to four lexical patterns:
 
 l  the two words before it        k  the key before a sign = or :
 s  the end of its shape           r  its shape and the word behind it
 
 and each (pattern, instance) pair of the corpus is an edge. Spark scores both sides in turn for
-ROUNDS rounds: a pattern by the share of its distinct instances' scores (with SMOOTHING against
-small numbers), an instance by the best of its patterns, so what one pattern finds counts for
-the next, but never for itself: towards its best pattern an instance counts with its second
-best. Seeds keep score 1; tokens that have the form of a base entity and fail its check are
-counterexamples with score 0. Other identifiers with a pattern of CONFIDENCE or more become
-spans of kind `context`. Neither secrets nor these touch a base span.
+ROUNDS rounds. Pattern: the weight of its seeds among all its distinct instances (with SMOOTHING
+against small numbers), where tokens that have the form of a base entity and fail its check are
+counterexamples that weigh as much as a seed, and instances without a label weigh UNKNOWN.
+Instance: the evidence of all its patterns of FLOOR or more together,  1 - prod(1 - p).  One of
+CONFIDENCE or more is promoted: in the next round it counts as a seed with its score, but never
+for itself: towards a pattern it only has the evidence of its other patterns. In the end an
+occurrence without a label whose own patterns give it CONFIDENCE becomes a span of kind
+`context`. Neither secrets nor these touch a base span.
 
 Matches of a kind are leftmost, non-overlapping, and dropped without a retry if the check
 fails. The patterns below are the stated ones with possessive repeats and look-behinds where
@@ -31,7 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -66,8 +70,12 @@ KEY = r"""([A-Za-z][A-Za-z0-9_-]*)["']?\s*[=:]\s*[^\p{L}\p{N}]*$"""
 NEXT_WORD = r"^\S*\s+(\S+)"
 #: Characters of a shape's end.
 SHAPE_END = 14
+#: One in so many secrets of the explicit form is a seed.
+SEED_SHARE = 4
 ROUNDS = 3
 SMOOTHING = 1.0
+#: What an instance without a label weighs against a pattern, and the least score of a pattern that counts.
+UNKNOWN, FLOOR = 0.1, 0.5
 CONFIDENCE = 0.75
 #: Elements that one inner sum runs over.
 CHUNK = 256
@@ -155,14 +163,14 @@ def _inner(x: Column, value: Column, lead: Column) -> Column:
     return F.struct(start.alias("start"), x["kind"].alias("kind"), (start + F.length(value)).alias("end"), value.alias("m"), before.alias("before"), F.left(rest, F.lit(BEHIND)).alias("behind"))
 
 
-def secret_matches(text: Column) -> Column:
-    """Array of the long mixed strings behind a key word."""
+def secret_matches(text: Column, share: int = SEED_SHARE) -> Column:
+    """Array of the long mixed strings in quotes behind a key word, one in `share` of the different ones."""
 
     def value(x: Column) -> Column:
         v = F.regexp_extract(x["m"], f"{VALUE}$", 0)
         return _inner(x, v, F.length(x["m"]) - F.length(v))
 
-    mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(x["m"], ""))) >= SECRET_KINDS)
+    mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(x["m"], ""))) >= SECRET_KINDS) & (F.pmod(F.xxhash64(F.lower(x["m"])), F.lit(share)) == 0)
     found = F.filter(F.transform(_matches(text, SECRETS, SECRET), value), mixed)
     return F.when(text.rlike(GUARD["secret"]), found).otherwise(F.array().cast(MATCH))
 
@@ -212,31 +220,35 @@ def entities(found: Column) -> Column:
     return F.when(F.size(found) > 0, F.transform(found, made)).otherwise(F.array().cast(ENTITY))
 
 
-def confident_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern, p) of those whose score reaches the confidence.
+def _evidence(doubt: Column) -> Column:
+    """1 - prod(1 - p), of the sum of log(1 - p)."""
+    return F.lit(1.0) - F.exp(doubt)
+
+
+def scored_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
+    """(pattern, p, doubt) of those whose score p reaches FLOOR; doubt: log(1 - p).
 
     found: pattern, instance and kind of every occurrence. Edges are summed once; each round
-    joins and sums them by pattern, then by instance. What is joined is written before, so a
-    pattern or an instance with very many edges can be split; of an instance's patterns every
-    task keeps the two best.
+    joins and sums them by instance, then by pattern. What is joined is written before, so a
+    pattern or an instance with very many edges can be split, and sums start in each task.
     """
     label = F.when(F.col("kind") != CONTEXT, 1.0).when(F.col("instance").rlike(FAILED), 0.0)
     edges = materialise(found.groupBy("pattern", "instance").agg(F.max(label).alias("label")), "edges")
-    best = None
-    for left in range(rounds, 0, -1):
-        if best is None:
-            scored = edges.withColumn("score", F.coalesce("label", F.lit(0.0)))
+    pattern, score = None, F.lit(None).cast("double")
+    for _ in range(rounds):
+        if pattern is None:
+            scored = edges.withColumn("score", score)
         else:
-            other = F.when(F.col("pattern") == F.col("best.pattern"), F.col("second")).otherwise(F.col("best.p"))
-            scored = edges.join(best, "instance", "left").withColumn("score", F.coalesce("label", other, F.lit(0.0)))
-        share = F.sum("score") / (F.count(F.lit(1)) + F.lit(SMOOTHING))
-        pattern = materialise(scored.groupBy("pattern").agg(share.alias("p")).where("p > 0"), "patterns")
-        if left > 1:
-            open_ = edges.where("label IS NULL").select("pattern", "instance").join(pattern, "pattern")
-            two = open_.withColumn("rank", F.row_number().over(Window.partitionBy("instance").orderBy(F.desc("p"), "pattern"))).where("rank <= 2")
-            of = lambda n, x: F.max(F.when(F.col("rank") == n, x))
-            best = materialise(two.groupBy("instance").agg(of(1, F.struct("p", "pattern")).alias("best"), of(2, F.col("p")).alias("second")), "instances")
-    return pattern.where(F.col("p") >= confidence)
+            open_ = edges.where("label IS NULL").join(pattern, "pattern")
+            total = materialise(open_.groupBy("instance").agg(F.sum("doubt").alias("total")).where(_evidence(F.col("total")) >= confidence), "instances")
+            other = _evidence(F.col("total") - F.coalesce("doubt", F.lit(0.0)))
+            scored = edges.join(total, "instance", "left").join(pattern, "pattern", "left").withColumn("score", F.when(other >= confidence, other))
+        value = F.coalesce("label", "score")
+        weight = F.when(value.isNull(), UNKNOWN).otherwise(1.0)
+        share = F.sum(F.coalesce(value, F.lit(0.0))) / (F.sum(weight) + F.lit(SMOOTHING))
+        made = scored.groupBy("pattern").agg(F.round(share, 9).alias("p")).where(F.col("p") >= FLOOR)
+        pattern = materialise(made.select("pattern", "p", F.log(1 - F.col("p")).alias("doubt")), "patterns")
+    return pattern
 
 
 def _listed(spans: Column) -> Column:
@@ -244,19 +256,20 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["start"], x["end"])), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SEED_SHARE) -> DataFrame:
     """(__tw_row, id, base, all) of every document: arrays of (start, kind, end)."""
     plain = lambda x: F.struct(x["start"], x["kind"], x["end"])
     few = docs.select(F.monotonically_increasing_id().alias("__tw_row"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    few = few.withColumn("base", base_matches(F.col("t"))).withColumn("secret", secret_matches(F.col("t"))).withColumn("token", token_matches(F.col("t")))
+    few = few.withColumn("base", base_matches(F.col("t"))).withColumn("secret", secret_matches(F.col("t"), share)).withColumn("token", token_matches(F.col("t")))
     few = few.withColumn("seeds", F.array_sort(F.concat("base", _apart(F.col("secret"), F.col("base")))))
     few = few.withColumn("found", F.concat("seeds", _apart(F.col("token"), F.col("seeds"))))
     rows = materialise(few.select("__tw_row", "id", F.transform("base", plain).alias("base"), F.transform("seeds", plain).alias("seeds"), entities(F.col("found")).alias("found")), "pii")
     found = rows.select("__tw_row", F.explode("found").alias("e")).select("__tw_row", "e.*")
     found = found.select("__tw_row", "start", "kind", "end", "instance", F.explode("patterns").alias("pattern"))
-    good = confident_patterns(found.select("pattern", "instance", "kind"))
-    new = found.where((F.col("kind") == CONTEXT) & ~F.col("instance").rlike(FAILED)).join(good, "pattern", "left_semi")
-    new = new.groupBy("__tw_row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("new"))
+    good = scored_patterns(found.select("pattern", "instance", "kind")).select("pattern", "doubt")
+    new = found.where((F.col("kind") == CONTEXT) & ~F.col("instance").rlike(FAILED)).join(good, "pattern")
+    new = new.groupBy("__tw_row", "start", "kind", "end").agg(F.sum("doubt").alias("doubt")).where(_evidence(F.col("doubt")) >= CONFIDENCE)
+    new = new.groupBy("__tw_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
     more = F.coalesce("new", F.array().cast(SPAN))
     return rows.join(new, "__tw_row", "left").select("__tw_row", "id", "base", F.array_sort(F.concat("seeds", more)).alias("all"))
 
