@@ -24,13 +24,12 @@ def first_seen(links: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def _stored(job: Snapshot, out: str, number: int, keep: int) -> None:
-    ranked = staged(job.ranked)  # a batch without stories leaves an empty latest table and no history
+    ranked = job.ranked = staged(job.ranked)  # a batch without stories leaves an empty latest table and no history
     write_history(ranked, f"{out}/history", f"{number:08d}")
     write_latest(ranked, f"{out}/latest")
     prune_history(ranked.sparkSession, f"{out}/history", keep)
     job.usage.drop("first_place").write.mode("overwrite").parquet(f"{out}/usage/batch={number}")
     job.release()
-    release(ranked)
 
 
 def refresh(watchlist: DataFrame, out: str, keep: int = 30, include_seen: bool = False, seen_days: int = 2, today: Callable[[int], str] | None = None) -> Callable[[DataFrame, int], None]:
@@ -58,9 +57,8 @@ def refresh(watchlist: DataFrame, out: str, keep: int = 30, include_seen: bool =
                 of_days = (F.col("until") >= F.lit(days[0])) & F.col("seen_day").between(F.lit(days[0]), F.lit(days[1]))
                 links = spark.read.schema("link string, seen_day date, until date, batch long").parquet(at).where(of_days & (F.col("batch") < number)).select("seen_day", "link")
         job = Snapshot(rows, watchlist, links)
-        job.pairs = staged(job.pairs)  # claimed, then scored
-        if not include_seen:
-            claimed = job.pairs.where(F.col("source_group") == STRUCTURED).select("link", "seen_day").distinct()
+        if not include_seen:  # all pairs are in the scored ones, which are written here
+            claimed = job.scored.where(F.col("source_group") == STRUCTURED).select("link", "seen_day").distinct()
             if days[1]:
                 claimed.write.mode("overwrite").parquet(f"{at}/until={days[1]}/batch={number}")
             if days[1] and seen_days:
@@ -80,7 +78,7 @@ def refresh_claimed(watchlist: DataFrame, out: str, keep: int = 30) -> Callable[
     def run(batch: DataFrame, number: int) -> None:
         both = staged(batch)  # the state is advanced once
         job = Snapshot(both, watchlist)
-        job.pairs = staged(settled(both))
+        job.pairs = settled(both)
         _stored(job, out, number, keep)
         release(both)
 
