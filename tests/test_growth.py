@@ -34,3 +34,18 @@ def test_a_snapshot_that_is_written_twice_is_made_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "Snapshot", lambda *a: made.append(Snapshot(*a)) or made[-1])
     assert queries.write_snapshot(spark, SMALL).count() == 6 and len(made) == 1
     assert hasattr(made[0].stats, "_staged_at")
+
+
+def test_a_keyword_of_many_entries_is_tested_once_a_text(spark):
+    from tidewire.operators import matching, profiles
+    from tidewire.schemas import ARTICLE, WATCHLIST
+    from tidewire.sources.dimension import RSS
+
+    texts = ["common word here", "common word here", "nothing", "ticker no 3 and common", ""]
+    rows = [(i % 4, RSS, "k", "n", "", "", "", "", "rss", t, None) for i, t in enumerate(texts)]  # an id comes twice
+    watch = [(i, f"Ticker no {i}", "common", ["word", "else"]) for i in range(60)]
+    needles = profiles.needles(profiles.profiles(spark.createDataFrame(watch, WATCHLIST)))
+    found = matching.candidate_pairs(spark.createDataFrame(rows, ARTICLE), needles)
+    assert sorted(map(tuple, found.select("article_id", "watch_ord").collect())) == sorted((i % 4, w) for i, t in enumerate(texts) for w in range(60) if "common" in t)
+    tested = [line for line in plan(found).splitlines() if "Contains(" in line]
+    assert tested and not any("watch_ord" in line or "__before" in line for line in tested)
