@@ -49,3 +49,15 @@ def test_a_keyword_of_many_entries_is_tested_once_a_text(spark):
     assert sorted(map(tuple, found.select("article_id", "watch_ord").collect())) == sorted((i % 4, w) for i, t in enumerate(texts) for w in range(60) if "common" in t)
     tested = [line for line in plan(found).splitlines() if "Contains(" in line]
     assert tested and not any("watch_ord" in line or "__before" in line for line in tested)
+
+
+def test_anchors_leave_a_task_in_small_parts(spark, monkeypatch):
+    from tidewire.functions import markup
+
+    page = "<a href='/1'>one</a><a href='/2'>two</a>"
+    pages = spark.createDataFrame([(i, page, "http://x/") for i in range(3 * markup.PAGES)], "page_id long, html string, url string").coalesce(1)
+    taken = []
+    monkeypatch.setattr(type(pages), "mapInPandas", lambda df, run, schema: taken.append(run) or df)
+    markup.anchors(pages, "page_id", "html", "url")
+    parts = list(taken[0](iter([pages.toPandas()])))
+    assert [len(p) for p in parts] == [2 * markup.PAGES] * 3
