@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from tidewire import queries
 from tidewire.functions import text
+from tidewire.operators import reports
 from tidewire.plans.snapshot import Snapshot
-from tidewire.sources import adapters
+from tidewire.sources import adapters, readers, staging
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -61,3 +62,34 @@ def test_anchors_leave_a_task_in_small_parts(spark, monkeypatch):
     markup.anchors(pages, "page_id", "html", "url")
     parts = list(taken[0](iter([pages.toPandas()])))
     assert [len(p) for p in parts] == [2 * markup.PAGES] * 3
+
+
+def test_nested_snapshots_are_read_once(spark, tmp_path):
+    stories = '[{"source_name": "A", "coverage_sources": ["A", "B"]}, {"source_name": ""}]'
+    (tmp_path / "1.json").write_text(f'{{"tickers": [{{"ticker": "X", "stories": {stories}}}, {{"ticker": "Y", "source_usage": {{"raw_matches": {{"A": 3}}, "primary_stories": {{"A": 2}}}}, "stories": {stories}}}]}}')
+    (tmp_path / "2.json").write_text(f'{{"ticker": "X", "stories": {stories}}}')
+    (tmp_path / "3.json").write_text('{"ticker": "Y", "source_usage": {"raw_matches": {"A": 3}}}')
+    (tmp_path / "4.json").write_text('{"tickers": []}')
+    tickers = readers.read_snapshot(spark, str(tmp_path))
+    assert sorted(r["ticker"] for r in tickers.collect()) == ["X", "X", "Y", "Y"] and plan(tickers).count("FileScan json") == 1
+    usage = reports.usage_of_snapshot(tickers)
+    assert plan(usage).count("FileScan json") == 1
+    primary, cover = "primary_stories", "primary_story_coverage"
+    want = [("X", primary, "A", 2), ("X", cover, "A", 2), ("X", cover, "B", 2), ("Y", cover, "A", 1), ("Y", cover, "B", 1), ("Y", primary, "A", 2), ("Y", "raw_matches", "A", 3), ("Y", "raw_matches", "A", 3)]
+    assert sorted(map(tuple, usage.collect())) == sorted(want)
+
+
+def test_pairs_are_counted_without_their_texts(spark):
+    job = Snapshot(adapters.articles(spark, SMALL), adapters.watchlist(spark))
+    assert not hasattr(job.counted, "_staged_at") and hasattr(job.tally, "_staged_at")
+    for text_column in ("title#", "title_key#", "canonical_link#", "rejection_reasons#", "matched_identity#"):
+        assert text_column not in plan(job.counted)
+    assert job.tally.agg(F.sum("n")).first()[0] == job.counted.count() > job.tally.count()
+
+
+def test_parts_of_a_table_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(staging, "PART_ROWS", 100)
+    rows = spark.range(0, 2_001, 1, 5)
+    parts = staging.spread(rows).rdd.glom().map(len).collect()
+    assert len(parts) == 21 and sum(parts) == 2_001 and max(parts) <= 200
+    assert staging.spread(spark.range(0, 2_001, 1, 30)).rdd.getNumPartitions() == 30

@@ -196,10 +196,10 @@ def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """One row a ticker, from snapshots (a list `tickers`) and from files of one ticker alike."""
+    """One row a ticker, from snapshots (a list `tickers`) and from files of one ticker alike, in one pass of the files."""
     raw = spark.read.schema(f"{TICKER}, tickers array<struct<{_nested(TICKER)}>>").option("multiLine", True).json(path)
-    many = raw.where("tickers IS NOT NULL").select(F.explode("tickers").alias("t")).select("t.*")
-    return many.unionByName(raw.where("tickers IS NULL").drop("tickers"))
+    alone = F.array(F.struct(*(c for c in raw.columns if c != "tickers")))
+    return raw.select(F.explode(F.coalesce("tickers", alone)).alias("t")).select("t.*")
 
 
 def _nested(ddl: str) -> str:
