@@ -93,3 +93,16 @@ def test_parts_of_a_table_are_bounded(spark, monkeypatch):
     parts = staging.spread(rows).rdd.glom().map(len).collect()
     assert len(parts) == 21 and sum(parts) == 2_001 and max(parts) <= 200
     assert staging.spread(spark.range(0, 2_001, 1, 30)).rdd.getNumPartitions() == 30
+
+
+def test_a_model_is_fitted_on_counts_that_are_made_once(spark, monkeypatch):
+    from tidewire.operators import sentiment
+
+    kept = []
+    plain = sentiment.staged
+    monkeypatch.setattr(sentiment, "staged", lambda df: kept.append(plain(df)) or kept[-1])
+    rows = [(i, "good words here" if i % 2 else "bad news there", "positive" if i % 2 else "negative") for i in range(60)]
+    docs = spark.createDataFrame(rows, "article_id long, text string, label string")
+    model = sentiment.fit_model(docs, features=64)
+    assert len(kept) == 1 and {"__wn", "__pn", "__label"} <= set(kept[0].columns) and not {"__text", "__words"} & set(kept[0].columns)
+    assert all(r["label"] == rows[r["article_id"]][2] for r in sentiment.scored_by(model, docs).collect())

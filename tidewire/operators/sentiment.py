@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import filled
+from ..sources.staging import release, staged
 
 #: Words of the stand-in scorer, from the adapters' phrases; a fitted model (fit_model) or any Scorer takes its place.
 GOOD = ["wins", "record", "rise", "expands", "partners", "upgrade", "launches"]
@@ -58,15 +59,22 @@ FROM (SELECT *, regexp_extract_all(lower(__text), r"[\p{L}\p{N}']+|[^\p{L}\p{N}\
 
 
 def fit_model(labelled: DataFrame, text_col: str = "text", label_col: str = "label", features: int = 1 << 14, least: int = 10) -> PipelineModel:
-    """A text classifier of labelled rows, trained by Spark: logistic regression on hashed words and word pairs that `least` texts have, of one length a text, and on the text's shape."""
+    """A text classifier of labelled rows, trained by Spark: logistic regression on hashed words and word pairs that `least` texts have, of one length a text, and on the text's shape.
+
+    Words are cut and hashed once and their counts written: each step that is fitted reads those, not the texts.
+    """
     few = labelled.select(filled(F.col(text_col)).alias("__text"), F.col(label_col).alias("__label")).where("__label IS NOT NULL")
-    steps = [SQLTransformer(statement=SHAPE), NGram(n=2, inputCol="__words", outputCol="__pairs")]
+    counting, steps = [SQLTransformer(statement=SHAPE), NGram(n=2, inputCol="__words", outputCol="__pairs")], []
     for words, n in (("__words", "__w"), ("__pairs", "__p")):
-        steps += [HashingTF(inputCol=words, outputCol=f"{n}n", numFeatures=features), IDF(inputCol=f"{n}n", outputCol=f"{n}i", minDocFreq=least), Normalizer(inputCol=f"{n}i", outputCol=n)]
+        counting.append(HashingTF(inputCol=words, outputCol=f"{n}n", numFeatures=features))
+        steps += [IDF(inputCol=f"{n}n", outputCol=f"{n}i", minDocFreq=least), Normalizer(inputCol=f"{n}i", outputCol=n)]
     steps += [VectorAssembler(inputCols=["__symbols", "__distinct", "__length"], outputCol="__shape"), StandardScaler(inputCol="__shape", outputCol="__s", withMean=True)]
     steps += [VectorAssembler(inputCols=["__w", "__p", "__s"], outputCol="__features"), StringIndexer(inputCol="__label", outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="skip")]
     steps.append(LogisticRegression(featuresCol="__features", labelCol="__index", predictionCol="__best", probabilityCol="__share", rawPredictionCol="__raw", regParam=1e-3, maxIter=25))
-    return Pipeline(stages=steps).fit(few)
+    counts = staged(PipelineModel(counting).transform(few).drop("__text", "__words", "__pairs"))
+    fitted = Pipeline(stages=steps).fit(counts)
+    release(counts)
+    return PipelineModel([*counting, *fitted.stages])
 
 
 def scored_by(model: PipelineModel, articles: DataFrame, id_col: str = "article_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
