@@ -6,11 +6,13 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from tidewire.llm import decontaminate, language_id, licenses, sentencepieces
+from tidewire.llm.common import BATCH_BYTES, append
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n", "\x00", "a", "▁", "é ½", "the " * 3000, "x" * 5000, "  lead", "trail  ", "\U0001f600 日本", "the the", "the the"]
@@ -283,3 +285,17 @@ def test_code_lengths_are_a_distribution(spark):
     share = np.exp2(-trees.bits.reshape(-1, trees.width))
     share[:, 0] *= trees.unseen  # class 0 stands for each byte never seen
     assert np.allclose(share.sum(axis=1), 1, atol=1e-4)
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """A task gets long texts a few megabytes at a time, with those that append's columns go on to."""
+    docs = spark.range(0, 4_000, 1, 1).select("id", F.repeat(F.lit("abcdefgh "), 1_000).alias("text"))
+    made = append(docs, "text", "n long", lambda: lambda texts: [list(map(len, texts))])
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    got = made.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 4_000 and max(r["bytes"] for r in got) <= 1.1 * BATCH_BYTES
+    assert made.agg(F.sum("n")).first()[0] == 36_000_000

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append
+from .common import append, bound_batches
 
 ORDER = 3
 SAMPLE_DOCS = 300
@@ -84,6 +84,7 @@ def count_contexts(rows: DataFrame, label_col: str, order: int = ORDER) -> DataF
                     key, n = np.unique(key[b[order:] > 0], return_counts=True)
                     yield pa.RecordBatch.from_pandas(pd.DataFrame({"label": label, "length": np.int32(length), "context": key >> 8, "byte": (key & 255).astype(np.int32), "n": n}), preserve_index=False)
 
+    bound_batches(rows.sparkSession)
     counts = rows.select(F.col(label_col).cast("string"), "text").mapInArrow(run, "label string, length int, context long, byte int, n long")
     return counts.groupBy("label", "length", "context", "byte").agg(F.sum("n").alias("n"))
 

@@ -28,6 +28,8 @@ MARK = "▁"
 PROBES = ["a", "a  b ", " lead", "x\ty\nz", "\ufb01 \uff21 e\u0301 \u00bd", "\U0001f9ff\u0378"]
 #: Bytes of words and ids that a worker keeps; beyond it the memory starts anew. A word costs OVERHEAD besides.
 BYTES_KEPT, OVERHEAD = 24_000_000, 120
+#: Bytes of text that are encoded at once; a step takes some 100 bytes for each byte of words that it has not met yet.
+STEP_BYTES = 400_000
 NO_PAIR = np.int64(1) << 40
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -240,7 +242,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
         _, run = _encoder(model_path)
         return lambda texts: [_id_lists(run(texts))]
 
-    return append(docs, text_col, f"{ids_col} array<int>", start)
+    return append(docs, text_col, f"{ids_col} array<int>", start, STEP_BYTES)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -279,4 +281,4 @@ def digests(docs: DataFrame, model_path: str, text_col: str = "text", with_ids:
         return made
 
     fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return append(docs, text_col, fields, start)
+    return append(docs, text_col, fields, start, STEP_BYTES)
