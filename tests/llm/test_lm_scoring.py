@@ -48,3 +48,10 @@ def test_lone_and_no_document(spark):
     row = lm_scoring.annotate(docs).first()
     assert (row["n_tokens"], row["n_backoff"]) == (5, 3)
     assert lm_scoring.annotate(docs.limit(0)).count() == 0
+
+
+def test_without_a_cut_every_ngram_is_in_the_model(spark):
+    texts = ["a b a b", "once upon", None, "a once b"]
+    got = lm_scoring.annotate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_count=1).orderBy("doc_id").collect()
+    for g, w in zip(got, by_hand(texts, 2, least=1), strict=True):
+        assert (g["n_tokens"], g["n_backoff"]) == (w[0], 0) == w[:2] and abs(g["score"] - w[2]) < 3e-5
