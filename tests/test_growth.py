@@ -52,6 +52,28 @@ def test_a_keyword_of_many_entries_is_tested_once_a_text(spark):
     assert tested and not any("watch_ord" in line or "__before" in line for line in tested)
 
 
+def test_a_long_text_is_searched_in_parts_and_pairs_are_tested_in_groups(spark, monkeypatch):
+    from tidewire.operators import matching, profiles
+    from tidewire.schemas import ARTICLE, WATCHLIST
+    from tidewire.sources.dimension import RSS
+
+    monkeypatch.setattr(matching, "PART", 64)
+    words = ["keyword", "another", "somethingelse"]
+    texts = ["x" * i + words[i % 3] + "y" * 40 + words[i % 2] for i in range(150)] + ["", "z" * 300]
+    rows = [(i, RSS, "k", "n", "", "", "", "", "rss", t, None if i % 5 else f"T{i}") for i, t in enumerate(texts)]
+    watch = [(i, f"T{i}", words[i % 3], [words[i % 2], "nowhere"]) for i in range(90)]
+    needles = profiles.needles(profiles.profiles(spark.createDataFrame(watch, WATCHLIST)))
+    found = matching.hit_entries(spark.createDataFrame(rows, ARTICLE), needles)
+    want = [(i, w) for i, t in enumerate(texts) for w in range(90) if (i % 5 or i == w) and (words[w % 3] in t or words[w % 2] in t)]
+    assert sorted(map(tuple, found.select("article_id", "watch_ord").collect())) == want
+    tested = [line for line in plan(found).splitlines() if "Contains(" in line]
+    assert tested and all("Contains(__part" in line and "Contains(__hay" not in line for line in tested)
+    index = matching.gram_index(needles, spark.createDataFrame([], "gram string, n long"))
+    listed = index.select("__keyword").distinct().withColumn("__id", F.monotonically_increasing_id())
+    groups = matching._entry_groups(index, listed).join(listed, "__id").where(F.col("__keyword").isin(words)).collect()
+    assert len(groups) < 10 and sum(len(g["__entries"]) for g in groups) == 150
+
+
 def test_anchors_leave_a_task_in_small_parts(spark, monkeypatch):
     from tidewire.functions import markup
 
